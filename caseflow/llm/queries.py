@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
-from caseflow.llm import decontaminate, language, media, ngram_join, pieces, toxicity, url_filter
+from caseflow.llm import decontaminate, language, lm_score, media, ngram_join, pieces, toxicity, url_filter
 
 PIECE_MODEL = "piece_bpe_32k.model"
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -55,6 +55,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.scores(docs, docs.where(remainder(10) != 0), {"doc_id": F.col("doc_id"), "held_out": remainder(10) == 0})
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = docs.where(remainder(5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic").where("toxic is not null"), "doc_id")
