@@ -34,7 +34,7 @@ from caseflow.llm import columnar as C
 
 MARK = "▁"
 #: Segments kept per worker, and the longest one that is kept.
-CACHE_SEGMENTS, CACHE_CHARS = 400_000, 48
+CACHE_SEGMENTS, CACHE_CHARS = 1_000_000, 48
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 
 
@@ -239,7 +239,8 @@ class BatchEncoder:
                 raise AssertionError(f"agenda and library differ on {s!r}: {solved[s]} and {ids}")
         return solved
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _learned(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
+        """Segments of the texts, all of them in `kept`; and those that were new."""
         kept, segments = self.kept, [self.model.segments(t) for t in texts]
         new = {s for own in segments for s in own}.difference(kept)
         if new:
@@ -249,16 +250,38 @@ class BatchEncoder:
                 kept.clear()
                 kept.update(now)
             kept.update(solved)
-        out = []
+        return segments, new
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        segments, new = self._learned(texts)
+        kept, out = self.kept, []
         for own in segments:
             ids: list[int] = []
             for s in own:
                 ids += kept[s]
             out.append(ids)
-        for s in [s for s in new if len(s) > CACHE_CHARS]:
-            del kept[s]
+        self._forget(new)
+        return out
+
+    def encode_with_digest(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """Ids of each text, and the sha256 of the decimal ids joined by commas: each segment is printed once a call."""
+        segments, new = self._learned(texts)
+        kept, out, printed = self.kept, [], {}
+        for own in segments:
+            ids: list[int] = []
+            for s in own:
+                ids += kept[s]
+            for s in set(own).difference(printed):
+                printed[s] = ",".join(map(str, kept[s]))
+            out.append((ids, hashlib.sha256(",".join([printed[s] for s in own]).encode()).hexdigest()))
+        self._forget(new)
         return out
 
+    def _forget(self, new: set[str]) -> None:
+        for s in new:
+            if len(s) > CACHE_CHARS:
+                del self.kept[s]
+
 
 def _rows(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Slices of at most `limit` characters, or one text."""
@@ -313,9 +336,10 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids_sha, text_sha = [], [], []
             for i, j in _rows(texts):
-                ids = encoder.encode(texts[i:j])
+                both = encoder.encode_with_digest(texts[i:j])
+                ids = [x for x, _ in both]
                 n += [len(x) for x in ids]
-                ids_sha += [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+                ids_sha += [x for _, x in both]
                 text_sha += [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in encoder.library.decode(ids, num_threads=1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=schema.names)
 
