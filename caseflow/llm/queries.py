@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
-from caseflow.llm import decontaminate, language, lm_score, media, ngram_join, pieces, toxicity, url_filter
+from caseflow.llm import decontaminate, language, lm_score, media, ngram_join, pieces, substring_dedup, toxicity, url_filter
 
 PIECE_MODEL = "piece_bpe_32k.model"
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -43,6 +43,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": remainder(4) == 2})
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
