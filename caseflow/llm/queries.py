@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
-from caseflow.llm import decontaminate, language, lm_score, media, ngram_join, pieces, substring_dedup, toxicity, url_filter
+from caseflow.llm import decontaminate, language, line_dedup, lm_score, media, ngram_join, pieces, substring_dedup, toxicity, url_filter
 
 PIECE_MODEL = "piece_bpe_32k.model"
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -43,6 +43,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": remainder(4) == 2})
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -66,8 +70,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.where(remainder(5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic").where("toxic is not null"), "doc_id")
-    machine = toxicity.fit(known)
+    machine = toxicity.fit(docs, labels.where(remainder(5) != 0))
     return toxicity.score(docs, machine, {"doc_id": F.col("doc_id"), "held_out": remainder(5) == 0})
 
 

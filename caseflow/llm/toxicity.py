@@ -5,7 +5,7 @@ A text's terms are its distinct words (A-Z lower-cased; digits, letters and non-
 least LEAST_Z standard deviations) get weights. The score is sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the
 text's terms: the pairwise part, of FACTORS dimensions a term, is what an additive linear model misses.
 
-Learning takes a bounded sample: about SAMPLE labelled texts at most (a hash of the text decides). Their term counts
+Learning takes a bounded sample: about SAMPLE labelled texts at most (hashes of id and text decide). Their term counts
 are summed where they are; the driver gets the MOST_TERMS best terms at most, and each sample text's own terms among
 them. The threshold 0.5 holds for the calibrated score: after training, a scale and a shift are fitted to the sample.
 
@@ -137,12 +137,14 @@ def _calibrate(machine: Machine, slots: np.ndarray, offsets: np.ndarray, y: np.n
     return machine
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """Machine from rows with label 0 or 1 (others and null are left out)."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"))
-    n = rows.count()
-    draw = F.pmod(F.xxhash64("text", F.lit("toxicity sample")), F.lit(1_000_000))
-    rows = rows.where(draw < int(min(1.0, sample / max(n, 1)) * 1_000_000))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
+    """Machine from the texts whose id has a label 0 or 1 in `labels` (other labels and null are left out)."""
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    thin = lambda rows, n, by: rows.where(F.pmod(F.xxhash64(by, F.lit("toxicity sample")), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000))
+    marks = thin(marks, marks.count(), "id")  # about `sample` rows of 12 bytes: the only thing that is broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = C.written(texts.join(F.broadcast(marks), "id").select("text", "y"), "labelled")
+    rows = thin(rows, rows.count(), "text")  # ids may repeat
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +164,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", s
     z = F.abs(F.col("k") - even) / F.sqrt(even * (1 - k / n) + 1e-9)
     best = rows.mapInArrow(count, "slot long, n long, k long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where((F.col("n") >= LEAST_TEXTS) & (z >= LEAST_Z))
     known = np.sort(np.array([r["slot"] for r in best.orderBy(z.desc(), "slot").limit(MOST_TERMS).collect()], np.int64))
-    shared = labelled.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(SLOTS, bool)
