@@ -7,7 +7,9 @@ longest path. The test for the end is a count and a sum of hashes, two numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
@@ -38,3 +40,49 @@ def roots(edges: DataFrame) -> DataFrame:
             break
         mark = new
     return e
+
+
+def _largest(lists: DataFrame) -> DataFrame:
+    """(token, comp): the component with the most members of each list; of equal ones the largest id."""
+    sizes = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    return sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("comp"))
+
+
+def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
+    """Components, as in roots(), of all verified links between nodes that share a list.
+
+    lists: (token, node, a), a being a struct of what `fits`, a predicate over ax and ay, looks at. verified() takes
+    distinct pairs (x, y) and returns those that are links as (u, v).
+
+    Three steps, none of which enumerates the pairs of a group that is one component already: (1) each member of a
+    list with the list's leader, by a node's own rank, so that all lists of a group tend to one leader; (2) members
+    outside the list's largest component with a member inside, another one for each list; (3) the rest, exactly:
+    members outside the largest component with all members of other components. What (3) rejects is no link, so
+    no link between different components is left.
+    """
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("token", F.col("node").alias(s), F.col("a").alias(f"a{s}"), F.col("comp").alias(f"c{s}"))
+
+    def labelled(links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return lists.withColumn("comp", F.col("node"))
+        return lists.join(links.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def grown(links: DataFrame | None, left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = side(left, "x").join(side(right, "y"), "token").where("cx != cy").where(fits)
+        found = verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        return roots(found if links is None else links.unionByName(found))
+
+    def leader(rows: DataFrame, *rank: str) -> DataFrame:
+        return rows.groupBy("token").agg(F.min_by(F.struct("node", "a", "comp"), F.xxhash64(*rank)).alias("l")).select("token", "l.*")
+
+    own = labelled(None)
+    links = grown(None, own, leader(own, "node"))
+    own = labelled(links)
+    most = _largest(own)
+    inside, outside = own.join(most, ["token", "comp"]), own.join(most, ["token", "comp"], "left_anti")
+    links = grown(links, outside, leader(inside, "node", "token"))
+    own = labelled(links)
+    outside = own.join(_largest(own), ["token", "comp"], "left_anti")
+    return grown(links, outside, own)

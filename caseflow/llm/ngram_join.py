@@ -9,11 +9,8 @@ come from shared prefix shingles under the length and positional filters; a suff
 "Rare" is known from a sketch of fixed size: shingles whose sketch count stands out in some task are listed with
 their summed counts, the others are taken as rare. The sketch only orders shingles; any order gives exact results.
 
-Only components are wanted, so pairs are looked for in three steps, none of which enumerates a group that is already
-one component: (1) every member of a shingle's list with the list's leader, the same leader for all lists of a group;
-(2) members outside the list's largest component with a member of it, another one for each list; (3) exactly
-the rest: members outside the largest component with all members of other components. After (3) no link between
-different components is left.
+Only components are wanted: components.linked() looks for pairs in the shingles' lists without enumerating what is
+already one component, and leaves no link between different components.
 
 Shingles are compared as 60-bit hashes, sets as 128-bit hashes.
 
@@ -164,11 +161,11 @@ class _Join:
         self.lists = C.written(entries.join(shared, "token"), "lists")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (u, v) among distinct pairs (x, y, nx, ny): suffix filter, then whole sets."""
-        hist = self.classes.select("sid", "hist")
+        """Links (u, v) among distinct pairs (x, y): suffix filter, then whole sets."""
+        hist = lambda s: self.classes.select(F.col("sid").alias(s), F.col("hist").alias(f"h{s}"), F.col("n").alias(f"n{s}"))
         near = (
-            pairs.join(hist.select(F.col("sid").alias("x"), F.col("hist").alias("hx")), "x")
-            .join(hist.select(F.col("sid").alias("y"), F.col("hist").alias("hy")), "y")
+            pairs.join(hist("x"), "x")
+            .join(hist("y"), "y")
             .where(F.aggregate(F.zip_with("hx", "hy", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b) >= _least_overlap("nx", "ny", self.num, self.den))
             .select("x", "y", "nx", "ny")
         )
@@ -196,56 +193,14 @@ class _Join:
 
     def fits(self) -> Column:
         """Length filter, and the positional filter for one shared token at (px, py)."""
-        nx, ny, px, py, num, den = F.col("nx"), F.col("ny"), F.col("px"), F.col("py"), self.num, self.den
+        nx, ny, px, py, num, den = F.col("ax.n"), F.col("ay.n"), F.col("ax.pos"), F.col("ay.pos"), self.num, self.den
         bound = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
         return (nx * den >= ny * num) & (ny * den >= nx * num) & ((num + den) * bound >= num * (nx + ny))
 
-    def side(self, lists: DataFrame, s: str) -> DataFrame:
-        return lists.select("token", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("comp").alias(f"c{s}"))
-
-    def labelled(self, links: DataFrame | None) -> DataFrame:
-        """Lists with each member's component so far."""
-        if links is None:
-            return self.lists.withColumn("comp", F.col("sid"))
-        return self.lists.join(links.select(F.col("u").alias("sid"), F.col("v").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-
-    def grown(self, links: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        found = self.verified(pairs)
-        return components.roots(found if links is None else links.union(found))
-
-    def run(self) -> DataFrame:
-        """(u, v): class and smallest class of its component."""
-        distinct = lambda p: p.where("cx != cy").where(self.fits()).select("x", "y", "nx", "ny").distinct()
-        own = self.labelled(None)
-        leader = own.groupBy("token").agg(F.min_by(F.struct("sid", "n", "pos", "comp"), F.xxhash64("sid")).alias("l")).select("token", "l.*")
-        links = self.grown(None, distinct(self.side(own, "x").join(self.side(leader, "y"), "token")))
-
-        own = self.labelled(links)
-        most = self._largest(own)
-        inside = own.join(most, ["token", "comp"])
-        leader = inside.groupBy("token").agg(F.min_by(F.struct("sid", "n", "pos", "comp"), F.xxhash64("sid", "token")).alias("l")).select("token", "l.*")
-        outside = own.join(most, ["token", "comp"], "left_anti")
-        links = self.grown(links, distinct(self.side(outside, "x").join(self.side(leader, "y"), "token")))
-
-        own = self.labelled(links)
-        most = self._largest(own)
-        outside = own.join(most, ["token", "comp"], "left_anti")
-        pairs = self.side(outside, "x").join(self.side(own, "y"), "token").where("cx != cy").where(self.fits())
-        # both may be outside: keep one order
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("ny")).distinct()
-        return self.grown(links, pairs)
-
-    @staticmethod
-    def _largest(own: DataFrame) -> DataFrame:
-        """The component with the most members of each list; of equal ones the smallest."""
-        sizes = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        return sizes.groupBy("token").agg(F.max_by("comp", F.struct(F.col("c"), F.col("comp"))).alias("comp"))
-
-
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) of every row; num / den is the least similarity."""
     join = _Join(docs, id_col, text_col, k, num, den)
-    roots = join.run()
+    roots = components.linked(join.lists.select("token", F.col("sid").alias("node"), F.struct("n", "pos").alias("a")), join.verified, join.fits())
     members = join.members.select("id", "sid", "n").join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left")
     members = members.withColumn("root", F.coalesce("root", "sid"))
     least = members.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
