@@ -1,0 +1,143 @@
+"""Frame selection: vector changes, mid-ranks, temporal anchors, greedy choice, round-robin budgets, cohorts, queues."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine, clipped to [0, 2]; norms have a floor of 1e-12."""
+    norm = lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
+    return F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - dot(a, b) / (norm(a) * norm(b))))
+
+
+def adjacent_change(frames: DataFrame, case: str, order: str, vector: str, parts: int = 1) -> DataFrame:
+    """Largest cosine change of the `parts` equal slices from the frame before; 0 for a case's first frame."""
+    before = F.lag(vector).over(Window.partitionBy(case).orderBy(order))
+    x = frames.withColumn("__before", before)
+    size = F.expr(f"size(`{vector}`) div {parts}")
+    each = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: cosine_distance(F.slice(F.col(vector), i * size + 1, size), F.slice(F.col("__before"), i * size + 1, size)))
+    return x.select(case, order, F.when(F.col("__before").isNull(), 0.0).otherwise(F.round(F.array_max(each), 5)).alias("change"))
+
+
+def variance(vector: str) -> Column:
+    """Population variance of an array."""
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(vector)
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(vector)
+
+
+def midrank(rows: DataFrame, case: str, value: str) -> DataFrame:
+    """(number below + half of the other equals) / max(1, n - 1) inside each case."""
+    w = Window.partitionBy(case)
+    below = F.rank().over(w.orderBy(value)) - 1
+    equal = F.count(F.lit(1)).over(Window.partitionBy(case, value)) - 1
+    return rows.withColumn("midrank", F.round((below + 0.5 * equal) / F.greatest(F.lit(1), F.count(F.lit(1)).over(w) - 1), 6))
+
+
+def timeline_anchors(t: np.ndarray, budget: int) -> list[int]:
+    """Positions of min(n, budget, max(2, ceil(budget / 3))) frames nearest to equal steps, first and last always."""
+    count = min(len(t), budget, max(2, math.ceil(budget / 3)))
+    taken: list[int] = []
+    for i, target in enumerate(np.linspace(t[0], t[-1], count)):
+        free = [j for j in range(len(t)) if j not in taken]
+        taken.append(0 if i == 0 else len(t) - 1 if i == count - 1 and len(t) - 1 in free else min(free, key=lambda j: (abs(t[j] - target), j)))
+    return sorted(taken)
+
+
+#: Weights of novelty, local change, global change and clarity; fixed values.
+WEIGHTS = (0.50, 0.30, 0.15, 0.05)
+
+
+def choose(t: np.ndarray, vectors: np.ndarray, local: np.ndarray, clarity: np.ndarray, budget: int) -> tuple[list[int], list[int]]:
+    """(protected, selected) positions: anchors, then farthest-point steps in the least filled time bin.
+
+    Equal scores go to the earlier frame. local: change of the most changed region, per frame.
+    """
+    n = len(t)
+    protected = timeline_anchors(t, budget) if n else []
+    chosen = list(protected)
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    change = np.concatenate([[0.0], np.clip(1 - (unit[1:] * unit[:-1]).sum(1), 0, 2)]) if n else np.zeros(0)
+    bins = min(4, max(1, budget // 3))
+    extent = t[-1] - t[0] if n else 0
+    where = np.minimum(bins - 1, ((t - t[0]) / extent * bins if extent > 0 else np.arange(n) / max(1, n) * bins).astype(int)) if n else np.zeros(0, int)
+    far = np.clip(1 - unit @ unit[chosen].T, 0, 2).min(1) if chosen else np.full(n, 2.0)
+    while len(chosen) < min(n, budget):
+        free = np.setdiff1d(np.arange(n), chosen)
+        filled = np.bincount(where[chosen], minlength=bins)
+        open_bins = [b for b in range(bins) if (where[free] == b).any()]
+        least = min(filled[b] for b in open_bins)
+        free = free[[filled[where[j]] == least for j in free]]
+        score = WEIGHTS[0] * far[free] + WEIGHTS[1] * local[free] + WEIGHTS[2] * change[free] + WEIGHTS[3] * clarity[free]
+        best = int(free[np.argmax(score)])
+        chosen.append(best)
+        far = np.minimum(far, np.clip(1 - unit @ unit[best], 0, 2))
+    return protected, sorted(chosen)
+
+
+def greedy_selection(frames: DataFrame, case: str, order: str, vector: str, budget: int, parts: int = 1) -> DataFrame:
+    """(case, order, protected) of each case's selected frames: a sequential choice, so one case is one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        v = np.array(pdf[vector].tolist(), np.float64)
+        pieces = v.reshape(len(v), parts, -1)
+        unit = pieces / np.maximum(np.linalg.norm(pieces, axis=2, keepdims=True), 1e-12)
+        local = np.concatenate([[0.0], np.clip(1 - (unit[1:] * unit[:-1]).sum(2), 0, 2).max(1)])
+        spread = v.var(1)
+        below, equal = (spread[:, None] > spread[None]).sum(1), (spread[:, None] == spread[None]).sum(1) - 1
+        protected, chosen = choose(pdf[order].to_numpy(np.float64), v, local, (below + 0.5 * equal) / max(1, len(v) - 1), budget)
+        return pd.DataFrame({case: pdf[case].iloc[chosen], order: pdf[order].iloc[chosen], "protected": [i in protected for i in chosen]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    return frames.select(case, order, vector).groupBy(case).applyInPandas(run, f"{case} {kinds[case]}, {order} {kinds[order]}, protected boolean")
+
+
+def round_robin(candidates: DataFrame, pool: list[str], request: str, order: list[str], item: str, budget: int) -> DataFrame:
+    """Takes the requests' candidates in turn until the pool's budget is full; an item counts once, at its first turn.
+
+    Exact where a pool's requests share no item before the budget is reached; a shared item stays with its first turn.
+    """
+    turn = F.row_number().over(Window.partitionBy(*pool, request).orderBy(*order))
+    x = candidates.withColumn("turn", turn)
+    first = F.row_number().over(Window.partitionBy(*pool, item).orderBy("turn", request))
+    x = x.withColumn("__first", first).where("__first = 1")
+    place = F.row_number().over(Window.partitionBy(*pool).orderBy("turn", request))
+    return x.withColumn("place", place).where(F.col("place") <= budget).drop("__first")
+
+
+def cohorts(ranked: DataFrame, case: str, rank: str, item: str, percents: list[int]) -> DataFrame:
+    """(case, cohort, withheld, kept, first_kept): prefixes of the ranking that a cohort withholds.
+
+    (n * p + 50) // 100 rows, at least 1 and at most n - 1; percent 0 is the control, which withholds none.
+    """
+    w = Window.partitionBy(case)
+    x = ranked.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    withheld = F.when(F.col("percent") == 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor((F.col("n") * F.col("percent") + 50) / 100))))
+    x = x.withColumn("withheld", withheld.cast("long"))
+    return x.groupBy(case, "percent").agg(F.max("withheld").alias("withheld"), F.count_if(F.col(rank) > F.col("withheld")).alias("kept"), F.min(F.when(F.col(rank) > F.col("withheld"), F.col(item))).alias("least_kept"))
+
+
+def interleave(rows: DataFrame, group: str, unknown: str, within: list[Column], scope: list[str]) -> DataFrame:
+    """Adds queue_position: groups in turn, each in its own order, the unknown group last."""
+    turn = F.row_number().over(Window.partitionBy(*scope, group).orderBy(*within))
+    x = rows.withColumn("turn", turn)
+    place = F.row_number().over(Window.partitionBy(*scope).orderBy((F.col(group) == unknown).cast("int"), "turn", group))
+    return x.withColumn("queue_position", place)
+
+
+def natural_key(text: Column, width: int = 12) -> Column:
+    """Sort key in which digit runs compare as numbers (of up to `width` digits)."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(F.lower(p))), "")
