@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def collapse(text: Column) -> Column:
@@ -65,7 +66,7 @@ def clock(ms: Column) -> Column:
     return F.concat(F.when(minutes < 100, p(minutes, 2)).otherwise(minutes.cast("string")), F.lit(":"), p(F.floor(ms / 1000) % 60, 2), F.lit("."), p(ms % 1000, 3))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
