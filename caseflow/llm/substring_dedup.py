@@ -249,7 +249,9 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", window: int = WIND
     """
     found = C.written(_regions(docs, text_col, window, seed), "regions")
     by_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).where("n > 1")
-    found = C.written(found.join(by_anchor.select("anchor", (F.col("a") == F.col("b")).alias("equal")), "anchor"), "repeated")
+    # written, so that both sides of the join below are plain exchanges, whose hot anchors adaptive execution splits
+    by_anchor = C.written(by_anchor.select("anchor", (F.col("a") == F.col("b")).alias("equal")), "anchors")
+    found = C.written(found.join(by_anchor, "anchor"), "repeated")
     # distinct regions of the others, one place of each
     reference = found.where("not equal").groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "lo", "more")).alias("p"))
     reference = C.written(reference.select("anchor", "region", "n", "p.*"), "reference")
