@@ -133,14 +133,17 @@ class Shard:
             at = self.order[mid]
             less, open_ = np.zeros(len(live), bool), np.arange(len(live))
             for j in range(int(test.size.max())):
-                open_ = open_[j < test.size[live[open_]]]
+                whole = j >= test.size[live[open_]]
+                if after:
+                    less[open_[whole]] = True  # the suffix begins with the whole window
+                open_ = open_[~whole]
                 if not len(open_):
                     break
                 x, y = padded[at[open_] + j], pattern[test.start[live[open_]] + j]
                 less[open_[x < y]] = True
                 open_ = open_[x == y]
             if after:
-                less[open_] = True  # the suffix begins with the whole window
+                less[open_] = True
             lo[live[less]] = mid[less] + 1
             hi[live[~less]] = mid[~less]
             live = live[lo[live] < hi[live]]

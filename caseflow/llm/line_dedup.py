@@ -159,8 +159,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, keep: list[str], **opti
     gone = removed_lines(docs, id_col, text_col, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*keep, F.col(text_col).alias("__text"), F.col(id_col).alias("__id"), F.xxhash64(text).alias("__k1"), F.octet_length(text).alias("__k2"))
-    same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
-    return rows.join(gone.select("id", "k1", "k2", F.col("gone").alias("__gone")), same, "left").select(*keep, "__text", "__gone")
+    same = F.col("__id").eqNullSafe(F.col("__g_id")) & (F.col("__k1") == F.col("__g_k1")) & (F.col("__k2") == F.col("__g_k2"))
+    gone = gone.select(*[F.col(c).alias(f"__g_{c}") for c in ("id", "k1", "k2")], F.col("gone").alias("__gone"))
+    return rows.join(gone, same, "left").select(*keep, "__text", "__gone")
 
 
 def _left(text: str, gone: list[int] | None) -> tuple[int, str]:
