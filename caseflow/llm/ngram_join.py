@@ -6,8 +6,9 @@ class orders its shingles rare-first and keeps the prefix that any partner must
 come from shared prefix shingles under the length and positional filters; a suffix filter bounds the overlap by a
 64-bucket histogram of each set; what is left is verified once per pair on the whole sets.
 
-"Rare" is known from a sketch of fixed size: shingles whose sketch count stands out in some task are listed with
-their summed counts, the others are taken as rare. The sketch only orders shingles; any order gives exact results.
+"Rare" is known from a sketch of fixed size, 2**SKETCH_BITS counters that all texts are counted into; a counter that does
+not stand out from the mean is rare, the others fall into classes by powers of two. The sketch only orders shingles:
+any order gives exact results. Raise the parameter with the corpus, a byte of broadcast a counter.
 
 Only components are wanted: components.linked() looks for pairs in the shingles' lists without enumerating what is
 already one component, and leaves no link between different components.
@@ -21,6 +22,7 @@ empty result. component_id is the smallest id of the component. Only the named c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from caseflow.llm import columnar as C
 from caseflow.llm import components
 
-SKETCH_BITS, MOST_LISTED = 22, 1 << 18
+SKETCH_BITS = 24
+BLOCK_BITS = 16
 BUCKETS = 64
 
 
@@ -53,20 +56,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 class Order:
-    """Rare-first order: a shingle's token is 4 bits of frequency class and 60 bits of hash (below 2**63 as long as the class is under 8)."""
+    """Rare-first order: a shingle's token is 3 bits of frequency class and 60 bits of hash."""
 
-    def __init__(self, slots: np.ndarray, counts: np.ndarray):
-        order = np.argsort(slots)
-        self.slots = slots[order]
-        self.classes = np.minimum(1 + np.log2(np.maximum(counts[order], 1)) / 3, 7).astype(np.uint64)
+    def __init__(self, counts: np.ndarray):
+        """counts by slot, a power of two of them."""
+        self.shift = np.uint64(64 - int(len(counts) - 1).bit_length())
+        mean = counts.mean()
+        common = counts - (mean + 3 * mean**0.5 + 1)
+        self.classes = np.where(common > 0, np.minimum(1 + np.log2(np.maximum(common, 1)) / 2.5, 7), 0).astype(np.uint8)
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
-        slot = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-        if len(self.slots):
-            at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
-            cls = np.where(self.slots[at] == slot, self.classes[at], np.uint64(0))
-        else:
-            cls = np.zeros(len(h), np.uint64)
+        cls = self.classes[h >> self.shift].astype(np.uint64)
         return ((cls << np.uint64(60)) | (h >> np.uint64(4))).astype(np.int64)
 
 
@@ -81,24 +81,40 @@ def sets(data: np.ndarray, offsets: np.ndarray, k: int, order: Order) -> tuple[n
     return t[keep], np.searchsorted(text[keep], np.arange(len(offsets)))
 
 
-def frequency_order(docs: DataFrame, text_col: str, k: int) -> Order:
-    """One pass over all texts; the driver gets MOST_LISTED rows at most."""
+def frequency_order(docs: DataFrame, text_col: str, k: int, bits: int = SKETCH_BITS) -> Order:
+    """One pass over all texts; tasks' counters are added by blocks, the driver gets two bytes a counter."""
+    bits = max(bits, BLOCK_BITS)
+    block = 1 << BLOCK_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, data, offsets in C.chunks(batch, text_col):
                 h, text, _ = shingles(data, offsets, k)
-                slot = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                slot = np.unique(text * (1 << SKETCH_BITS) + slot) % (1 << SKETCH_BITS)
-                np.add.at(counts, slot, 1)
-        mean = counts.mean()
-        out = np.flatnonzero(counts > 4 + mean + 4 * mean**0.5)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(counts[out], pa.int64())], names=["slot", "n"])
+                # a document counts once for each shingle
+                h = np.unique(C.mix(h + text.astype(np.uint64) * C._BASE), return_index=True)[1], h
+                np.add.at(counts, (h[1][h[0]] >> np.uint64(64 - bits)).astype(np.int64), 1)
+        for i in range(0, len(counts), block):
+            part = counts[i : i + block]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(raw), np.uint32)
+                held[b] = held[b] + part if b in held else part.astype(np.int64)
+        for b, own in held.items():
+            # two bytes: a float16 of the square root keeps orders of magnitude and small counts exact
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.sqrt(own).astype(np.float16).tobytes()], pa.binary())], names=["block", "counts"])
 
-    rows = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = rows.orderBy(F.desc("n"), "slot").limit(MOST_LISTED).toPandas()
-    return Order(got["slot"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
+    rows = docs.select(text_col).mapInArrow(count, "block int, counts binary").repartition(1 << min(6, bits - BLOCK_BITS), "block").mapInArrow(add, "block int, counts binary")
+    counts = np.zeros(1 << bits, np.float32)
+    got = rows.toArrow()
+    for b, raw in zip(got.column("block").to_pylist(), got.column("counts").to_pylist(), strict=True):
+        counts[b * block : (b + 1) * block] = np.frombuffer(raw, np.float16).astype(np.float32) ** 2
+    return Order(counts)
 
 
 def _least_overlap(nx: str | Column, ny: str | Column, num: int, den: int) -> Column:
@@ -108,9 +124,9 @@ def _least_overlap(nx: str | Column, ny: str | Column, num: int, den: int) -> Co
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, order: object) -> DataFrame:
-    """(id, tkey, sid, n, prefix, hist): identity of text and set, size, prefix tokens, histogram."""
+    """(id, tkey, sid, n, prefix): identity of text and set, size, prefix tokens."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("tkey"))
-    schema = C.extend(rows.schema.fields[:1], "tkey binary, sid binary, n int, prefix array<long>, hist array<int>")
+    schema = C.extend(rows.schema.fields[:1], "tkey binary, sid binary, n int, prefix array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +143,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
                 least = -(-n * num // den)
                 size = np.where(n > 0, n - least + 1, 0)
                 at = np.repeat(offs[:-1], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                bucket = ((u >> np.uint64(54)) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                hist = np.bincount(np.repeat(np.arange(len(n)), n) * BUCKETS + bucket, minlength=len(n) * BUCKETS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), part.column("tkey"), pa.array(sid, pa.binary()), pa.array(n, pa.int32()),
                         pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(t[at], pa.int64())),
-                        pa.ListArray.from_arrays((np.arange(len(n) + 1) * BUCKETS).astype(np.int32), pa.array(hist, pa.int32())),
                     ],
                     names=schema.names,
                 )
@@ -145,51 +158,49 @@ class _Join:
     """State of one join: the classes, their lists, and what verification needs."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int):
-        self.num, self.den, self.k = num, den, k
+        self.num, self.den = num, den
         spark = docs.sparkSession
-        self.order = spark.sparkContext.broadcast(frequency_order(docs, text_col, k))  # 16 bytes a listed slot
-        self.docs = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        self.members = C.written(_signed(docs, id_col, text_col, k, num, den, self.order), "members")
-        self.classes = C.written(
-            self.members.where("n > 0").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("hist").alias("hist")),
-            "classes",
-        )
+        self.order = order = spark.sparkContext.broadcast(frequency_order(docs, text_col, k))  # a byte a counter
+        self.members = C.written(_signed(docs, id_col, text_col, k, num, den, order), "members")
+        classes = self.members.where("n > 0").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
         # a set so small that no other size is within the threshold only links with equal sets
         alone = (F.col("n") * num <= (F.col("n") - 1) * den) | ((F.col("n") + 1) * num <= F.col("n") * den)
-        entries = self.classes.where(alone).select(F.posexplode("prefix").alias("pos", "token"), "sid", "n")
+        entries = classes.where(alone).select(F.posexplode("prefix").alias("pos", "token"), "sid", "n")
         shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
         self.lists = C.written(entries.join(shared, "token"), "lists")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (u, v) among distinct pairs (x, y): suffix filter, then whole sets."""
-        hist = lambda s: self.classes.select(F.col("sid").alias(s), F.col("hist").alias(f"h{s}"), F.col("n").alias(f"n{s}"))
-        near = (
-            pairs.join(hist("x"), "x")
-            .join(hist("y"), "y")
-            .where(F.aggregate(F.zip_with("hx", "hy", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b) >= _least_overlap("nx", "ny", self.num, self.den))
-            .select("x", "y", "nx", "ny")
-        )
-        near = C.written(near, "pairs")
-        wanted = near.select(F.col("x").alias("sid")).union(near.select(F.col("y").alias("sid"))).distinct().join(self.classes.select("sid", "tkey"), "sid")
-        order, k = self.order, self.k
+        # the whole sets of all classes that stand in a list: one text of each
+        wanted = self.members.join(self.lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey"))
+        texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tkey", F.unhex(F.md5(F.col("text").cast("binary"))))
+        # equal texts: one of them
+        texts = texts.join(wanted, "tkey").dropDuplicates(["tkey"]).select("sid", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, data, offsets in C.chunks(batch, "text"):
                     t, offs = sets(data, offsets, k, order.value)
-                    yield pa.RecordBatch.from_arrays([part.column("sid"), pa.ListArray.from_arrays(offs.astype(np.int32), pa.array(t, pa.int64()))], names=["sid", "tokens"])
+                    n = np.diff(offs)
+                    bucket = ((t.astype(np.uint64) >> np.uint64(54)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+                    hist = np.bincount(np.repeat(np.arange(len(n)), n) * BUCKETS + bucket, minlength=len(n) * BUCKETS)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("sid"), pa.array(n, pa.int32()), pa.ListArray.from_arrays((np.arange(len(n) + 1) * BUCKETS).astype(np.int32), pa.array(hist, pa.int32())),
+                            pa.ListArray.from_arrays(offs.astype(np.int32), pa.array(t, pa.int64())),
+                        ],
+                        names=["sid", "n", "hist", "tokens"],
+                    )
+
+        self.sets = C.written(texts.mapInArrow(run, "sid binary, n int, hist array<int>, tokens array<long>"), "sets")
 
-        # one text of each wanted class; texts may repeat, so classes are made distinct by a hash of where they are
-        texts = self.docs.withColumn("tkey", F.unhex(F.md5(F.col("text").cast("binary")))).join(wanted, "tkey").select("sid", "text")
-        tokens = texts.mapInArrow(run, "sid binary, tokens array<long>").groupBy("sid").agg(F.any_value("tokens").alias("tokens"))
-        tokens = C.written(tokens, "tokens")
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Links (u, v) among distinct pairs (x, y): suffix filter, then whole sets."""
+        side = lambda s, c: self.sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col(c).alias(f"{c[0]}{s}"))
+        near = pairs.join(side("x", "hist"), "x").join(side("y", "hist"), "y")
+        near = near.where(F.aggregate(F.zip_with("hx", "hy", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b) >= _least_overlap("nx", "ny", self.num, self.den))
+        near = C.written(near.select("x", "y"), "pairs")
         both = F.size(F.array_intersect("tx", "ty"))
-        return (
-            near.join(tokens.select(F.col("sid").alias("x"), F.col("tokens").alias("tx")), "x")
-            .join(tokens.select(F.col("sid").alias("y"), F.col("tokens").alias("ty")), "y")
-            .where((self.num + self.den) * both >= self.num * (F.col("nx") + F.col("ny")))
-            .select(F.col("x").alias("u"), F.col("y").alias("v"))
-        )
+        near = near.join(side("x", "tokens"), "x").join(side("y", "tokens"), "y")
+        near = near.where((self.num + self.den) * both >= self.num * (F.col("nx") + F.col("ny")))
+        return near.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
     def fits(self) -> Column:
         """Length filter, and the positional filter for one shared token at (px, py)."""
