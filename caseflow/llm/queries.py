@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
-from caseflow.llm import decontaminate, language, line_dedup, lm_score, media, ngram_join, pieces, substring_dedup, toxicity, url_filter
+from caseflow.llm import decontaminate, language, line_dedup, lm_score, media, ngram_join, pieces, sql, substring_dedup, toxicity, url_filter
 
 PIECE_MODEL = "piece_bpe_32k.model"
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -52,7 +52,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("bound")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_substring_dedup": sql.SUBSTRING_DEDUP,
+        "op6_url_filter": sql.url_filter(URL_RULES),
+        "op7_ngram_join": sql.NGRAM_JOIN,
+        "op8_decontaminate": sql.DECONTAMINATE,
+    }
