@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,8 @@ def csv_with_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 def outcome_violations(outcomes: DataFrame, key: str, leak: str, numbers: list[str]) -> DataFrame:
     """(key, problem): repeated keys, leak other than Y, N or empty, numbers that are not finite and at least 0."""
-    checks = [F.when(F.count(F.lit(1)).over(_w(key)) > 1, "repeated key"), F.when(~F.coalesce(F.col(leak).isin("Y", "N", ""), F.lit(False)), "leak")]
+    outcomes = outcomes.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    checks = [F.when(F.col("__n") > 1, "repeated key"), F.when(~F.coalesce(F.col(leak).isin("Y", "N", ""), F.lit(False)), "leak")]
     for c in numbers:
         v = F.expr(f"try_cast(`{c}` as double)")
         checks.append(F.when((F.col(c) != "") & (v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf"))), c))
@@ -61,12 +62,6 @@ def outcome_violations(outcomes: DataFrame, key: str, leak: str, numbers: list[s
     return x.select(key, "problem")
 
 
-def _w(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
-
-
 def outcome(leak: Column) -> Column:
     """Y, N and empty as true, false and null."""
     return F.when(leak == "Y", True).when(leak == "N", False)
