@@ -6,14 +6,13 @@ class orders its shingles rare-first and keeps the prefix that any partner must
 come from shared prefix shingles under the length and positional filters; a suffix filter bounds the overlap by a
 64-bucket histogram of each set; what is left is verified once per pair on the whole sets.
 
-"Rare" is known from a sketch of fixed size, 2**SKETCH_BITS counters that all texts are counted into; a counter that does
-not stand out from the mean is rare, the others fall into classes by powers of two. The sketch only orders shingles:
-any order gives exact results. Raise the parameter with the corpus, a byte of broadcast a counter.
+"Rare" is known from a sketch of fixed size, 2**SKETCH_BITS counters that all texts are counted into; shingles are ordered
+by the class of their counter, then by hash. The sketch only orders shingles: any order gives exact results. Raise the parameter with the corpus, a byte of broadcast a counter.
 
 Only components are wanted: components.linked() looks for pairs in the shingles' lists without enumerating what is
 already one component, and leaves no link between different components.
 
-Shingles are compared as 60-bit hashes, sets as 128-bit hashes.
+Shingles are compared as 56-bit hashes, sets as 128-bit hashes.
 
 Defined results: null is the empty text; a text without words has no shingle, links with nothing and is its own
 component; equal sets are linked; repeated rows (even of one id) are members like any other; an empty table gives an
@@ -56,18 +55,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 class Order:
-    """Rare-first order: a shingle's token is 3 bits of frequency class and 60 bits of hash."""
+    """Rare-first order: a shingle's token is 7 bits of frequency class and 56 bits of hash.
+
+    Classes cut the counters at 127 quantiles of the shingles' mass, so that they are fine where most shingles are: a
+    prefix takes the lowest counters, and hardly any shingle that occurs twice has one of those.
+    """
 
     def __init__(self, counts: np.ndarray):
         """counts by slot, a power of two of them."""
         self.shift = np.uint64(64 - int(len(counts) - 1).bit_length())
-        mean = counts.mean()
-        common = counts - (mean + 3 * mean**0.5 + 1)
-        self.classes = np.where(common > 0, np.minimum(1 + np.log2(np.maximum(common, 1)) / 2.5, 7), 0).astype(np.uint8)
+        value, n = np.unique(np.rint(counts), return_counts=True)
+        mass = np.cumsum(value * n)
+        cuts = value[np.searchsorted(mass, mass[-1] * np.arange(1, 128) / 128)] if mass[-1] > 0 else value[:1]
+        self.classes = np.searchsorted(np.unique(cuts), counts.round()).astype(np.uint8)
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         cls = self.classes[h >> self.shift].astype(np.uint64)
-        return ((cls << np.uint64(60)) | (h >> np.uint64(4))).astype(np.int64)
+        return ((cls << np.uint64(56)) | (h >> np.uint64(8))).astype(np.int64)
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int, order: Order) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +183,7 @@ class _Join:
                 for part, data, offsets in C.chunks(batch, "text"):
                     t, offs = sets(data, offsets, k, order.value)
                     n = np.diff(offs)
-                    bucket = ((t.astype(np.uint64) >> np.uint64(54)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+                    bucket = ((t.astype(np.uint64) >> np.uint64(50)) & np.uint64(BUCKETS - 1)).astype(np.int64)
                     hist = np.bincount(np.repeat(np.arange(len(n)), n) * BUCKETS + bucket, minlength=len(n) * BUCKETS)
                     yield pa.RecordBatch.from_arrays(
                         [
