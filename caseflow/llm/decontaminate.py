@@ -60,12 +60,14 @@ class TestBlock:
 
 
 def suffix_array(ranks: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first `depth` ranks at least (prefix doubling); ranks are dense from 1, 0 ends a text."""
+    """Order of all suffixes by their first `depth` ranks at least (prefix doubling); ranks are positive, 0 ends a text."""
+    # the first ranks may be larger than their number: a slice has few words of a large vocabulary
+    base = max(len(ranks), int(ranks.max(initial=0))) + 1
     k, order = 1, np.argsort(ranks, kind="stable")
     while k < depth:
         later = np.zeros(len(ranks), np.int64)
         later[:-k] = ranks[k:]
-        key = ranks.astype(np.int64) * (len(ranks) + 1) + later
+        key = ranks.astype(np.int64) * base + later
         order = np.argsort(key, kind="stable")
         new = np.empty(len(ranks), np.int64)
         new[order] = np.cumsum(np.concatenate([[1], (np.diff(key[order]) != 0).astype(np.int64)]))

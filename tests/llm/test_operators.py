@@ -436,6 +436,21 @@ def test_longest_matches_and_places(spark):
     assert [m.asDict() for m in got["_matches"]] == [{"start": 2, "words": 20, "item": "7", "offset": 5}]
 
 
+def test_short_documents_against_a_large_vocabulary(spark):
+    """A slice of few words, whose words have ranks far above their number."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"v{30 * i + k}" for k in range(30))) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join(["before", *items[rng.randrange(200)][1].split()[4:26], "after", *rng.sample(items[rng.randrange(200)][1].split(), 8)])) for i in range(40)]
+    alone = frame(spark, rows).repartition(40, "doc_id")
+    assert Counter(map(tuple, decontaminate.report(alone, bench).collect())) == contaminated_by_force(rows, items)
+    test = decontaminate.TestBlock([str(i) for i, _ in items], [t for _, t in items], 13)
+    for _, t in rows:
+        data, offsets = C.column(pa.table({"t": [t]}), "t")
+        text, start, length, _, n_words = decontaminate.find_matches(data, offsets, test, 13)
+        assert (text.tolist(), start.tolist(), length.tolist(), n_words.tolist()) == ([0], [1], [22], [32])
+
+
 # --- 9 language model ---------------------------------------------------------------------------------------------------
 
 
