@@ -212,24 +212,30 @@ class _Join:
         bound = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
         return (nx * den >= ny * num) & (ny * den >= nx * num) & ((num + den) * bound >= num * (nx + ny))
 
-def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; num / den is the least similarity."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, tkey, sid, n, root) of every row; root is the component's smallest set."""
     join = _Join(docs, id_col, text_col, k, num, den)
     roots = components.linked(join.lists.select("token", F.col("sid").alias("node"), F.struct("n", "pos").alias("a")), join.verified, join.fits())
-    members = join.members.select("id", "sid", "n").join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left")
-    members = members.withColumn("root", F.coalesce("root", "sid"))
+    members = join.members.select("id", "tkey", "sid", "n").join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left")
+    return members.withColumn("root", F.coalesce("root", "sid"))
+
+
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; num / den is the least similarity."""
+    members = _rooted(docs, id_col, text_col, k, num, den)
     least = members.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     out = members.join(least, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of docs, one of each component: the smallest id's, of repeated ids the first text; textless rows all stay."""
-    found = components_of(docs, id_col, text_col, k, num, den)
-    # a row stays if it is textless or its id is its component's
-    keep = found.where((F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]), "left_semi")
+    """Rows of docs, one of each component: the smallest by (id, hash of text, other columns), a null id last; textless rows all stay."""
+    members = _rooted(docs, id_col, text_col, k, num, den)
+    # ids may be null or repeat: id and text name the row, and rows equal in both are of one component
+    first = members.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "tkey")).alias("m")).select(F.col("m.id").alias("__id"), F.col("m.tkey").alias("__tkey"))
     rest = F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\r\x0b\x0c", "     ")) == ""
-    first = kept.where(~rest).groupBy(id_col).agg(F.min(F.struct(*[F.col(c) for c in [text_col, *[c for c in docs.columns if c not in (text_col, id_col)]]])).alias("r"))
-    first = first.select(*[F.col(id_col) if c == id_col else F.col(f"r.{c}").alias(c) for c in docs.columns])
-    return kept.where(rest).unionByName(first)
+    keyed = docs.where(~rest).withColumn("__k", F.unhex(F.md5(F.col(text_col).cast("binary"))))
+    kept = keyed.join(first, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__tkey")), "left_semi")
+    one = kept.groupBy(id_col, "__k").agg(F.min(F.struct(*[F.col(c) for c in [text_col, *[c for c in docs.columns if c not in (text_col, id_col)]]])).alias("r"))
+    one = one.select(*[F.col(id_col) if c == id_col else F.col(f"r.{c}").alias(c) for c in docs.columns])
+    return docs.where(rest).unionByName(one)

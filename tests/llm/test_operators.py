@@ -367,6 +367,26 @@ def test_one_per_component(spark, docs, rows):
     assert ngram_join.components_of(docs.limit(0)).count() == 0
 
 
+def test_one_per_component_with_null_and_repeated_ids(spark):
+    """Each component keeps one row, whatever the ids: null, of many texts, or of rows in several components."""
+    rng = random.Random(14)
+    base = [[f"b{i}x{k}" for k in range(60)] for i in range(12)]
+    rows = [(None if i < 4 else 7 if i < 8 else i, " ".join(b)) for i, b in enumerate(base)]
+    rows += [(rng.choice([None, 7, 8, 3]), " ".join([*b[:-1], "other"])) for b in base] + [(9, rows[8][1]), rows[0], rows[5], (None, ""), (7, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_per_component(frame(spark, rows)).collect()]
+    of = {b[0]: i for i, b in enumerate(base)}
+    got = defaultdict(list)
+    for i, t in kept:
+        if words(t):
+            got[of[words(t)[0]]].append((i, t))
+    want = defaultdict(list)
+    for i, t in rows:
+        if words(t):
+            want[of[words(t)[0]]].append((i is None, i or 0, hashlib.md5(t.encode()).digest(), i, t))
+    assert dict(got) == {c: [min(m)[3:]] for c, m in want.items()}
+    assert Counter(x for x in kept if not words(x[1])) == Counter([(None, ""), (7, " ")])
+
+
 def test_linked_finds_all_components_within_lists(spark):
     rng = random.Random(9)
     nodes = list(range(120))
