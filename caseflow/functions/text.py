@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,6 +73,34 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def similarity_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """similarity() where it is `least` or more, else null.
+
+    A bound is looked at first: a ratio r leaves d = (1 - r) * (len(x) + len(y)) characters unmatched, each of which
+    parts at most 4 of the longer text's substrings of 4; the others stand in both texts.
+    """
+    held: dict[str, Counter] = {}
+
+    def grams(x: str) -> Counter:
+        if x not in held:
+            held[x] = Counter(x[i : i + 4] for i in range(len(x) - 3))
+        return held[x]
+
+    def ratio(x: str, y: str, cut: float) -> float | None:
+        if x == y:
+            return 1.0
+        need = max(len(x), len(y)) - 3 - 4 * (1 - cut) * (len(x) + len(y)) - 1e-6
+        if need > 0:
+            other = grams(y)
+            if sum(min(n, other[g]) for g, n in grams(x).items() if g in other) < need:
+                return None
+        r = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+        return r if r >= cut else None
+
+    return pd.Series([ratio(x or "", y or "", cut) for x, y, cut in zip(a, b, least, strict=True)], dtype="float64")
+
+
 #: Findings of a text scan, by category; fixed patterns without look-around, so that any regex engine agrees.
 HYGIENE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",

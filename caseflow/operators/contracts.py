@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions import text as X
+
 VIOLATIONS = ("record_id", "rule_id", "key", "message")
 
 
@@ -101,3 +104,18 @@ def uncovered(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
 def canonical(columns: list[str]) -> Column:
     """JSON of the named columns in sorted order, nulls kept."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def restatements(messages: DataFrame, record: str, order: str, statement: str, least: float) -> DataFrame:
+    """(record, order, earlier): each statement with every earlier one of its record at a similarity ratio of `least` or more.
+
+    Statements of such a pair differ in length by a factor of (2 - least) / least at most, so that they stand in the
+    same or in neighbouring length buckets: each statement is dealt to its own, each earlier one to three.
+    """
+    w = Window.partitionBy(record).orderBy(order, statement)
+    x = messages.select(F.col(record).alias("r"), F.col(order).alias("o"), F.col(statement).alias("s"), F.row_number().over(w).alias("p")).where("s is not null")
+    # the factor is taken a little larger, so that no rounding parts a pair; the empty statement is alone
+    x = x.withColumn("n", F.length("s")).withColumn("b", F.when(F.col("n") > 0, F.floor(F.log("n") / math.log(1.01 * (2 - least) / least))).otherwise(-9))
+    y = x.select(F.col("r").alias("r2"), F.col("o").alias("earlier"), F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("n").alias("n2"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b2"))
+    near = x.join(y, F.col("r").eqNullSafe(F.col("r2")) & (F.col("b") == F.col("b2")) & (F.col("p2") < F.col("p")) & (2 * F.least("n", "n2") >= least * (F.col("n") + F.col("n2"))))
+    return near.where(X.similarity_from("s", "s2", F.lit(least)).isNotNull()).select(F.col("r").alias(record), F.col("o").alias(order), "earlier")

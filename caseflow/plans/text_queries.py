@@ -117,11 +117,8 @@ def restated_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def restatement_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring messages of a conversation with a similarity ratio of 0.93 or more; lengths are compared first."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    s = table(spark, d, "conversations").select("conv_id", "turn", X.statement(F.col("text")).alias("s"))
-    s = s.withColumn("b", F.lag("s").over(w)).where("b is not null and 2 * least(length(s), length(b)) >= 0.93 * (length(s) + length(b))")
-    return s.where(X.similarity("s", "b") >= 0.93).select("conv_id", "turn")
+    """Messages of a conversation with all earlier ones at a similarity ratio of 0.93 or more; lengths are compared first."""
+    return K.restatements(table(spark, d, "conversations").select("conv_id", "turn", X.statement(F.col("text")).alias("s")), "conv_id", "turn", "s", 0.93)
 
 
 @query(
