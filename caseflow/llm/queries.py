@@ -44,7 +44,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digests(table(spark, sf_dir, "documents"))
+    return line_dedup.digests(table(spark, sf_dir, "documents"), shingle=line_dedup.FINE)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

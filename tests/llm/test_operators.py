@@ -234,6 +234,27 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_fine_shingles_link_lines_with_one_changed_word(spark, tmp_path):
+    """The query over lines of 40 to 120 characters, one word of each changed, in scripts of one, two and three bytes."""
+    rng = random.Random(15)
+    lines = []
+    for letters in ("abcdefghijklmnop", "абвгдежзиклмнопр", "あいうえおかきくけこさしすせそた"):
+        for _ in range(25):
+            own, n = [], rng.randint(40, 120)
+            while len(" ".join(own)) < n:
+                own.append("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))))
+            near = list(own)
+            i = rng.randrange(len(near))
+            near[i] = "".join(rng.choice(letters) for _ in near[i])
+            lines += [" ".join(own), " ".join(near)]
+    frame(spark, list(enumerate(lines))).write.parquet(f"{tmp_path}/documents.parquet")
+    cut = lambda x: {x[i : i + 4] for i in range(len(x) - 3)}
+    links = {i + 1 for i in range(0, len(lines), 2) if 5 * len(cut(lines[i]) & cut(lines[i + 1])) >= 4 * len(cut(lines[i]) | cut(lines[i + 1]))}
+    got = {r["doc_id"] for r in queries.op4_line_dedup(spark, str(tmp_path)).where("n_removed > 0").collect()}
+    assert got <= links and len(links - got) <= 1 and len(links) > 40  # recall of the bands is 0.99 at the threshold
+    assert all(any(50 * s < i <= 50 * (s + 1) for i in got) for s in range(3))
+
+
 def test_line_dedup_odd_rows(spark, docs, rows):
     out = line_dedup.digests(docs)
     assert out.count() == len(rows)
