@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("lines", dedup_lines), ("near_duplicates", drop_near_duplicates), ("benchmark", drop_benchmark), ("pieces", encode)]
 
-#: SQL can express neither the learned stage nor signatures: the tests hold every stage against a brute-force version.
+#: SQL can express neither the learned stage nor signatures: the tests hold the stages' operators, each by itself, against brute-force versions.
 ORACLE_SQL = None
 
 
