@@ -8,12 +8,14 @@ and never on the partition.
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are looked at in one go.
@@ -77,11 +79,47 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes a job's shuffle files once the job has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet to the shared folder and read again: later steps neither repeat the plan nor need its shuffle files."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what written() wrote for these frames; nothing that is still to be computed may read them."""
+    for df in frames:
+        path = _folders.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be none of the columns (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +181,41 @@ def window_hash(tokens: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * _power(1, len(tokens) + 1)[: len(tokens) - k + 1] + np.uint64(k))
 
 
+def distinct(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(each text's distinct hashes in ascending order; offsets by text) of hashes and their texts, n texts in all."""
+    by = np.argsort(h)
+    by = by[np.argsort(text[by].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
+    h, text = h[by], text[by]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[keep], np.searchsorted(text[keep], np.arange(n + 1))
+
+
+def parities(h: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """(text, bits / 64): by bit, whether an odd number of the text's hashes falls on it; bits is a power of two.
+
+    A bit in which two sets differ stands for one element at least that only one of them has: the number of such bits
+    never exceeds the size of the sets' symmetric difference.
+    """
+    out = np.zeros((len(offsets) - 1, bits // 64), np.uint64)
+    bit = mix(h * _M2) >> np.uint64(64 - (bits - 1).bit_length())
+    text = np.repeat(np.arange(len(out)), np.diff(offsets))
+    np.bitwise_xor.at(out.reshape(-1), text * out.shape[1] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def least_overlap(nx: Column, ny: Column, num: int, den: int) -> Column:
+    """Smallest overlap of two sets of these sizes with Jaccard similarity num / den."""
+    return F.ceil((nx + ny) * num / (num + den) - 1e-9)
+
+
+def may_link(num: int, den: int, bits: int) -> Column:
+    """What holds for all sets ax, ay (structs of the size n and parities q0, q1, ...) of this similarity: sizes, and parities."""
+    nx, ny = F.col("ax.n"), F.col("ay.n")
+    apart = sum((F.bit_count(F.col(f"ax.q{i}").bitwiseXOR(F.col(f"ay.q{i}"))) for i in range(bits // 64)), F.lit(0))
+    return (nx * den >= ny * num) & (ny * den >= nx * num) & (apart <= nx + ny - 2 * least_overlap(nx, ny, num, den))
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """The text of each word, from words()' third result."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -1,88 +1,118 @@
-"""Connected components by alternating large-star and small-star rounds (distributed union-find).
+"""Connected components by distributed union-find, and links found in shared lists.
 
-No group is ever gathered: every step is a minimum by key and a join, which adaptive execution may split. Each round
-is written to the shared folder, so lineage stays short; the number of rounds grows with the logarithm of the
-longest path. The test for the end is a count and a sum of hashes, two numbers.
+Each task first joins the edges that it holds by union-find in memory; what is left are stars within tasks. Then
+alternating large-star and small-star rounds, each a minimum by key and a join, which adaptive execution may split, join
+the stars of different tasks; their number grows with the logarithm of the longest path between tasks. No group is ever gathered. Each
+round is written to the shared folder, so lineage stays short, and replaces the one before. The test for the end is an aggregate by
+node: no node has two parents, and no parent has one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
 
+#: Edges that a task joins in memory at a time.
+LOCAL_EDGES = 1 << 20
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of all nodes of these edges that are not the smallest themselves."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:
+        x, y = parent[a], parent[b]
+        live = x != y
+        if not live.any():
+            break
+        a, b, x, y = a[live], b[live], x[live], y[live]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:  # every path ends at its root
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    low = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[low], nodes[parent[low]]
+
+
+def _locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def joined() -> pa.RecordBatch:
+        u, v = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= LOCAL_EDGES:
+            yield joined()
+            held, n = [], 0
+    if n:
+        yield joined()
+
+
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    ends = e.select(F.col("u").alias("node"), "v", F.lit(False).alias("parent")).union(e.select("v", F.lit(None).cast("long"), F.lit(True)))
+    by = ends.groupBy("node").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("parent").alias("parent"))
+    return by.where("lo != hi or (lo is not null and parent)").isEmpty()
 
 
 def roots(edges: DataFrame) -> DataFrame:
     """(u, v): every node that has a smaller one in its component, and the component's smallest node.
 
-    edges: (u, v) of any orderable type, undirected; repeated edges and loops are fine. Smallest nodes themselves
-    and nodes without edges have no row.
+    edges: (u, v) of longs, undirected; repeated edges and loops are fine, null ends are left out. Smallest nodes
+    themselves and nodes without edges have no row.
     """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u != v").distinct()
-    e = C.written(e, "edges")
-    mark = _mark(e)
-    while mark[0]:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u != v")
+    e = C.written(e.mapInArrow(_locally, "u long, v long").distinct(), "edges")
+    while not _is_forest_of_stars(e):
+        both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = C.written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        new = _mark(e)
-        if new == mark:
-            break
-        mark = new
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, e = e, C.written(small.union(low.select("u", F.col("m").alias("v"))).mapInArrow(_locally, "u long, v long").distinct(), "edges")
+        C.dropped(before)
     return e
 
 
-def _largest(lists: DataFrame) -> DataFrame:
-    """(token, comp): the component with the most members of each list; of equal ones the largest id."""
-    sizes = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    return sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("comp"))
-
-
 def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
     """Components, as in roots(), of all verified links between nodes that share a list.
 
-    lists: (token, node, a), a being a struct of what `fits`, a predicate over ax and ay, looks at. verified() takes
-    distinct pairs (x, y) and returns those that are links as (u, v).
+    lists: (token, node long, a), a being a struct of what `fits`, a predicate over ax and ay, looks at; it must hold for every
+    link, and only pairs for which it holds leave a join. verified() takes distinct pairs (x, y) and returns those that are links as (u, v).
 
-    Three steps, none of which enumerates the pairs of a group that is one component already: (1) each member of a
-    list with the list's leader, by a node's own rank, so that all lists of a group tend to one leader; (2) members
-    outside the list's largest component with a member inside, another one for each list; (3) the rest, exactly:
-    members outside the largest component with all members of other components. What (3) rejects is no link, so
-    no link between different components is left.
+    Two steps, neither of which gives out the pairs of a group that is one component already: (1) each member of a
+    list with one member that a hash of token and node chooses, so that a node is held against another leader in each of its lists;
+    (2) the rest, exactly: members outside their list's largest component with members of other components. What (2) rejects is no
+    link, so no link between different components is left.
     """
 
     def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("token", F.col("node").alias(s), F.col("a").alias(f"a{s}"), F.col("comp").alias(f"c{s}"))
-
-    def labelled(links: DataFrame | None) -> DataFrame:
-        if links is None:
-            return lists.withColumn("comp", F.col("node"))
-        return lists.join(links.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    def grown(links: DataFrame | None, left: DataFrame, right: DataFrame) -> DataFrame:
-        pairs = side(left, "x").join(side(right, "y"), "token").where("cx != cy").where(fits)
-        found = verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        return roots(found if links is None else links.unionByName(found))
-
-    def leader(rows: DataFrame, *rank: str) -> DataFrame:
-        return rows.groupBy("token").agg(F.min_by(F.struct("node", "a", "comp"), F.xxhash64(*rank)).alias("l")).select("token", "l.*")
-
-    own = labelled(None)
-    links = grown(None, own, leader(own, "node"))
-    own = labelled(links)
-    most = _largest(own)
-    inside, outside = own.join(most, ["token", "comp"]), own.join(most, ["token", "comp"], "left_anti")
-    links = grown(links, outside, leader(inside, "node", "token"))
-    own = labelled(links)
-    outside = own.join(_largest(own), ["token", "comp"], "left_anti")
-    return grown(links, outside, own)
+        return rows.select(F.col("token").alias(f"t{s}"), F.col("node").alias(s), F.col("a").alias(f"a{s}"), F.col("comp").alias(f"c{s}"))
+
+    def found(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = side(left, "x").join(side(right, "y"), (F.col("tx") == F.col("ty")) & (F.col("cx") != F.col("cy")) & fits)
+        return C.written(verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()), "links")
+
+    own = lists.withColumn("comp", F.col("node"))
+    leader = own.groupBy("token").agg(F.min_by(F.struct("node", "a", "comp"), F.xxhash64("node", "token")).alias("l")).select("token", "l.*")
+    links = found(own, leader)
+    first = roots(links)
+    C.dropped(links)
+    own = C.written(lists.join(first.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
+    sizes = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("comp"))
+    links = found(own.join(largest, ["token", "comp"], "left_anti"), own)
+    out = roots(links.union(first))
+    C.dropped(own, links, first)
+    return out

@@ -3,16 +3,22 @@
 Shingles are `k` consecutive words (A-Z lower-cased, split at ASCII white space); a text of fewer words is one
 shingle; sets, not bags. Documents of equal sets are one class from the start, so copies are never compared. Each
 class orders its shingles rare-first and keeps the prefix that any partner must share (prefix filter). Candidates
-come from shared prefix shingles under the length and positional filters; a suffix filter bounds the overlap by a
-64-bucket histogram of each set; what is left is verified once per pair on the whole sets.
+come from shared prefix shingles under the length, positional and suffix filters; what is left is verified once per
+pair on the whole sets.
 
-"Rare" is known from a sketch of fixed size, 2**SKETCH_BITS counters that all texts are counted into; shingles are ordered
-by the class of their counter, then by hash. The sketch only orders shingles: any order gives exact results. Raise the parameter with the corpus, a byte of broadcast a counter.
+The order that all classes share: first the shingles whose hash lies in the lowest SHARE * (1 - similarity) of all hashes, by the exact number
+of classes that hold them, then all others by hash. So only that part of all shingles is counted and shuffled, and any
+order gives exact results. A class without enough shingles of the first kind adds its first others. Shingles that no other class has are never in a list, so
+a class with a prefix of such shingles alone, as most have, is done after the count.
 
-Only components are wanted: components.linked() looks for pairs in the shingles' lists without enumerating what is
+The suffix filter bounds the Hamming distance of two sets from below by parities: each set sends its shingles by hash to PARITIES
+bits and keeps whether each bit got an odd number. Every bit in which two sets differ is one shingle at least that only one of
+them has, so the filter loses nothing. It is part of the join's condition, so that only pairs that pass it leave the join.
+
+Only components are wanted: components.linked() looks for pairs in the shingles' lists without giving out what is
 already one component, and leaves no link between different components.
 
-Shingles are compared as 56-bit hashes, sets as 128-bit hashes.
+Shingles are compared as 64-bit hashes, sets as 128-bit hashes.
 
 Defined results: null is the empty text; a text without words has no shingle, links with nothing and is its own
 component; equal sets are linked; repeated rows (even of one id) are members like any other; an empty table gives an
@@ -21,7 +27,6 @@ empty result. component_id is the smallest id of the component. Only the named c
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +37,8 @@ from pyspark.sql import functions as F
 from caseflow.llm import columnar as C
 from caseflow.llm import components
 
-SKETCH_BITS = 24
-BLOCK_BITS = 16
-BUCKETS = 64
+SHARE = 2.5
+PARITIES = 512
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,103 +58,58 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, own, n
 
 
-class Order:
-    """Rare-first order: a shingle's token is 7 bits of frequency class and 56 bits of hash.
-
-    Classes cut the counters at 127 quantiles of the shingles' mass, so that they are fine where most shingles are: a
-    prefix takes the lowest counters, and hardly any shingle that occurs twice has one of those.
-    """
-
-    def __init__(self, counts: np.ndarray):
-        """counts by slot, a power of two of them."""
-        self.shift = np.uint64(64 - int(len(counts) - 1).bit_length())
-        value, n = np.unique(np.rint(counts), return_counts=True)
-        mass = np.cumsum(value * n)
-        cuts = value[np.searchsorted(mass, mass[-1] * np.arange(1, 128) / 128)] if mass[-1] > 0 else value[:1]
-        self.classes = np.searchsorted(np.unique(cuts), counts.round()).astype(np.uint8)
-
-    def tokens(self, h: np.ndarray) -> np.ndarray:
-        cls = self.classes[h >> self.shift].astype(np.uint64)
-        return ((cls << np.uint64(56)) | (h >> np.uint64(8))).astype(np.int64)
-
-
-def sets(data: np.ndarray, offsets: np.ndarray, k: int, order: Order) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of all texts, each text's distinct and ascending; offsets by text)."""
+def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all texts' shingles, each text's distinct and ascending; offsets by text)."""
     h, text, _ = shingles(data, offsets, k)
-    t = order.tokens(h)
-    by = np.lexsort((t, text))
-    t, text = t[by], text[by]
-    keep = np.ones(len(t), bool)
-    keep[1:] = (t[1:] != t[:-1]) | (text[1:] != text[:-1])
-    return t[keep], np.searchsorted(text[keep], np.arange(len(offsets)))
-
-
-def frequency_order(docs: DataFrame, text_col: str, k: int, bits: int = SKETCH_BITS) -> Order:
-    """One pass over all texts; tasks' counters are added by blocks, the driver gets two bytes a counter."""
-    bits = max(bits, BLOCK_BITS)
-    block = 1 << BLOCK_BITS
+    return C.distinct(h, text, len(offsets) - 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            for _, data, offsets in C.chunks(batch, text_col):
-                h, text, _ = shingles(data, offsets, k)
-                # a document counts once for each shingle
-                h = np.unique(C.mix(h + text.astype(np.uint64) * C._BASE), return_index=True)[1], h
-                np.add.at(counts, (h[1][h[0]] >> np.uint64(64 - bits)).astype(np.int64), 1)
-        for i in range(0, len(counts), block):
-            part = counts[i : i + block]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), np.uint32)
-                held[b] = held[b] + part if b in held else part.astype(np.int64)
-        for b, own in held.items():
-            # two bytes: a float16 of the square root keeps orders of magnitude and small counts exact
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.sqrt(own).astype(np.float16).tobytes()], pa.binary())], names=["block", "counts"])
 
-    rows = docs.select(text_col).mapInArrow(count, "block int, counts binary").repartition(1 << min(6, bits - BLOCK_BITS), "block").mapInArrow(add, "block int, counts binary")
-    counts = np.zeros(1 << bits, np.float32)
-    got = rows.toArrow()
-    for b, raw in zip(got.column("block").to_pylist(), got.column("counts").to_pylist(), strict=True):
-        counts[b * block : (b + 1) * block] = np.frombuffer(raw, np.float16).astype(np.float32) ** 2
-    return Order(counts)
+def fits(num: int, den: int) -> Column:
+    """Length and suffix filter, and positional filter for one shared shingle at (ax.pos, ay.pos)."""
+    nx, ny, px, py = F.col("ax.n"), F.col("ay.n"), F.col("ax.pos"), F.col("ay.pos")
+    bound = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
+    return ((num + den) * bound >= num * (nx + ny)) & C.may_link(num, den, PARITIES)
 
 
-def _least_overlap(nx: str | Column, ny: str | Column, num: int, den: int) -> Column:
-    """Smallest overlap of two sets with similarity num / den."""
-    total = (F.col(nx) if isinstance(nx, str) else nx) + (F.col(ny) if isinstance(ny, str) else ny)
-    return F.ceil(total * num / (num + den) - 1e-9)
+def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, tkey, s1, s2, n, low, own, q): identity of text and set, size, first shingles of the order, how many of them are counted, parities.
 
-
-def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, order: object) -> DataFrame:
-    """(id, tkey, sid, n, prefix): identity of text and set, size, prefix tokens."""
+    own and q only once an Arrow batch for each set.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("tkey"))
-    schema = C.extend(rows.schema.fields[:1], "tkey binary, sid binary, n int, prefix array<long>")
+    schema = C.extend(rows.schema.fields[:1], "tkey binary, s1 long, s2 long, n int, low int, own array<long>, q array<long>")
+    cut = np.uint64(min(int((1 << 64) * SHARE * (1 - num / den)), (1 << 64) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[bytes] = set()
             for part, data, offsets in C.chunks(batch, "text"):
-                t, offs = sets(data, offsets, k, order.value)
+                h, offs = sets(data, offsets, k)
                 n = np.diff(offs)
-                u = t.astype(np.uint64)
                 full = np.flatnonzero(n)
                 total = np.zeros((len(n), 2), np.uint64)
-                for j, salt in enumerate((C._BASE, C._M1)):  # sums of independent hashes of the distinct tokens
+                for j, salt in enumerate((C._BASE, C._M1)):  # sums of independent hashes of the distinct shingles
                     if len(full):
-                        total[full, j] = np.add.reduceat(C.mix(u * salt + np.uint64(j)), offs[full])
-                sid = [row.tobytes() for row in total]
-                least = -(-n * num // den)
-                size = np.where(n > 0, n - least + 1, 0)
+                        total[full, j] = np.add.reduceat(C.mix(h * salt + np.uint64(j)), offs[full])
+                low = np.concatenate([[0], np.cumsum(h < cut)])
+                low = low[offs[1:]] - low[offs[:-1]]
+                # hashes ascend within a text: counted ones come first, then the others by hash
+                size = np.maximum(low, n - -(-n * num // den) + 1)
+                # so small a set that no other size is within the threshold links with equal sets alone
+                size[(n == 0) | ((n * num > (n - 1) * den) & ((n + 1) * num > n * den))] = 0
+                first = np.zeros(len(n), bool)
+                for i, key in enumerate(map(bytes, total)):
+                    first[i] = key not in seen
+                    seen.add(key)
+                size[~first] = 0
                 at = np.repeat(offs[:-1], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                q = C.parities(h, offs, PARITIES)
+                width = np.where(size > 0, q.shape[1], 0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("id"), part.column("tkey"), pa.array(sid, pa.binary()), pa.array(n, pa.int32()),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(t[at], pa.int64())),
+                        part.column("id"), part.column("tkey"), pa.array(total[:, 0].view(np.int64)), pa.array(total[:, 1].view(np.int64)), pa.array(n, pa.int32()), pa.array(low, pa.int32()),
+                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(h[at].view(np.int64))),
+                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(width)]).astype(np.int32), pa.array(q[size > 0].reshape(-1).view(np.int64))),
                     ],
                     names=schema.names,
                 )
@@ -158,66 +117,63 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     return rows.mapInArrow(run, schema)
 
 
-class _Join:
-    """State of one join: the classes, their lists, and what verification needs."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int):
-        self.num, self.den = num, den
-        spark = docs.sparkSession
-        self.order = order = spark.sparkContext.broadcast(frequency_order(docs, text_col, k))  # a byte a counter
-        self.members = C.written(_signed(docs, id_col, text_col, k, num, den, order), "members")
-        classes = self.members.where("n > 0").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-        # a set so small that no other size is within the threshold only links with equal sets
-        alone = (F.col("n") * num <= (F.col("n") - 1) * den) | ((F.col("n") + 1) * num <= F.col("n") * den)
-        entries = classes.where(alone).select(F.posexplode("prefix").alias("pos", "token"), "sid", "n")
-        shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-        self.lists = C.written(entries.join(shared, "token"), "lists")
-        # the whole sets of all classes that stand in a list: one text of each
-        wanted = self.members.join(self.lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey"))
-        texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tkey", F.unhex(F.md5(F.col("text").cast("binary"))))
-        # equal texts: one of them
-        texts = texts.join(wanted, "tkey").dropDuplicates(["tkey"]).select("sid", "text")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, offsets in C.chunks(batch, "text"):
-                    t, offs = sets(data, offsets, k, order.value)
-                    n = np.diff(offs)
-                    bucket = ((t.astype(np.uint64) >> np.uint64(50)) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                    hist = np.bincount(np.repeat(np.arange(len(n)), n) * BUCKETS + bucket, minlength=len(n) * BUCKETS)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("sid"), pa.array(n, pa.int32()), pa.ListArray.from_arrays((np.arange(len(n) + 1) * BUCKETS).astype(np.int32), pa.array(hist, pa.int32())),
-                            pa.ListArray.from_arrays(offs.astype(np.int32), pa.array(t, pa.int64())),
-                        ],
-                        names=["sid", "n", "hist", "tokens"],
-                    )
-
-        self.sets = C.written(texts.mapInArrow(run, "sid binary, n int, hist array<int>, tokens array<long>"), "sets")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (u, v) among distinct pairs (x, y): suffix filter, then whole sets."""
-        side = lambda s, c: self.sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col(c).alias(f"{c[0]}{s}"))
-        near = pairs.join(side("x", "hist"), "x").join(side("y", "hist"), "y")
-        near = near.where(F.aggregate(F.zip_with("hx", "hy", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b) >= _least_overlap("nx", "ny", self.num, self.den))
-        near = C.written(near.select("x", "y"), "pairs")
-        both = F.size(F.array_intersect("tx", "ty"))
-        near = near.join(side("x", "tokens"), "x").join(side("y", "tokens"), "y")
-        near = near.where((self.num + self.den) * both >= self.num * (F.col("nx") + F.col("ny")))
-        return near.select(F.col("x").alias("u"), F.col("y").alias("v"))
+def _lists(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, node, a) of all shingles that stand in the prefixes of two classes at least; a: (n, pos, q0, q1, ...)."""
+    entries = classes.select(F.posexplode("own").alias("at", "token"), "node")
+    count = C.written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    shared = entries.join(count, "token").groupBy("node").agg(F.collect_list(F.struct("at", "c", "token")).alias("s"))
+    info = classes.select("node", "n", "low", F.size("own").alias("size"), (F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1).alias("prefix"), "q")
+    # of the counted shingles, those of one class alone come first
+    early = F.filter("s", lambda x: x["at"] < F.col("low"))
+    ranked = F.array_sort(F.transform(early, lambda x: F.struct(x["c"], x["token"])))
+    alone = F.col("low") - F.size(early)
+    places = F.concat(
+        F.transform(ranked, lambda x, i: F.struct(x["token"].alias("token"), (alone + i).alias("pos"))),
+        F.transform(F.filter("s", lambda x: x["at"] >= F.col("low")), lambda x: F.struct(x["token"].alias("token"), x["at"].alias("pos"))),
+    )
+    rows = shared.where(F.size("s") > 0).join(info, "node").where((F.col("size") - F.size("s") < F.col("prefix"))).select("node", "n", "prefix", "q", F.explode(places).alias("p")).where("p.pos < prefix")
+    a = F.struct("n", F.col("p.pos").alias("pos"), *[F.col("q")[i].alias(f"q{i}") for i in range(PARITIES // 64)])
+    lists = C.written(rows.select(F.col("p.token").alias("token"), "node", a.alias("a")), "prefixes")
+    both = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    out = C.written(lists.join(both, "token"), "lists")
+    C.dropped(lists, count)
+    return out
+
+
+def _sets_of(docs: DataFrame, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
+    """(node, n, tokens) of the classes (node, tkey); one text of each."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tkey")).join(wanted, "tkey").dropDuplicates(["node"]).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in C.chunks(batch, "text"):
+                h, offs = sets(data, offsets, k)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(offs), pa.int32()), pa.ListArray.from_arrays(offs.astype(np.int32), pa.array(h.view(np.int64)))], names=["node", "n", "tokens"])
+
+    return texts.mapInArrow(run, "node long, n int, tokens array<long>")
 
-    def fits(self) -> Column:
-        """Length filter, and the positional filter for one shared token at (px, py)."""
-        nx, ny, px, py, num, den = F.col("ax.n"), F.col("ay.n"), F.col("ax.pos"), F.col("ay.pos"), self.num, self.den
-        bound = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
-        return (nx * den >= ny * num) & (ny * den >= nx * num) & ((num + den) * bound >= num * (nx + ny))
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(id, tkey, sid, n, root) of every row; root is the component's smallest set."""
-    join = _Join(docs, id_col, text_col, k, num, den)
-    roots = components.linked(join.lists.select("token", F.col("sid").alias("node"), F.struct("n", "pos").alias("a")), join.verified, join.fits())
-    members = join.members.select("id", "tkey", "sid", "n").join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left")
-    return members.withColumn("root", F.coalesce("root", "sid"))
+    """(id, tkey, n, node, root) of every row; root is one of the component's sets; texts without words have none."""
+    members = C.written(_signed(docs, id_col, text_col, k, num, den), "members")
+    # one text's columns for each set: those of a row that has them
+    one = F.max_by(F.struct("low", "own", "q", "tkey"), F.size("own"))
+    classes = members.where("n > 0").groupBy("s1", "s2").agg(F.any_value("n").alias("n"), one.alias("o")).select("s1", "s2", "n", "o.*", F.monotonically_increasing_id().alias("node"))
+    classes = C.written(classes, "classes")
+    lists = _lists(classes, num, den)
+    sets_ = C.written(_sets_of(docs, text_col, k, classes.select("node", "tkey").join(lists.select("node").distinct(), "node", "left_semi")), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda s: sets_.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"))
+        near = pairs.join(side("x"), "x").join(side("y"), "y")
+        near = near.where((num + den) * F.size(F.array_intersect("tx", "ty")) >= num * (F.col("nx") + F.col("ny")))
+        return near.select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+    roots = components.linked(lists, verified, fits(num, den))
+    C.dropped(lists, sets_)
+    nodes = classes.select("s1", "s2", "node").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return members.select("id", "tkey", "s1", "s2", "n").join(nodes, ["s1", "s2"], "left").drop("s1", "s2")
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -231,11 +187,12 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of docs, one of each component: the smallest by (id, hash of text, other columns), a null id last; textless rows all stay."""
     members = _rooted(docs, id_col, text_col, k, num, den)
+    own, own_id, own_key = C.free(docs.columns, "key", "first_id", "first_key")
     # ids may be null or repeat: id and text name the row, and rows equal in both are of one component
-    first = members.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "tkey")).alias("m")).select(F.col("m.id").alias("__id"), F.col("m.tkey").alias("__tkey"))
+    first = members.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "tkey")).alias("m")).select(F.col("m.id").alias(own_id), F.col("m.tkey").alias(own_key))
     rest = F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\r\x0b\x0c", "     ")) == ""
-    keyed = docs.where(~rest).withColumn("__k", F.unhex(F.md5(F.col(text_col).cast("binary"))))
-    kept = keyed.join(first, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__tkey")), "left_semi")
-    one = kept.groupBy(id_col, "__k").agg(F.min(F.struct(*[F.col(c) for c in [text_col, *[c for c in docs.columns if c not in (text_col, id_col)]]])).alias("r"))
+    keyed = docs.where(~rest).withColumn(own, F.unhex(F.md5(F.col(text_col).cast("binary"))))
+    kept = keyed.join(first, keyed[id_col].eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(own_key)), "left_semi")
+    one = kept.groupBy(id_col, own).agg(F.min(F.struct(*[F.col(c) for c in [text_col, *[c for c in docs.columns if c not in (text_col, id_col)]]])).alias("r"))
     one = one.select(*[F.col(id_col) if c == id_col else F.col(f"r.{c}").alias(c) for c in docs.columns])
     return docs.where(rest).unionByName(one)
