@@ -20,6 +20,8 @@ from caseflow.llm import columnar as C
 
 #: Edges that a task joins in memory at a time.
 LOCAL_EDGES = 1 << 20
+#: Members of a list's largest component that every other member of the list is held against before the rest is looked at.
+LEADERS = 8
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,28 +93,42 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: C
     lists: (token, node long, a), a being a struct of what `fits`, a predicate over ax and ay, looks at; it must hold for every
     link, and only pairs for which it holds leave a join. verified() takes distinct pairs (x, y) and returns those that are links as (u, v).
 
-    Two steps, neither of which gives out the pairs of a group that is one component already: (1) each member of a
-    list with one member that a hash of token and node chooses, so that a node is held against another leader in each of its lists;
-    (2) the rest, exactly: members outside their list's largest component with members of other components. What (2) rejects is no
+    Three steps, none of which gives out the pairs of a group that is one component already: (1) each member of a
+    list with the list's leader, by a hash of the node, so that all lists of a group tend to one leader; (2) members
+    outside the list's largest component with LEADERS members inside, which a hash of token and node chooses; (3) the rest, exactly:
+    members outside the largest component with members of other components. What (3) rejects is no
     link, so no link between different components is left.
     """
 
     def side(rows: DataFrame, s: str) -> DataFrame:
         return rows.select(F.col("token").alias(f"t{s}"), F.col("node").alias(s), F.col("a").alias(f"a{s}"), F.col("comp").alias(f"c{s}"))
 
-    def found(left: DataFrame, right: DataFrame) -> DataFrame:
+    def grown(before: DataFrame | None, left: DataFrame, right: DataFrame) -> DataFrame:
         pairs = side(left, "x").join(side(right, "y"), (F.col("tx") == F.col("ty")) & (F.col("cx") != F.col("cy")) & fits)
-        return C.written(verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()), "links")
+        links = C.written(verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()), "links")
+        out = roots(links if before is None else links.union(before))
+        C.dropped(links, *([] if before is None else [before]))
+        return out
+
+    def leaders(rows: DataFrame, rank: Column, *by: str) -> DataFrame:
+        return rows.groupBy("token", *by).agg(F.min_by(F.struct("node", "a", "comp"), rank).alias("l")).select("token", "l.*")
+
+    def parted(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(all, inside, outside): lists with components, by whether the component has the most members of the list."""
+        own = lists.join(links.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        own = C.written(own, "labelled")
+        sizes = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+        largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("comp"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("comp").alias("largest"))
+        mixed = own.join(largest, "token")
+        return own, mixed.where("comp = largest"), mixed.where("comp != largest")
 
     own = lists.withColumn("comp", F.col("node"))
-    leader = own.groupBy("token").agg(F.min_by(F.struct("node", "a", "comp"), F.xxhash64("node", "token")).alias("l")).select("token", "l.*")
-    links = found(own, leader)
-    first = roots(links)
-    C.dropped(links)
-    own = C.written(lists.join(first.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
-    sizes = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("comp"))
-    links = found(own.join(largest, ["token", "comp"], "left_anti"), own)
-    out = roots(links.union(first))
-    C.dropped(own, links, first)
-    return out
+    links = grown(None, own, leaders(own, F.xxhash64("node")))
+    own, inside, outside = parted(links)
+    rank = F.xxhash64("node", "token")
+    links = grown(links, outside, leaders(inside.withColumn("slot", F.pmod(rank, F.lit(LEADERS))), rank, "slot"))
+    C.dropped(own)
+    own, inside, outside = parted(links)
+    links = grown(links, outside, inside.union(outside))
+    C.dropped(own)
+    return links

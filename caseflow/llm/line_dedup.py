@@ -2,16 +2,19 @@
 
 A line's set is its distinct substrings of `shingle` characters (a shorter line is one shingle): SHINGLE of them by
 default, FINE in the query and the pipeline, where at a similarity of 0.8 one changed character links lines of 40
-characters and one changed word of five lines of some 80; unrelated lines of the tables stay below 0.4. MinHash signatures are cut into
-BANDS bands of ROWS values; lines that share a band are candidates, which at a Jaccard similarity of 0.8 misses less
-than 1 in 100 links (1 - (1 - 0.8**4)**9 = 0.992), and fewer above. Candidates are verified on the exact sets; verified
-links become components by distributed union-find (components.linked(), which never enumerates a bucket that is one
+characters and one changed word of five lines of some 80. MinHash signatures, cut into BANDS bands of ROWS values, are taken of substrings that are
+SPAN characters longer: unrelated lines share many substrings of 4 characters and hardly any of 7, so that few of them meet in a band, while a
+similarity of 0.8 by substrings of 4 is one of 0.675 at least by those of 7 (an edit that changes m of the former changes 7 / 4 m
+of the latter at most), at which a link is missed in 1 of 100 cases (1 - (1 - 0.675**4)**20 = 0.9908). Lines of fewer than some 20 characters are the
+exception: their links may be missed more often. Candidates whose sizes or parities rule a link out (columnar.may_link(), which loses none) never leave the join; the others are verified on the exact sets; verified
+links become components by distributed union-find (components.linked(), which never gives out a bucket that is one
 component already). Of each component the first line stays, by (id, hash of text, line number).
 
-Lines are cut at "\\n" and identified by 64-bit hashes. Lines of white space alone are never compared and stay.
+Lines are cut at "\\n" and identified by 64-bit hashes: among N different lines, N**2 / 2**65 pairs are expected to be taken for equal, one
+in 6 * 10**9 lines. Lines of white space alone are never compared and stay.
 
 Defined results: a null text stays null, an empty one empty; rows equal in id and text are one document and get equal
-results; a null id comes before all others; an empty table gives an empty result. Other columns pass through.
+results; a null id comes before all others; an empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 from caseflow.llm import columnar as C
 from caseflow.llm import components
 
-SHINGLE, FINE, BANDS, ROWS = 8, 4, 9, 4
+SHINGLE, FINE, SPAN, BANDS, ROWS = 8, 4, 3, 20, 4
 NUM, DEN = 80, 100
-MOST_BITS = 11
+PARITIES = 256
 
 _SLOPES = (C.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * C._BASE) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (C.mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64) * C._BASE) >> np.uint64(32)).astype(np.uint32)
@@ -65,9 +68,9 @@ def shingle_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: in
 _STEP = 1 << 15
 
 
-def bands(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (line, band), and a word of each line with one bit of each MinHash value."""
-    h, first = shingle_hashes(data, starts, ends, k)
+def bands(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Band keys (line, band), of substrings of k + SPAN characters."""
+    h, first = shingle_hashes(data, starts, ends, k + SPAN)
     h = (h >> np.uint64(32)).astype(np.uint32)
     low = np.zeros((BANDS * ROWS, len(starts)), np.uint32)
     cut = np.unique(np.concatenate([[0], np.searchsorted(first, np.arange(_STEP, max(first[-1], 1), _STEP)), [len(starts)]]))
@@ -78,24 +81,26 @@ def bands(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = SHING
             np.multiply(own, _SLOPES[j], out=work)
             np.add(work, _SHIFTS[j], out=work)
             low[j, a:b] = np.minimum.reduceat(work, at)
-    keys, word = np.zeros((len(starts), BANDS), np.uint64), np.zeros(len(starts), np.uint64)
+    keys = np.zeros((len(starts), BANDS), np.uint64)
     for j in range(BANDS * ROWS):
-        v = low[j].astype(np.uint64)
-        keys[:, j // ROWS] = C.mix(keys[:, j // ROWS] * C._BASE + v + np.uint64(j + 1))
-        word |= (C.mix(v + np.uint64(j)) & np.uint64(1)) << np.uint64(j)
-    return keys, word
+        keys[:, j // ROWS] = C.mix(keys[:, j // ROWS] * C._BASE + low[j].astype(np.uint64) + np.uint64(j + 1))
+    return keys
 
 
-def similar(xs: list[bytes], ys: list[bytes], num: int, den: int, k: int = SHINGLE) -> np.ndarray:
-    """Whether the exact Jaccard similarity of each pair of lines is num / den or more."""
-    out = []
-    for x, y in zip(xs, ys, strict=True):
-        x, y = x.decode("utf-8", "surrogateescape"), y.decode("utf-8", "surrogateescape")
-        a = {x[i : i + k] for i in range(max(1, len(x) - k + 1))}
-        b = {y[i : i + k] for i in range(max(1, len(y) - k + 1))}
-        both = len(a & b)
-        out.append(both * den >= num * (len(a) + len(b) - both))
-    return np.array(out, bool)
+def _sets(lines_: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the distinct shingles of each line, offsets by line)."""
+    data, offsets = C.column(pa.table({"raw": lines_}), "raw")
+    h, first = shingle_hashes(data, offsets[:-1], offsets[1:], k)
+    return C.distinct(h, C.owner(first), len(lines_))
+
+
+def similar(xs: pa.Array, ys: pa.Array, num: int, den: int, k: int = SHINGLE) -> np.ndarray:
+    """Whether the Jaccard similarity of each pair of lines is num / den or more, by their whole sets."""
+    (a, first_a), (b, first_b) = _sets(xs, k), _sets(ys, k)
+    _, offsets = C.distinct(np.concatenate([a, b]), np.concatenate([C.owner(first_a), C.owner(first_b)]), len(xs))
+    either = np.diff(offsets)
+    both = np.diff(first_a) + np.diff(first_b) - either
+    return both * den >= num * either
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,8 +109,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, k: int) -> DataFrame:
-    """(id, k1, k2, no, line, word, bands) of all lines that are compared; word and bands only once a slice for each line."""
-    schema = C.extend([docs.schema["id"]], "k1 long, k2 int, no int, line long, word long, bands array<long>")
+    """(id, k1, k2, no, line, bands) of all lines that are compared; bands only once a slice for each line."""
+    schema = C.extend([docs.schema["id"]], "k1 long, k2 int, no int, line long, bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,46 +124,54 @@ def _occurrences(docs: DataFrame, k: int) -> DataFrame:
                 size = np.zeros(len(line), np.int32)
                 size[one] = BANDS
                 one = np.flatnonzero(size)
-                keys, word = bands(data, starts[one], ends[one], k)
-                bits = np.zeros(len(line), np.uint64)
-                bits[one] = word
+                keys = bands(data, starts[one], ends[one], k)
                 offs = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                own = part.take(pa.array(text))
+                own = part.select(["id", "k1", "k2"]).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("id"), own.column("k1"), own.column("k2"), pa.array(no.astype(np.int32)), pa.array(line.view(np.int64)), pa.array(bits.view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(keys.reshape(-1).view(np.int64)))],
+                    [own.column("id"), own.column("k1"), own.column("k2"), pa.array(no.astype(np.int32)), pa.array(line.view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(keys.reshape(-1).view(np.int64)))],
                     names=schema.names,
                 )
 
     return docs.mapInArrow(run, schema)
 
 
-def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(line, bytes) of the lines at (k1, k2, no)."""
+def _texts(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(line, raw, n, q) of the lines at (k1, k2, no): bytes, size of the set, parities."""
     own = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("no", "line")).alias("places"))
     rows = docs.select("text", "k1", "k2").join(own, ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, own in zip(batch.column("text"), batch.column("places"), strict=True):
-                cut = text.as_py().encode("utf-8").split(b"\n")
-                own = own.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([p["line"] for p in own], pa.int64()), pa.array([cut[p["no"]] for p in own], pa.binary())], names=["line", "raw"])
+            for part, _, _ in C.chunks(batch, "text"):
+                line, raw = [], []
+                for text, own in zip(part.column("text"), part.column("places").to_pylist(), strict=True):
+                    cut = text.as_py().encode("utf-8").split(b"\n")
+                    line += [p["line"] for p in own]
+                    raw += [cut[p["no"]] for p in own]
+                raw = pa.array(raw, pa.binary())
+                h, offs = _sets(raw, k)
+                q = C.parities(h, offs, PARITIES)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(line, pa.int64()), raw, pa.array(np.diff(offs), pa.int32()), pa.ListArray.from_arrays((np.arange(len(raw) + 1) * q.shape[1]).astype(np.int32), pa.array(q.reshape(-1).view(np.int64)))],
+                    names=["line", "raw", "n", "q"],
+                )
 
     # equal texts give equal lines: one of each
-    return rows.select("text", "places").mapInArrow(run, "line long, raw binary").groupBy("line").agg(F.any_value("raw").alias("raw"))
+    return rows.select("text", "places").mapInArrow(run, "line long, raw binary, n int, q array<long>").dropDuplicates(["line"])
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, shingle: int = SHINGLE) -> DataFrame:
     """(id, k1, k2, gone): numbers of the lines that go, for each document that loses some."""
     rows = _keyed(docs, id_col, text_col)
     found = C.written(_occurrences(rows, shingle), "lines")
-    lists = found.where(F.size("bands") > 0).select(F.explode("bands").alias("token"), F.col("line").alias("node"), "word")
-    full = lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
-    lists = C.written(lists.join(full, "token").distinct(), "buckets")
+    lists = found.where(F.size("bands") > 0).select(F.explode("bands").alias("token"), F.col("line").alias("node"))
+    full = C.written(lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token"), "shared")
+    buckets = C.written(lists.join(full, "token").distinct(), "buckets")
     # the texts of all lines in a bucket with others, one place of each
-    wanted = lists.select(F.col("node").alias("line")).distinct()
-    places = found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("k1", "k2", "no")).alias("p")).select("line", "p.*")
-    texts = C.written(_texts(rows, places), "texts")
+    wanted = buckets.select(F.col("node").alias("line")).distinct()
+    places = found.where(F.size("bands") > 0).join(wanted, "line").groupBy("line").agg(F.min(F.struct("k1", "k2", "no")).alias("p")).select("line", "p.*")
+    texts = C.written(_texts(rows, places, shingle), "texts")
+    sets = texts.select(F.col("line").alias("node"), F.struct("n", *[F.col("q")[i].alias(f"q{i}") for i in range(PARITIES // 64)]).alias("a"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda s: texts.select(F.col("line").alias(s), F.col("raw").alias(f"r{s}"))
@@ -166,28 +179,31 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = similar(batch.column("rx").to_pylist(), batch.column("ry").to_pylist(), num, den, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(good)), batch.column("y").filter(pa.array(good))], names=["u", "v"])
+                for part, _, _ in C.chunks(batch, "rx"):
+                    good = pa.array(similar(part.column("rx"), part.column("ry"), num, den, shingle))
+                    yield pa.RecordBatch.from_arrays([part.column("x").filter(good), part.column("y").filter(good)], names=["u", "v"])
 
         return both.mapInArrow(run, "u long, v long")
 
-    # of the 36 bits a pair of similarity 0.8 differs in 3.6 on average, in more than 11 once in 50,000 pairs; unrelated lines in 18
-    close = F.bit_count(F.col("ax.word").bitwiseXOR(F.col("ay.word"))) <= MOST_BITS
-    roots = components.linked(lists.select("token", "node", F.struct("word").alias("a")), verified, close)
-    own = found.drop("bands", "word").join(roots.select(F.col("u").alias("line"), F.col("v").alias("root")), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    lists = C.written(buckets.join(sets, "node"), "lists")
+    roots = components.linked(lists, verified, C.may_link(num, den, PARITIES))
+    C.dropped(full, buckets, texts, lists)
+    own = found.drop("bands").join(roots.select(F.col("u").alias("line"), F.col("v").alias("root")), "line", "left").withColumn("root", F.coalesce("root", "line"))
     # first occurrence of every component; rows equal in id and text are one
     first = own.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k1", "no")).alias("first")).where("n > 1")
     gone = own.join(first, "root").where(~F.struct("id", "k1", "no").eqNullSafe(F.col("first")))
     return gone.groupBy("id", "k1", "k2").agg(F.collect_set("no").alias("gone"))
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, keep: list[str], **options) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, keep: list[str], **options) -> tuple[DataFrame, str, str]:
+    """The kept columns, and columns of the text and of the lines that go under names of their own."""
     gone = removed_lines(docs, id_col, text_col, **options)
+    own_text, own_id, k1, k2, g_id, g1, g2, g = C.free(keep, "own_text", "own_id", "k1", "k2", "gone_id", "gone_k1", "gone_k2", "gone")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.col(id_col).alias("__id"), F.xxhash64(text).alias("__k1"), F.octet_length(text).alias("__k2"))
-    same = F.col("__id").eqNullSafe(F.col("__g_id")) & (F.col("__k1") == F.col("__g_k1")) & (F.col("__k2") == F.col("__g_k2"))
-    gone = gone.select(*[F.col(c).alias(f"__g_{c}") for c in ("id", "k1", "k2")], F.col("gone").alias("__gone"))
-    return rows.join(gone, same, "left").select(*keep, "__text", "__gone")
+    rows = docs.select(*keep, F.col(text_col).alias(own_text), F.col(id_col).alias(own_id), F.xxhash64(text).alias(k1), F.octet_length(text).alias(k2))
+    same = F.col(own_id).eqNullSafe(F.col(g_id)) & (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2))
+    gone = gone.select(F.col("id").alias(g_id), F.col("k1").alias(g1), F.col("k2").alias(g2), F.col("gone").alias(g))
+    return rows.join(gone, same, "left").select(*keep, own_text, g), own_text, g
 
 
 def _left(text: str, gone: list[int] | None) -> tuple[int, str]:
@@ -199,13 +215,13 @@ def _left(text: str, gone: list[int] | None) -> tuple[int, str]:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the lines that stay; a text may become empty, rows never go."""
-    rows = _joined(docs, id_col, text_col, docs.columns, **options)
+    rows, own_text, gone = _joined(docs, id_col, text_col, docs.columns, **options)
     schema, t = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i) for i in range(len(schema.names))]
-            columns[t] = pa.array([None if x is None else _left(x, g)[1] for x, g in zip(batch.column("__text").to_pylist(), batch.column("__gone").to_pylist(), strict=True)], pa.string())
+            columns[t] = pa.array([None if x is None else _left(x, g)[1] for x, g in zip(batch.column(own_text).to_pylist(), batch.column(gone).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -213,13 +229,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_lines, n_removed, kept_sha256) of every row."""
-    rows = _joined(docs, id_col, text_col, [id_col], **options)
+    rows, own_text, gone = _joined(docs, id_col, text_col, [id_col], **options)
     schema = C.extend(rows.schema.fields[:1], "n_lines long, n_removed long, kept_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, g in zip(batch.column("__text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            for x, g in zip(batch.column(own_text).to_pylist(), batch.column(gone).to_pylist(), strict=True):
                 n, left = _left(x or "", g)
                 out.append((n, len(g or ()), hashlib.sha256(left.encode("utf-8")).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=schema.names)
