@@ -3,7 +3,7 @@
 The encoder keeps an agenda of adjacent symbol pairs, best score first and of equal scores the leftmost; popping a
 pair merges it and offers its new neighbours. As long as no piece of the vocabulary has a word-start mark after
 another character (checked when it is loaded), no merge crosses from a character to a following mark, so a text is
-cut there and each distinct segment goes through the agenda once per worker and cache generation. Every segment
+cut there and each distinct segment goes through the agenda once per worker, or again where CACHE_BYTES do not hold all. Every segment
 that the agenda solves is checked against the sentencepiece library in the same Arrow batch; a difference raises.
 
 Only vocabularies with the identity normaliser, a dummy prefix and no removal of white space are taken: others
@@ -28,13 +28,9 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
 
-from caseflow.llm import columnar as C
-
-from caseflow.llm import columnar as C
-
 MARK = "▁"
-#: Segments kept per worker, and the longest one that is kept.
-CACHE_SEGMENTS, CACHE_CHARS = 1_000_000, 48
+#: Bytes of segments and their ids that a worker keeps at most, by the estimate of segment_bytes(), and the longest segment that is kept.
+CACHE_BYTES, CACHE_CHARS = 160 << 20, 48
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 
 
@@ -215,18 +211,26 @@ def _library(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def batch_encoder(path: str) -> BatchEncoder:
     """The worker's encoder: tasks that follow each other in one worker share its segments."""
     return BatchEncoder(path)
 
 
+def segment_bytes(segment: str, ids: tuple[int, ...]) -> int:
+    """What a kept segment takes at most: its text, the tuple, and its place in the table (ids of the vocabulary are shared)."""
+    return 200 + 4 * len(segment) + 8 * len(ids)
+
+
 class BatchEncoder:
     """Encodes the texts of Arrow batches; what the agenda solves is checked against the library at once."""
 
     def __init__(self, path: str):
         self.model, self.library = load(path), _library(path)
+        # two generations: what is not asked for while one fills goes with the next change
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.bytes = 0
 
     def _solve(self, new: list[str]) -> dict[str, tuple[int, ...]]:
         agenda = self.model.agenda
@@ -241,15 +245,17 @@ class BatchEncoder:
 
     def _learned(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
         """Segments of the texts, all of them in `kept`; and those that were new."""
-        kept, segments = self.kept, [self.model.segments(t) for t in texts]
-        new = {s for own in segments for s in own}.difference(kept)
-        if new:
-            solved = self._solve(list(new))
-            if len(kept) + len(solved) > CACHE_SEGMENTS:
-                now = {s: kept[s] for own in segments for s in own if s in kept}
-                kept.clear()
-                kept.update(now)
-            kept.update(solved)
+        segments = [self.model.segments(t) for t in texts]
+        wanted = {s for own in segments for s in own}
+        if self.bytes > CACHE_BYTES // 2:
+            self.old, self.kept, self.bytes = self.kept, {}, 0
+        missing = wanted.difference(self.kept)
+        again = {s: self.old[s] for s in missing if s in self.old}
+        new = missing.difference(again)
+        solved = self._solve(list(new)) if new else {}
+        for more in (again, solved):
+            self.kept.update(more)
+            self.bytes += sum(segment_bytes(s, ids) for s, ids in more.items())
         return segments, new
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -280,7 +286,7 @@ class BatchEncoder:
     def _forget(self, new: set[str]) -> None:
         for s in new:
             if len(s) > CACHE_CHARS:
-                del self.kept[s]
+                self.bytes -= segment_bytes(s, self.kept.pop(s))
 
 
 def _rows(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
