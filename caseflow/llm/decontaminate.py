@@ -10,7 +10,7 @@ words of an item; an item of fewer words, but not none, is one window. Words are
 64-bit hashes (128 bits).
 
 Defined results: a null or empty text has no words, is never hit and stays; items without words match nothing;
-repeated rows and repeated items each count; an empty benchmark or an empty table changes nothing. Only the named
+repeated rows and repeated items each count; a null item id counts as the empty one; an empty benchmark or an empty table changes nothing. Only the named
 columns are read, other columns pass through untouched.
 """
 
@@ -177,8 +177,9 @@ def find_matches(data: np.ndarray, offsets: np.ndarray, test: TestBlock, window:
     return text, word - first[text], length, which, n_words
 
 
-def _stage(docs: DataFrame, block: object, text_col: str, window: int, first_stage: bool) -> DataFrame:
-    schema = C.extend([f for f in docs.schema.fields if f.name not in ("_words", "_matches")], f"_words int, _matches {MATCHES}")
+def _stage(docs: DataFrame, block: object, text_col: str, window: int, first_stage: bool, names: tuple[str, str]) -> DataFrame:
+    n_words_col, matches_col = names
+    schema = C.extend([f for f in docs.schema.fields if f.name not in names], f"`{n_words_col}` int, `{matches_col}` {MATCHES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test: TestBlock = block.value
@@ -189,7 +190,7 @@ def _stage(docs: DataFrame, block: object, text_col: str, window: int, first_sta
                 order = np.lexsort((which, start, text))
                 rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 if not first_stage:
-                    rows = part.column("_matches").to_pylist()
+                    rows = part.column(matches_col).to_pylist()
                 for i in order:
                     w = which[i]
                     rows[text[i]].append({"start": int(start[i]), "words": int(length[i]), "item": test.ids[test.item[w]], "offset": int(test.offset[w])})
@@ -199,8 +200,8 @@ def _stage(docs: DataFrame, block: object, text_col: str, window: int, first_sta
     return docs.mapInArrow(run, schema)
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with `_words` (its number of words) and `_matches`: all longest verbatim matches.
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, names: tuple[str, str] = ("_words", "_matches")) -> DataFrame:
+    """docs with two columns of these names, its number of words and all longest verbatim matches; columns of these names are replaced.
 
     A match has its first word in the text, its length in words (at least the window's), the item and the first
     word in the item; every occurrence of a window lies in one of them.
@@ -215,13 +216,13 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     for b in range(blocks):
         rows = (rest if blocks == 1 else rest.where(F.col("b") == b)).orderBy("i", "t").collect()
         block = spark.sparkContext.broadcast(TestBlock([r["i"] for r in rows], [r["t"] for r in rows], window))
-        out = _stage(out, block, text_col, window, b == 0)
+        out = _stage(out, block, text_col, window, b == 0, names)
     return out
 
 
-def hits(window: int = WINDOW):
-    """Column of the number of hit words, from `_matches`: union of the windows' intervals."""
-    ends = F.transform(F.array_sort(F.transform("_matches", lambda m: F.struct(m["start"].alias("s"), (m["start"] + m["words"]).alias("e")))), lambda m: m)
+def hits(matches_col: str = "_matches"):
+    """Column of the number of hit words, from the matches: union of their intervals."""
+    ends = F.transform(F.array_sort(F.transform(F.col(matches_col), lambda m: F.struct(m["start"].alias("s"), (m["start"] + m["words"]).alias("e")))), lambda m: m)
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     step = lambda acc, m: F.struct(
         (acc["n"] + F.greatest(F.lit(0), m["e"] - F.greatest(acc["to"], m["s"]))).alias("n"),
@@ -232,8 +233,10 @@ def hits(window: int = WINDOW):
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    items = F.array_sort(F.array_distinct(F.transform("_matches", lambda m: m["item"])))
-    out = match_benchmark(docs, benchmark, **options).select(F.col(id_col), F.col("_words").cast("long").alias("n_words"), hits().cast("long").alias("n_hit"), items.alias("items"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(options.pop("text_col", "text")).alias("text"))
+    # a null item_id is an item without a name
+    items = F.array_sort(F.array_distinct(F.transform("_matches", lambda m: F.coalesce(m["item"], F.lit("")))))
+    out = match_benchmark(rows, benchmark, **options).select(F.col("id").alias(id_col), F.col("_words").cast("long").alias("n_words"), hits().cast("long").alias("n_hit"), items.alias("items"))
     return out.select(
         id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
@@ -242,9 +245,10 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opti
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE, **options) -> DataFrame:
     """The rows that are not contaminated, with their columns as they were."""
-    found = match_benchmark(docs, benchmark, **options)
-    bad = (F.size("_matches") > 0) & (hits() >= F.col("_words") * least_share)
-    return found.where(~bad).drop("_words", "_matches")
+    names = tuple(C.free(docs.columns, "_words", "_matches"))
+    found = match_benchmark(docs, benchmark, names=names, **options)
+    bad = (F.size(names[1]) > 0) & (hits(names[1]) >= F.col(names[0]) * least_share)
+    return found.where(~bad).select(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:
