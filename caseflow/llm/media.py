@@ -36,6 +36,8 @@ SYNC = b"\x00MBR\xf1\x9d\x0a\xc4"
 #: key bytes, media bytes, stored (deflated) bytes, CRC of the media, CRC of this header and key.
 HEADER = struct.Struct("<IQQII")
 RANGE_BYTES = 16 << 20
+#: Byte ranges of one read at most: of larger archives the ranges grow, so that the driver's plan stays small.
+MOST_RANGES = 100_000
 BATCH_BYTES = 4 << 20
 TRIES = 3
 BLOCK = 64
@@ -149,9 +151,10 @@ class _Reader(DataSourceReader):
         files, root = _resolve(self.path)
         with files.open_input_stream(f"{root}/_manifest.json") as f:
             listed = json.loads(f.read())
+        step = max(self.range_bytes, -(-sum(size for _, size in listed) // MOST_RANGES))
         spans: list[InputPartition] = []
         for name, size in listed:
-            spans += [Span(f"{self.path}/{name}", a, min(a + self.range_bytes, size), size) for a in range(0, size, self.range_bytes)]
+            spans += [Span(f"{self.path}/{name}", a, min(a + step, size), size) for a in range(0, size, step)]
         return spans or [Span("", 0, 0, 0)]
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
@@ -161,21 +164,31 @@ class _Reader(DataSourceReader):
         rows, held = [], 0
         f = files.open_input_file(path)
         try:
-            at = 0 if span.start == 0 else _first_member(f, span.start, span.end)
+            def retried(read, good):
+                """What read(file) gives once it is good, each time from a newly opened file; the last try's otherwise."""
+                nonlocal f
+                for left in range(self.tries - 1, -1, -1):
+                    try:
+                        got = read(f)
+                    except OSError:
+                        if not left:
+                            raise
+                        got = None
+                    if left == 0 or (got is not None and good(got)):
+                        return got
+                    f.close()
+                    f = files.open_input_file(path)
+
+            found = lambda x: x >= 0
+            at = 0 if span.start == 0 else retried(lambda f: _first_member(f, span.start, span.end), found)
             while at < span.end:
-                head = _header(f, at)
+                head = retried(lambda f, at=at: _header(f, at), bool)
                 if head is None:  # damaged header: go on with the next member
                     rows.append((None, None, span.path, at, "header"))
-                    at = _first_member(f, at + 1, span.end)
+                    at = retried(lambda f, at=at: _first_member(f, at + 1, span.end), found)
                     continue
                 key, n_media, n_stored, crc, data_at = head
-                media, why = self._load(f, data_at, n_media, n_stored, crc)
-                for _ in range(self.tries - 1):
-                    if media is not None:
-                        break
-                    f.close()
-                    f = files.open_input_file(path)
-                    media, why = self._load(f, data_at, n_media, n_stored, crc)
+                media, why = retried(lambda f, own=(data_at, n_media, n_stored, crc): self._load(f, *own), lambda x: x[0] is not None)
                 rows.append((key, media, span.path, at, why))
                 held += n_media
                 at = data_at + n_stored
