@@ -1,17 +1,17 @@
 """Toxicity by a factorisation machine over hashed terms.
 
 A text's terms are its distinct words (A-Z lower-cased; digits, letters and non-ASCII bytes) and the words' first 4,
-5 and 6 bytes, hashed to SLOTS slots. Only terms that tell the labels apart in the sample (score statistic of at
-least LEAST_Z standard deviations) get weights. The score is sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the
-text's terms: the pairwise part, of FACTORS dimensions a term, is what an additive linear model misses.
+5 and 6 bytes, hashed to SLOTS slots. Every term of the learning sample gets a weight and factors, none is screened out, so that terms
+which tell nothing by themselves can still tell something together. The score is sigmoid(w0 + x sum w_i + x**2 sum_{i<j} <v_i, v_j>) over the
+text's m terms, x = 1 / sqrt(m): the pairwise part, of FACTORS dimensions a term, is what an additive linear model misses.
 
-Learning takes a bounded sample: about SAMPLE labelled texts at most (hashes of id and text decide). Their term counts
-are summed where they are; the driver gets the MOST_TERMS best terms at most, and each sample text's own terms among
-them. The threshold 0.5 holds for the calibrated score: after training, a scale and a shift are fitted to the sample.
+Learning takes a bounded sample: about `sample` labelled texts at most (hashes of id and text decide), of which the driver gets
+the terms' slots. The threshold 0.5 holds for the calibrated score: after training, a scale and a shift are fitted to the eighth of the
+sample that training left out.
 
 Defined results: null is the empty text; an empty text, or one without any known term, scores the bias alone; without
 labelled rows of both classes every score is the share of label 1 (0 if there is none). Repeated rows get equal
-scores, an empty table an empty result. Only the named columns are read.
+scores, texts of equal terms too, an empty table an empty result. Only the named columns are read; kept columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,26 +26,27 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
 
-SLOT_BITS = 22
+SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 PREFIXES = (4, 5, 6)
 FACTORS = 4
-SAMPLE = 20_000
-LEAST_TEXTS, LEAST_Z, MOST_TERMS = 5, 4.0, 1 << 16
-EPOCHS, BATCH, RATE, L2 = 15, 128, 0.02, 1e-4
+SAMPLE = 10_000
+EPOCHS, BATCH, RATE, L2 = 10, 64, 1.0, 1e-5
+#: Standard deviation of the factors at first: from 0 they would never move.
+INIT = 0.05
 
 
-def terms(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of all texts' distinct terms, offsets by text); known: booleans by slot, others are left out."""
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of all texts' distinct terms, offsets by text)."""
     data = C.LOWER[data]
     starts, ends, first = C.words(data, offsets, C.ALNUM)
     text, pairs = C.owner(first), []
+    total = C.running(data)
     for n in (None, *PREFIXES):
         use = slice(None) if n is None else np.flatnonzero(ends - starts > n)
         a = starts[use]
-        slot = (C.span_hash(data, a, ends[use] if n is None else a + n) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        pair = text[use] * SLOTS + slot
-        pairs.append(pair if known is None else pair[known[slot]])
+        slot = (C.hash_of(total, a, ends[use] if n is None else a + n) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        pairs.append(text[use] * SLOTS + slot)
     pair = np.unique(np.concatenate(pairs))
     return pair % SLOTS, np.searchsorted(pair, np.arange(len(offsets)) * SLOTS)
 
@@ -70,61 +71,65 @@ class Machine:
     scale: float = 1.0
     shift: float = 0.0
 
-    def known(self) -> np.ndarray:
-        out = np.zeros(SLOTS, bool)
-        out[self.slots] = True
+    def index(self) -> np.ndarray:
+        """Place of each slot among the known ones; of others one behind them."""
+        out = np.full(SLOTS, len(self.slots), np.int32)
+        out[self.slots] = np.arange(len(self.slots))
         return out
 
-    def raw(self, slots: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Of known slots."""
-        ids = np.searchsorted(self.slots, slots)
-        v = self.v[ids]
-        both = _segments(v, offsets)
-        own = _segments(np.einsum("ij,ij->i", v, v), offsets)
-        return self.w0 + _segments(self.w[ids], offsets) + 0.5 * (np.einsum("ij,ij->i", both, both) - own)
+    def raw(self, slots: np.ndarray, offsets: np.ndarray, index: np.ndarray | None = None) -> np.ndarray:
+        ids = (self.index() if index is None else index)[slots]
+        return _raw(self.w0, np.append(self.w, np.float32(0)), np.concatenate([self.v, np.zeros((1, FACTORS), np.float32)]), ids, offsets)
 
-    def score(self, slots: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.scale * self.raw(slots, offsets).astype(np.float64) + self.shift, -500, 500)))
+    def score(self, slots: np.ndarray, offsets: np.ndarray, index: np.ndarray | None = None) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.scale * self.raw(slots, offsets, index).astype(np.float64) + self.shift, -500, 500)))
+
+
+def _raw(w0: float, w: np.ndarray, v: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    x, own = np.maximum(np.diff(offsets), 1) ** -0.5, v[ids]
+    both = _segments(own, offsets)
+    pairs = np.einsum("ij,ij->i", both, both) - _segments(np.einsum("ij,ij->i", own, own), offsets)
+    return w0 + x * _segments(w[ids], offsets) + 0.5 * x * x * pairs
 
 
 def train(known: np.ndarray, slots: np.ndarray, offsets: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Machine:
     """Mini-batch Adagrad on the logistic loss; the same input gives the same machine. known: sorted slots."""
-    n, rng = len(y), np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
+    left_out = np.arange(len(y)) % 8 == 7
+    fitted = np.flatnonzero(~left_out)
     ids, k = np.searchsorted(known, slots), len(known)
-    w, v = np.zeros(k, np.float32), rng.normal(0, 0.01, (k, FACTORS)).astype(np.float32)
-    gw, gv = np.full(k, 1e-6, np.float32), np.full((k, FACTORS), 1e-6, np.float32)
+    w, v = np.zeros(k, np.float32), rng.normal(0, INIT, (k, FACTORS)).astype(np.float32)
+    gw, gv = np.ones(k, np.float32), np.ones((k, FACTORS), np.float32)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    w0, g0 = np.log(share / (1 - share)), 1e-6
+    w0, g0 = np.log(share / (1 - share)), 1.0
     size = np.diff(offsets)
     for _ in range(epochs):
-        order = rng.permutation(n)
-        for a in range(0, n, BATCH):
+        order = rng.permutation(fitted)
+        for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
             m = size[rows]
             at = np.repeat(offsets[rows], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            own, offs = ids[at], np.concatenate([[0], np.cumsum(m)])
+            own, offs, x = ids[at], np.concatenate([[0], np.cumsum(m)]), np.maximum(m, 1) ** -0.5
             vv = v[own]
-            both = _segments(vv, offs)
-            s = w0 + _segments(w[own], offs) + 0.5 * (np.einsum("ij,ij->i", both, both) - _segments(np.einsum("ij,ij->i", vv, vv), offs))
-            err = (1.0 / (1.0 + np.exp(-np.clip(s, -30, 30))) - y[rows]).astype(np.float32)
-            each = np.repeat(err, m)
+            err = 1.0 / (1.0 + np.exp(-np.clip(_raw(w0, w, v, own, offs), -30, 30))) - y[rows]
             touched, back = np.unique(own, return_inverse=True)
-            dw = np.bincount(back, each, len(touched)).astype(np.float32) / len(rows) + L2 * w[touched]
-            grad = each[:, None] * (np.repeat(both, m, 0) - vv)
-            dv = np.stack([np.bincount(back, grad[:, f], len(touched)) for f in range(FACTORS)], 1).astype(np.float32) / len(rows) + L2 * v[touched]
+            grad = np.repeat(err * x * x, m)[:, None] * (np.repeat(_segments(vv, offs), m, 0) - vv)
+            dw = np.bincount(back, np.repeat(err * x, m), len(touched)).astype(np.float32) + L2 * w[touched]
+            dv = np.stack([np.bincount(back, grad[:, f], len(touched)) for f in range(FACTORS)], 1).astype(np.float32) + L2 * v[touched]
             gw[touched] += dw * dw
             gv[touched] += dv * dv
-            w[touched] -= 10 * RATE * dw / np.sqrt(gw[touched])
+            w[touched] -= RATE * dw / np.sqrt(gw[touched])
             v[touched] -= RATE * dv / np.sqrt(gv[touched])
-            d0 = float(err.mean())
+            d0 = float(err.sum())
             g0 += d0 * d0
             w0 -= RATE * d0 / g0**0.5
-    return _calibrate(Machine(known, float(w0), w, v), slots, offsets, y)
+    machine = Machine(known, float(w0), w, v)
+    return _calibrate(machine, machine.raw(slots, offsets)[left_out], y[left_out]) if left_out.any() else machine
 
 
-def _calibrate(machine: Machine, slots: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> Machine:
+def _calibrate(machine: Machine, raw: np.ndarray, y: np.ndarray) -> Machine:
     """Two-parameter logistic regression of the labels on the raw score (Newton's steps)."""
-    s = machine.raw(slots, offsets).astype(np.float64)
+    s = raw.astype(np.float64)
     b = np.array([1.0, 0.0])
     x = np.stack([s, np.ones(len(s))], 1)
     for _ in range(20):
@@ -146,54 +151,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = C.written(texts.join(F.broadcast(marks), "id").select("text", "y"), "labelled")
     rows = thin(rows, rows.count(), "text")  # ids may repeat
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in C.chunks(batch, "text", 8 << 20):
-                slots, offs = terms(data, offsets)
-                y = np.repeat(part.column("y").to_numpy(zero_copy_only=False), np.diff(offs))
-                slot, back = np.unique(slots, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(np.bincount(back, minlength=len(slot)), pa.int64()), pa.array(np.bincount(back, y, len(slot)).astype(np.int64))], names=["slot", "n", "k"])
-
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).first()
     n, k = totals["n"], totals["k"] or 0
     if k in (0, n):
         share = k / n if n else 0.0
         w0 = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return Machine(np.zeros(0, np.int64), w0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    even = F.col("n") * (k / n)
-    z = F.abs(F.col("k") - even) / F.sqrt(even * (1 - k / n) + 1e-9)
-    best = rows.mapInArrow(count, "slot long, n long, k long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where((F.col("n") >= LEAST_TEXTS) & (z >= LEAST_Z))
-    known = np.sort(np.array([r["slot"] for r in best.orderBy(z.desc(), "slot").limit(MOST_TERMS).collect()], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(SLOTS, bool)
-        flags[shared.value] = True
         for batch in batches:
             for part, data, offsets in C.chunks(batch, "text"):
-                slots, offs = terms(data, offsets, flags)
+                slots, offs = terms(data, offsets)
                 slots = slots.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([slots[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], names=["y", "slots"])
 
     got = rows.mapInArrow(own_terms, "y int, slots binary").toArrow()
     own = sorted(zip(got.column("slots").to_pylist(), got.column("y").to_pylist(), strict=True))  # any partitioning, the same order
     slots = np.frombuffer(b"".join(a for a, _ in own), np.int32).astype(np.int64)
-    return train(known, slots, np.concatenate([[0], np.cumsum([len(a) // 4 for a, _ in own])]), np.array([b for _, b in own], np.float32))
+    return train(np.unique(slots), slots, np.concatenate([[0], np.cumsum([len(a) // 4 for a, _ in own])]), np.array([b for _, b in own], np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """(the kept columns, score, predicted)."""
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).alias("__text"))
+    own_text = C.free(list(keep), "text")[0]
+    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).alias(own_text))
     schema = C.extend(rows.schema.fields[: len(keep)], "score double, predicted int")
     kept = list(keep)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 12 + 4 * FACTORS bytes a known term
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 12 + 4 * FACTORS bytes a slot, 30 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Machine = shared.value
-        known = m.known()
+        index = m.index()
         for batch in batches:
-            for part, data, offsets in C.chunks(batch, "__text"):
-                s = m.score(*terms(data, offsets, known))
+            for part, data, offsets in C.chunks(batch, own_text):
+                s = m.score(*terms(data, offsets), index)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
