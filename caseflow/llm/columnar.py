@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 #: Removes a job's shuffle files once the job has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Folders that written() made within scratch(), by its name; the name that counts now.
+_scratch: dict[str, list[str]] = {}
+_current: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -98,17 +102,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
+    if _current:
+        _scratch[_current[-1]].append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes what written() wrote for these frames; nothing that is still to be computed may read them."""
     for df in frames:
         path = _folders.pop(df, None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(docs: DataFrame, name: str) -> Iterator[None]:
+    """What written() writes inside belongs to this name, and what belonged to it before is deleted, unless docs still reads it.
+
+    For a chain of steps of which each has stored its result, the next one's docs, before the next begins; one chain of a name at a time.
+    """
+    before = _scratch.pop(name, [])
+    read = docs.inputFiles() if before else []
+    for path in before:
+        if not any(path.rsplit("/", 1)[-1] in f for f in read):
+            _delete(docs.sparkSession, path)
+    _scratch[name] = []
+    _current.append(name)
+    try:
+        yield
+    finally:
+        _current.pop()
 
 
 def free(columns: list[str], *names: str) -> list[str]:
@@ -165,11 +193,21 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand. seed: 0 or 1, independent."""
+def running(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Running sums that hash_of() takes, for many hashes of the same bytes."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[seed][data] * _power(0, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(1, len(data) + 1)[starts])
+    return total
+
+
+def hash_of(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hash() from running sums."""
+    return mix((total[ends] - total[starts]) * _power(1, len(total))[starts])
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand. seed: 0 or 1, independent."""
+    return hash_of(running(data, seed), starts, ends)
 
 
 def window_hash(tokens: np.ndarray, k: int) -> np.ndarray:

@@ -579,3 +579,38 @@ def test_toxicity_without_labels(spark, docs, rows):
     m = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score(docs, m, {"doc_id": F.col("doc_id")})
     assert out.count() == len(rows) and out.where("score > 0.001").count() == 0
+
+
+def test_pairs_are_learned_through_fit(spark):
+    """Exclusive or of two words that tell nothing by themselves, through fit() and score() and on other texts."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        own = [f"f{rng.randrange(50)}" for _ in range(6)] + ["insult"] * a + ["group"] * b
+        rows.append((i, " ".join(own), int(a != b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id < 3000").select("doc_id", "toxic"))
+    got = toxicity.score(df, m, {"doc_id": F.col("doc_id"), "__text": F.col("toxic")}).where("doc_id >= 3000").collect()
+    assert sum(r["predicted"] == r["__text"] for r in got) / len(got) > 0.95
+
+
+def test_toxicity_ties_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "b a a"), (3, ""), (4, None)], "doc_id long, text string")
+    one_class = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
+    m = toxicity.fit(df, one_class)
+    assert {r["predicted"] for r in toxicity.score(df, m, {"doc_id": F.col("doc_id")}).collect()} == {1}
+    both = toxicity.fit(df, spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, None), (None, 1)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, both, {"doc_id": F.col("doc_id")}).collect()}
+    assert got[1] == got[2] and got[3] == got[4]
+    assert toxicity.score(df.limit(0), both, {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, "x"), (2, "d e f", 8, "y")], "doc_id long, text string, _words int, _matches string")
+    items = spark.createDataFrame([(None, "a b c")], "item_id string, text string")
+    got = decontaminate.decontaminate(df, items)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(2, "d e f", 8, "y")]
+    r = decontaminate.report(df, items).where("doc_id = 1").first()
+    assert r["n_items"] == 1 and r["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert decontaminate.decontaminate(df.limit(0), items).count() == 0
