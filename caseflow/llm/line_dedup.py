@@ -166,7 +166,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = C.written(_occurrences(rows, shingle), "lines")
     lists = found.where(F.size("bands") > 0).select(F.explode("bands").alias("token"), F.col("line").alias("node"))
     full = C.written(lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token"), "shared")
-    buckets = C.written(lists.join(full, "token").distinct(), "buckets")
+    # the shared tokens are the smaller side, each of them once: they are hashed, and the many others need no sort
+    buckets = C.written(lists.join(full.hint("shuffle_hash"), "token").distinct(), "buckets")
     # the texts of all lines in a bucket with others, one place of each
     wanted = buckets.select(F.col("node").alias("line")).distinct()
     places = found.where(F.size("bands") > 0).join(wanted, "line").groupBy("line").agg(F.min(F.struct("k1", "k2", "no")).alias("p")).select("line", "p.*")

@@ -121,7 +121,8 @@ def _lists(classes: DataFrame, num: int, den: int) -> DataFrame:
     """(token, node, a) of all shingles that stand in the prefixes of two classes at least; a: (n, pos, q0, q1, ...)."""
     entries = classes.select(F.posexplode("own").alias("at", "token"), "node")
     count = C.written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
-    shared = entries.join(count, "token").groupBy("node").agg(F.collect_list(F.struct("at", "c", "token")).alias("s"))
+    # the shared shingles are the smaller side, each of them once: they are hashed, and the many others need no sort
+    shared = entries.join(count.hint("shuffle_hash"), "token").groupBy("node").agg(F.collect_list(F.struct("at", "c", "token")).alias("s"))
     info = classes.select("node", "n", "low", F.size("own").alias("size"), (F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1).alias("prefix"), "q")
     # of the counted shingles, those of one class alone come first
     early = F.filter("s", lambda x: x["at"] < F.col("low"))

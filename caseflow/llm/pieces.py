@@ -331,6 +331,21 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     return docs.mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """docs with both columns of encode() and decode(), in one pass of one worker. Existing columns of these names are replaced."""
+    schema = C.extend([f for f in docs.schema.fields if f.name not in (ids_col, decoded_col)], f"`{ids_col}` array<int>, `{decoded_col}` string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = batch_encoder(model_path)
+        for batch in batches:
+            for part, _, _ in C.chunks(batch, text_col, 1 << 20):
+                ids = encoder.encode([t or "" for t in part.column(text_col).to_pylist()])
+                decoded = encoder.library.decode(ids, num_threads=1)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in schema.names[:-2]), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encoder and decoder in one pass, ids never leave the worker."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))

@@ -97,7 +97,7 @@ def train(known: np.ndarray, slots: np.ndarray, offsets: np.ndarray, y: np.ndarr
     rng = np.random.default_rng(seed)
     left_out = np.arange(len(y)) % 8 == 7
     fitted = np.flatnonzero(~left_out)
-    ids, k = np.searchsorted(known, slots), len(known)
+    ids, k = np.searchsorted(known, slots).astype(np.int32), len(known)
     w, v = np.zeros(k, np.float32), rng.normal(0, INIT, (k, FACTORS)).astype(np.float32)
     gw, gv = np.ones(k, np.float32), np.ones((k, FACTORS), np.float32)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
@@ -167,8 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = rows.mapInArrow(own_terms, "y int, slots binary").toArrow()
     own = sorted(zip(got.column("slots").to_pylist(), got.column("y").to_pylist(), strict=True))  # any partitioning, the same order
-    slots = np.frombuffer(b"".join(a for a, _ in own), np.int32).astype(np.int64)
-    return train(np.unique(slots), slots, np.concatenate([[0], np.cumsum([len(a) // 4 for a, _ in own])]), np.array([b for _, b in own], np.float32))
+    del got
+    offsets, y = np.concatenate([[0], np.cumsum([len(a) // 4 for a, _ in own])]), np.array([b for _, b in own], np.float32)
+    slots = np.frombuffer(b"".join(a for a, _ in own), np.int32)
+    del own
+    return train(np.unique(slots), slots, offsets, y)
 
 
 def score(docs: DataFrame, machine: Machine, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
