@@ -61,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = piece_model_path()
     own = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
     decoded = columnar.free([*own, "ids"], "decoded")[0]
-    out = pieces.decode(pieces.encode(docs, path), path, text_col=decoded)
+    out = pieces.encode_and_decode(docs.select(*own), path, decoded_col=decoded)
     plain = F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
     return out.select(*own, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col(decoded) == plain).alias("round_trip"))
 
