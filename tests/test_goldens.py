@@ -85,15 +85,15 @@ def test_even_spacing_and_rationals(spark):
 def test_selection_prefers_local_change_and_clarity():
     t = np.arange(12) * 1000.0
     same = np.tile(np.array([1.0, 0, 0]), (12, 1))
-    local = np.zeros(12)
-    local[5] = 1
-    assert S.choose(t, same, local, np.full(12, 0.5), 3)[1] == [0, 5, 11]
+    regions = np.stack([same, same], 1)
+    regions[5, 1] = [0, 1, 0]
+    assert S.choose(t, same, regions, np.full(12, 0.5), 3)[1] == [0, 5, 11]
     clear = np.full(8, 0.3)
     clear[3] = 1
-    assert S.choose(t[:8], same[:8], np.zeros(8), clear, 3)[1] == [0, 3, 7]
+    assert S.choose(t[:8], same[:8], same[:8, None], clear, 3)[1] == [0, 3, 7]
     rng = np.random.default_rng(0)
     v = rng.normal(size=(120, 8))
-    protected, chosen = S.choose(np.arange(120) * 1000.0, v, rng.random(120), rng.random(120), 24)
+    protected, chosen = S.choose(np.arange(120) * 1000.0, v, rng.normal(size=(120, 9, 8)), S.midranks(rng.random(120)), 24)
     assert len(protected) == 8 and [sum(lo <= c < lo + 30 for c in chosen) for lo in (0, 30, 60, 90)] == [6, 6, 6, 6]
 
 
@@ -126,7 +126,31 @@ def test_queue_order(spark):
 def test_round_robin_gives_an_item_once(spark):
     df = spark.createDataFrame([("p", r, o, i) for r, o, i in [(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "c")]], "p string, r int, o int, item string")
     got = S.round_robin(df, ["p"], "r", ["o"], "item", 2).orderBy("place").collect()
-    assert [r["item"] for r in got] == ["a", "b"]
+    # the second request's first item is taken: it goes on to its next in the same turn
+    assert [r["item"] for r in got] == ["a", "c"]
+    known = spark.createDataFrame([("p", "a")], "p string, item string")
+    got = S.round_robin(df, ["p"], "r", ["o"], "item", 5, known).orderBy("place").collect()
+    assert [(r["item"], r["r"], r["turn"]) for r in got] == [("b", 1, 1), ("c", 2, 1)]
+
+
+def test_selection_against_its_definition():
+    """Greedy choice, one frame at a time and one distance at a time, on 40 frames of 9 regions."""
+    rng = np.random.default_rng(3)
+    n, budget = 40, 13
+    t, v, regions, clarity = np.cumsum(rng.integers(1, 900, n)).astype(float), rng.normal(size=(n, 6)), rng.normal(size=(n, 9, 6)), S.midranks(rng.random(n))
+    cos = lambda a, b: min(2.0, max(0.0, 1 - float(a @ b) / float(np.linalg.norm(a) * np.linalg.norm(b))))
+    part = lambda i, j: max(cos(regions[i, k], regions[j, k]) for k in range(9))
+    chosen = {0, n - 1}
+    for goal in np.linspace(t[0], t[-1], 5)[1:-1]:
+        chosen.add(min((abs(t[i] - goal), i) for i in range(n) if i not in chosen)[1])
+    bin_of = [min(3, int((x - t[0]) / (t[-1] - t[0]) * 4)) for x in t]
+    while len(chosen) < budget:
+        filled = [sum(bin_of[j] == b for j in chosen) for b in range(4)]
+        free = [i for i in range(n) if i not in chosen]
+        least = min(filled[bin_of[i]] for i in free)
+        points = lambda i: 0.5 * min(cos(v[i], v[j]) for j in chosen) + 0.3 * min(part(i, j) for j in chosen) + 0.15 * (max(cos(v[i], v[i - 1]), part(i, i - 1)) if i else 0) + 0.05 * clarity[i]  # noqa: B023, E731
+        chosen.add(max((i for i in free if filled[bin_of[i]] == least), key=lambda i: (round(points(i), 12), -i)))
+    assert S.choose(t, v, regions, clarity, budget)[1] == sorted(chosen)
 
 
 def test_metrics(spark):
