@@ -32,7 +32,7 @@ from caseflow.llm import components
 
 SHINGLE, FINE, SPAN, BANDS, ROWS = 8, 4, 3, 20, 4
 NUM, DEN = 80, 100
-PARITIES = 256
+PARITIES = 512
 
 _SLOPES = (C.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * C._BASE) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (C.mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64) * C._BASE) >> np.uint64(32)).astype(np.uint32)
