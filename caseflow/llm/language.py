@@ -4,13 +4,13 @@ Every language has a probability for each piece of a fixed public vocabulary. A
 all ways to cut it into pieces (forward algorithm), a text's is the product over its words, and languages compete
 with equal priors. Piece probabilities are learned by expectation-maximisation with the same sums (forward-backward).
 
-Pieces are byte strings: the vocabulary's normal pieces of at most MAX_PIECE bytes, plus all 256 single bytes, so
+Pieces are byte strings: all of the vocabulary's normal pieces, plus all 256 single bytes, so
 that every word has a cut. A word is a run of non-white-space bytes, A-Z lower-cased, with one space before it that
-stands for the vocabulary's word-start mark; words over MAX_WORD bytes are cut every MAX_WORD bytes and each part is
-summed over by itself. Whole texts are scored: every word of every text counts.
+stands for the vocabulary's word-start mark. Words of any length are summed over whole: those over SHORT bytes one by
+one, rescaled on the way. Whole texts are scored: every word of every text counts.
 
 Learning takes a bounded sample: about `sample` labelled texts of each language (a hash of the text decides), and
-nothing but their texts and languages. What is gathered on the driver is the sample's distinct words with counts.
+nothing but their texts and languages; of their words it takes those of at most LEARN_WORD bytes. What is gathered on the driver is the sample's distinct words with counts.
 
 Defined results: a null text, or one without any letter, is "und" with score 0; so is everything where nothing can
 be learned. Rows that repeat get equal values. Only the named columns are read. Ties go to the alphabetically first.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from caseflow.llm import columnar as C
 from caseflow.llm.pieces import MARK, load
 
-MAX_PIECE, MAX_WORD = 16, 32
+#: Words that are scored with whole lattices, and the longest that learning takes.
+SHORT, LEARN_WORD = 32, 64
 #: Expected number of texts a language that learning uses at most, rounds, and pseudo-counts for each piece.
 SAMPLE, ROUNDS, SMOOTH = 500, 4, 0.01
 CHUNK = 4 << 20
@@ -40,7 +41,7 @@ class Vocabulary:
     """Byte pieces, looked up by span hash in two tables without collisions."""
 
     def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
+        self.pieces, self.longest = pieces, max(map(len, pieces))
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         keys = C.span_hash(raw, np.concatenate([[0], ends[:-1]]), ends)
@@ -73,34 +74,28 @@ class Vocabulary:
 def vocabulary(model_path: str) -> Vocabulary:
     single = [bytes([b]) for b in range(256)]
     known = {s.replace(MARK, " ").lower().encode("utf-8") for s in load(model_path).id}
-    return Vocabulary([*single, *sorted(p for p in known if 1 < len(p) <= MAX_PIECE)])
+    return Vocabulary([*single, *sorted(p for p in known if len(p) > 1)])
 
 
-def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, text) of all words with a space in front, cut every MAX_WORD bytes."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, text) of all words with a space in front."""
     starts, ends, first = C.words(data, offsets, C.NON_SPACE)
     size = ends - starts + 1
     at = np.cumsum(size) - size
-    text = C.owner(first)
     buf = np.full(int(size.sum()), 0x20, np.uint8)
     if len(buf):
         letter = np.ones(len(buf), bool)
         letter[at] = False
-        inside = C.NON_SPACE[data]
-        buf[letter] = C.LOWER[data[inside]]
-    parts = -(-size // MAX_WORD)
-    which = np.repeat(np.arange(len(size)), parts)
-    inner = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    a = at[which] + inner * MAX_WORD
-    return buf, a, np.minimum(a + MAX_WORD, at[which] + size[which]), text[which]
+        buf[letter] = C.LOWER[data[C.NON_SPACE[data]]]
+    return buf, at, at + size, C.owner(first)
 
 
 def lattice(buf: np.ndarray, starts: np.ndarray, size: int, vocab: Vocabulary, total: np.ndarray) -> np.ndarray:
     """Piece index by (position, length - 1, word) of words of one size; vocab.n where there is no piece."""
-    out = np.full((size, MAX_PIECE, len(starts)), vocab.n, np.int32)
+    out = np.full((size, min(size, vocab.longest), len(starts)), vocab.n, np.int32)
     for i in range(size):
         back = C._power(1, len(total))[starts + i]
-        for n in range(1, min(MAX_PIECE, size - i) + 1):
+        for n in range(1, min(vocab.longest, size - i) + 1):
             out[i, n - 1] = vocab.find(C.mix((total[starts + i + n] - total[starts + i]) * back))
     return out
 
@@ -113,11 +108,11 @@ def _total(buf: np.ndarray) -> np.ndarray:
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     """alpha[position, word, language] of the words of a lattice; p has a last row of zeros."""
-    size, _, m = ids.shape
+    size, longest, m = ids.shape
     alpha = np.zeros((size + 1, m, p.shape[1]))
     alpha[0] = 1.0
     for j in range(1, size + 1):
-        for n in range(1, min(MAX_PIECE, j) + 1):
+        for n in range(1, min(longest, j) + 1):
             own = ids[j - n, n - 1]
             use = np.flatnonzero(own < len(p) - 1)
             if len(use):
@@ -125,15 +120,47 @@ def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def long_words(starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, total: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log probability (word, language) of words however long: forward() word by word, rescaled on its way."""
+    size = ends - starts
+    word = np.repeat(np.arange(len(starts)), size)
+    at = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(len(word))
+    found = []
+    for n in range(1, vocab.longest + 1):  # all pieces of n bytes at once
+        fits = np.flatnonzero(at + n <= ends[word])
+        a = at[fits]
+        own = vocab.find(C.mix((total[a + n] - total[a]) * C._power(1, len(total))[a]))
+        good = np.flatnonzero(own < vocab.n)
+        found.append((fits[good] + n - 1, np.full(len(good), n), own[good]))
+    last, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(last, kind="stable")
+    length, piece = length[order], piece[order]
+    bounds = np.searchsorted(last[order], np.arange(len(word) + 1))
+    out, first = np.zeros((len(starts), p.shape[1])), np.cumsum(size) - size
+    for w in range(len(starts)):
+        alpha, scale = np.zeros((size[w] + 1, p.shape[1])), np.zeros(p.shape[1])
+        alpha[0] = 1.0
+        for j in range(1, size[w] + 1):
+            own = slice(bounds[first[w] + j - 1], bounds[first[w] + j])
+            alpha[j] = (alpha[j - length[own]] * p[piece[own]]).sum(0)
+            if j % 16 == 0:  # so that 16 steps of 1e-12 each stay far from underflow
+                near = alpha[max(0, j - vocab.longest) : j + 1]
+                top = np.maximum(near.max(0), 1e-300)
+                near /= top
+                scale += np.log(top)
+        out[w] = np.log(np.maximum(alpha[size[w]], 1e-300)) + scale
+    return out
+
+
 def expected(ids: np.ndarray, p: np.ndarray, alpha: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts (piece, language); weight: (word, language) occurrences."""
-    size, _, m = ids.shape
+    size, longest, m = ids.shape
     beta = np.zeros_like(alpha)
     beta[size] = 1.0
     counts = np.zeros_like(p)
     share = weight / np.maximum(alpha[size], 1e-300)
     for i in range(size - 1, -1, -1):
-        for n in range(1, min(MAX_PIECE, size - i) + 1):
+        for n in range(1, min(longest, size - i) + 1):
             own = ids[i, n - 1]
             use = np.flatnonzero(own < len(p) - 1)
             if len(use):
@@ -155,7 +182,7 @@ class Model:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log probability by (text, language)."""
-        buf, starts, ends, text = word_parts(data, offsets)
+        buf, starts, ends, text = word_spans(data, offsets)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(starts):
             return out
@@ -169,7 +196,10 @@ class Model:
     def word_scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         total, size = _total(buf), ends - starts
         out = np.zeros((len(starts), self.p.shape[1]))
-        for n in np.unique(size):
+        rest = np.flatnonzero(size > SHORT)
+        if len(rest):
+            out[rest] = long_words(starts[rest], ends[rest], self.vocab, total, self.p)
+        for n in np.unique(size[size <= SHORT]):
             own = np.flatnonzero(size == n)
             for i in range(0, len(own), 8192):
                 part = own[i : i + 8192]
@@ -178,7 +208,7 @@ class Model:
 
 
 def learn(words: list[bytes], weight: np.ndarray, languages: list[str], vocab: Vocabulary, rounds: int = ROUNDS, smooth: float = SMOOTH) -> Model:
-    """EM from distinct words (space in front, at most MAX_WORD bytes) and their (word, language) counts."""
+    """EM from distinct words (space in front, at most LEARN_WORD bytes) and their (word, language) counts."""
     buf = np.frombuffer(b"".join(words), np.uint8)
     size = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(size)
@@ -214,7 +244,9 @@ def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col:
         for batch in batches:
             for part, data, offsets in C.chunks(batch, "text", CHUNK):
                 lang = np.array([languages.index(x) for x in part.column("lang").to_pylist()], np.int64)
-                buf, starts, ends, text = word_parts(data, offsets)
+                buf, starts, ends, text = word_spans(data, offsets)
+                short = ends - starts <= LEARN_WORD
+                starts, ends, text = starts[short], ends[short], text[short]
                 if not len(starts):
                     continue
                 h = C.span_hash(buf, starts, ends)
@@ -238,7 +270,8 @@ def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col:
 
 def predict(docs: DataFrame, model: Model | None, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """(the kept columns, lang_pred, score): score is the posterior probability of the predicted language."""
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    own_text, own_letter = C.free(list(keep), "text", "letter")
+    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).alias(own_text), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(own_letter))
     if model is None:
         return rows.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = C.extend(rows.schema.fields[: len(keep)], "lang_pred string, score double")
@@ -249,11 +282,11 @@ def predict(docs: DataFrame, model: Model | None, keep: dict[str, Column], text_
         m: Model = shared.value
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            for part, data, offsets in C.chunks(batch, "__text", CHUNK):
+            for part, data, offsets in C.chunks(batch, own_text, CHUNK):
                 ll = m.score(data, offsets)
                 best = np.argmax(ll, 1)
                 score = 1.0 / np.exp(ll - ll[np.arange(len(ll)), best][:, None]).sum(1)
-                letter = np.array(part.column("__letter").to_pylist(), bool)
+                letter = np.array(part.column(own_letter).to_pylist(), bool)
                 best = np.where(letter, best, len(m.languages))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(names[best], pa.string()), pa.array(np.where(letter, score, 0.0), pa.float64())], names=schema.names)
 

@@ -180,6 +180,38 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(weight, len(text))  # expected pieces cover the word
 
 
+def test_scores_of_words_of_any_length():
+    """Whole words of 1 to 180 bytes against the sum over segmentations in exact arithmetic, pieces longer than 16 bytes included."""
+    from fractions import Fraction
+
+    long = b" abcabcabcabcabcabcabc"
+    vocab = language.Vocabulary([bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bcabc", long])
+    rng = np.random.default_rng(4)
+    p = rng.random((vocab.n + 1, 2)) / 50
+    p[-1] = 0
+    index = {w: i for i, w in enumerate(vocab.pieces)}
+    model = language.Model(["x", "y"], vocab, p)
+    texts = ["a", "abcabc", "abc" * 7, "abcabcabcabcabcabcabcx", "abc" * 20 + "zq", "ab" * 90, None, "a abc\tabcabcabcabcabcabcabc"]
+    data, offsets = C.column(pa.table({"t": texts}), "t")
+    got = model.score(data, offsets)
+    for t, row in zip(texts, got, strict=True):
+        for k in range(2):
+            want = 0.0
+            for w in words(t):
+                w, alpha = b" " + w.encode(), [Fraction(1)]
+                for j in range(1, len(w) + 1):
+                    alpha.append(sum((alpha[j - len(x)] * Fraction(p[i, k]) for x, i in index.items() if len(x) <= j and w[j - len(x) : j] == x), Fraction(0)))
+                top = alpha[-1]
+                want += math.log(top.numerator) - math.log(top.denominator)
+            assert math.isclose(row[k], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_language_of_an_empty_table(spark):
+    model = language.fit(spark.createDataFrame([("the house", "en"), ("das haus", "de")], "text string, lang string"), queries.piece_model_path())
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert language.predict(empty, model, {"doc_id": F.col("doc_id"), "text": F.col("text")}).count() == 0
+
+
 def test_language_held_out_accuracy(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
