@@ -76,13 +76,16 @@ def roots(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u != v")
     e = C.written(e.mapInArrow(_locally, "u long, v long").distinct(), "edges")
+    # as few tasks as hold the edges: the more edges a task joins, the fewer rounds follow; beyond the session's partitions nothing is joined up
+    tasks = max(e.sparkSession.sparkContext.defaultParallelism, -(-e.count() // LOCAL_EDGES))
     while not _is_forest_of_stars(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, e = e, C.written(small.union(low.select("u", F.col("m").alias("v"))).mapInArrow(_locally, "u long, v long").distinct(), "edges")
+        joined = small.union(low.select("u", F.col("m").alias("v"))).coalesce(tasks).mapInArrow(_locally, "u long, v long").distinct()
+        before, e = e, C.written(joined.coalesce(tasks), "edges")
         C.dropped(before)
     return e
 
