@@ -12,9 +12,12 @@ from caseflow.operators import metrics as M
 
 
 def pairs(frames: DataFrame, case: str, index: str, fps: float) -> DataFrame:
-    """(case, pair, first, last, padded, label) of frames 2k and 2k + 1, counted from 0; a last frame without a partner stands twice."""
+    """(case, pair, first, last, padded, label) of frames 2k and 2k + 1, counted from 0; a last frame without a partner stands twice.
+
+    The label is the mean of both times to one decimal, halves to even.
+    """
     x = frames.groupBy(case, F.floor(F.col(index) / 2).alias("pair")).agg(F.min(index).alias("first"), F.max(index).alias("last"))
-    label = F.format_string("<%.1f seconds>", (F.col("first") + F.col("last")) / F.lit(2.0 * fps))
+    label = F.format_string("<%.1f seconds>", F.bround((F.col("first") + F.col("last")) / F.lit(2.0 * fps), 1))
     return x.select(case, "pair", "first", "last", (F.col("first") == F.col("last")).alias("padded"), label.alias("label"))
 
 
