@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
-from caseflow.llm import decontaminate, language, line_dedup, lm_score, media, ngram_join, pieces, sql, substring_dedup, toxicity, url_filter
+from caseflow.llm import decontaminate, language, line_dedup, lm_score, media, ngram_join, pieces, sql, substring_dedup, toxicity, transducer, url_filter, whitening
 
-PIECE_MODEL = "piece_bpe_32k.model"
+PIECE_MODEL, BYTE_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
@@ -20,6 +20,12 @@ def piece_model_path() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def byte_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(BYTE_MODEL)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,6 +80,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine, {"doc_id": F.col("doc_id"), "held_out": remainder(5) == 0})
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.count_tokens(table(spark, sf_dir, "documents"), byte_model_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
