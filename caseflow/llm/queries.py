@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
-from caseflow.llm import decontaminate, language, line_dedup, lm_score, media, ngram_join, pieces, sql, substring_dedup, toxicity, transducer, url_filter, whitening
+from caseflow.llm import alignment, decontaminate, language, line_dedup, lm_score, media, ngram_join, pieces, sql, substring_dedup, toxicity, transducer, url_filter, whitening
 
 PIECE_MODEL, BYTE_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -88,6 +88,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.count_tokens(table(spark, sf_dir, "documents"), byte_model_path())
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), byte_model_path(), piece_model_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
