@@ -1,4 +1,4 @@
-"""Archive records as relations: label joins, exact outcomes, availability, rounds of review, append rules, arithmetic and split contracts."""
+"""Archive records as relations: label joins, exact outcomes, availability, rounds of review, arithmetic and split contracts."""
 
 from __future__ import annotations
 
@@ -105,34 +105,6 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-# --- the append-only log ----------------------------------------------------------------------------------------------
-
-
-def append_rules(events: DataFrame, case: str, order: str, t: str, kind: str, kinds: list[str], cites: str) -> DataFrame:
-    """events with rule_id: null where the log takes the event, else the first rule that it breaks.
-
-    unknown_type: no known kind; time_backwards: earlier than an event of a known kind before it; unknown_citation: cites (an array of
-    orders) names an event that is not before it in its case's log or that broke one of the first two rules.
-    """
-    w = Window.partitionBy(case).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    known = F.coalesce(F.col(kind).isin(kinds), F.lit(False))
-    x = events.withColumn("__known", known)
-    x = x.withColumn("__max", F.max(F.when(F.col("__known"), F.col(t))).over(w))
-    x = x.withColumn("__rule", F.when(~F.col("__known"), "unknown_type").when(F.col(t) < F.col("__max"), "time_backwards"))
-    asked = x.select(case, order, F.explode(cites).alias("__cited"))
-    there = x.where("__rule is null").select(F.col(case).alias("__case"), F.col(order).alias("__there"))
-    bad = asked.join(there, (F.col(case) == F.col("__case")) & (F.col("__cited") == F.col("__there")) & (F.col("__there") < F.col(order)), "left_anti")
-    bad = bad.select(case, order).distinct().withColumn("__bad", F.lit(True))
-    x = x.join(bad, [case, order], "left")
-    return x.withColumn("rule_id", F.coalesce("__rule", F.when(F.col("__bad"), "unknown_citation"))).drop("__known", "__max", "__rule", "__bad")
-
-
-def appended(checked: DataFrame, case: str, order: str) -> DataFrame:
-    """What append_rules() lets through, with ids E000001, E000002, ... in order."""
-    n = F.row_number().over(Window.partitionBy(case).orderBy(order))
-    return checked.where("rule_id is null").withColumn("log_id", F.format_string("E%06d", n)).drop("rule_id")
-
-
 # --- rounds and references --------------------------------------------------------------------------------------------
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from caseflow.operators import archive as A
 from caseflow.operators import graph as G
+from caseflow.operators import log as L
 from caseflow.plans.event_queries import FRAMES, frames
-from caseflow.plans.registry import query, table
+from caseflow.plans.registry import place, query, table
+from caseflow.streaming import replay as R
 
 SEGMENTS = {"automobile": "vehicle", "building": "site", "household": "home"}
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENTS.items())
@@ -173,27 +175,43 @@ def ordered_union(spark: SparkSession, d: str) -> DataFrame:
 
 KINDS = ["click", "purchase", "signup", "view"]
 _IN = ", ".join(map(repr, KINDS))
-LOG = f"""raw AS (SELECT user_id, event_id, (event_id * 7919) % 100 + event_id AS t_ms, event_type, event_id - 40 AS cited FROM events),
-mx AS (SELECT *, event_type IN ({_IN}) AS ok, max(CASE WHEN event_type IN ({_IN}) THEN t_ms END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM raw),
-pre AS (SELECT *, CASE WHEN NOT ok THEN 'unknown_type' WHEN t_ms < before THEN 'time_backwards' END AS r FROM mx),
-chk AS (SELECT p.user_id, p.event_id, p.t_ms, p.event_type, coalesce(p.r, CASE WHEN p.event_id % 5 = 0 AND c.event_id IS NULL THEN 'unknown_citation' END) AS rule_id FROM pre p LEFT JOIN pre c ON c.user_id = p.user_id AND c.event_id = p.cited AND c.r IS NULL)"""
+#: Appends one after another, event by event of all cases at once: what was taken so far is a list of ids.
+LOG = f"""raw AS (SELECT user_id, event_id, (event_id * 7919) % 100 + event_id AS t_ms, event_type, CASE WHEN event_id % 5 = 0 THEN event_id - 40 END AS cited, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+fold(user_id, i, last, taken, event_id, t_ms, rule_id) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM raw
+UNION ALL SELECT user_id, i, CASE WHEN r IS NULL THEN t_ms ELSE last END, CASE WHEN r IS NULL THEN list_append(taken, event_id) ELSE taken END, event_id, t_ms, r FROM
+(SELECT w.*, f.last, f.taken, CASE WHEN w.event_type NOT IN ({_IN}) THEN 'unknown_type' WHEN w.t_ms < f.last THEN 'time_backwards' WHEN w.cited IS NOT NULL AND NOT list_contains(f.taken, w.cited) THEN 'unknown_citation' END AS r
+FROM fold f JOIN raw w ON w.user_id = f.user_id AND w.i = f.i + 1)),
+chk AS (SELECT user_id, event_id, t_ms, rule_id FROM fold WHERE i > 0)"""
+_TAKEN = f"WITH RECURSIVE {LOG} SELECT user_id, event_id, t_ms, printf('E%06d', row_number() OVER (PARTITION BY user_id ORDER BY event_id)) AS log_id FROM chk WHERE rule_id IS NULL"
 
 
-def checked_log(spark: SparkSession, d: str) -> DataFrame:
+def appends(events: DataFrame) -> DataFrame:
     """Events as appends: a jittered time, and of every fifth event a citation of the event 40 before it."""
-    x = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") * 7919 % 100 + F.col("event_id")).alias("t_ms"), "event_type")
-    x = x.withColumn("cites", F.when(F.col("event_id") % 5 == 0, F.array(F.col("event_id") - 40)).otherwise(F.lit([]).cast("array<bigint>")))
-    return A.append_rules(x, "user_id", "event_id", "t_ms", "event_type", KINDS, "cites")
+    x = events.select("user_id", "event_id", (F.col("event_id") * 7919 % 100 + F.col("event_id")).alias("t_ms"), "event_type")
+    return x.withColumn("cites", F.when(F.col("event_id") % 5 == 0, F.array(F.col("event_id") - 40)).otherwise(F.lit([]).cast("array<bigint>")))
+
+
+def checked_log(spark: SparkSession, d: str) -> DataFrame:
+    return L.append(appends(table(spark, d, "events")), "user_id", "event_id", "t_ms", "event_type", "cites", KINDS)
 
 
-@query(f"WITH {LOG} SELECT user_id, event_id, rule_id FROM chk WHERE rule_id IS NOT NULL")
+@query(f"WITH RECURSIVE {LOG} SELECT user_id, event_id, rule_id FROM chk WHERE rule_id IS NOT NULL")
 def event_log_violations(spark: SparkSession, d: str) -> DataFrame:
     return checked_log(spark, d).where("rule_id is not null").select("user_id", "event_id", "rule_id")
 
 
-@query(f"WITH {LOG} SELECT user_id, event_id, t_ms, printf('E%06d', row_number() OVER (PARTITION BY user_id ORDER BY event_id)) AS log_id FROM chk WHERE rule_id IS NULL")
+@query(_TAKEN)
 def event_log_append(spark: SparkSession, d: str) -> DataFrame:
-    return A.appended(checked_log(spark, d), "user_id", "event_id").select("user_id", "event_id", "t_ms", "log_id")
+    return checked_log(spark, d).where("rule_id is null").select("user_id", "event_id", "t_ms", "log_id")
+
+
+@query(_TAKEN)
+def event_log_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same log, kept as the events arrive: dead letters are left out."""
+    at = place(spark, "log")
+    L.with_state_store(spark)
+    stream = L.append_stream(appends(R.event_stream(spark, d, "events.parquet")), "user_id", "event_id", "t_ms", "event_type", "cites", KINDS)
+    return R.drain(stream, f"{at}/out", f"{at}/c").where("rule_id is null").select("user_id", "event_id", "t_ms", "log_id")
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from caseflow.operators import contracts as K
 from caseflow.operators import exports as E
 from caseflow.operators import graph as G
 from caseflow.plans.event_queries import observations, frames
-from caseflow.plans.registry import query, table
+from caseflow.plans.registry import place, query, table
 from caseflow.streaming import replay as R
 
 
@@ -197,14 +195,9 @@ def degraded_observations(spark: SparkSession, d: str) -> DataFrame:
 # --- streams: the events table replayed as files to its end ------------------------------------------------------------
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark, "tumbling")
+    at = place(spark, "tumbling")
     return R.drain_table(R.tumbling(R.event_stream(spark, d, "events.parquet"), "1 hour", "1 day"), f"{at}/c", ["start", "event_type"], f"{at}/out")
 
 
@@ -219,14 +212,14 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark, "dedup")
+    at = place(spark, "dedup")
     return R.drain(R.deduplicated(R.event_stream(spark, d, "events.parquet"), ["event_type", "user_id"], "3650 days").select("event_type", "user_id"), f"{at}/out", f"{at}/c")
 
 
 @query()
 def stream_detector(spark: SparkSession, d: str) -> DataFrame:
     """The keyed detector over events replayed as a stream: equal to hysteresis_entries and hysteresis_exits."""
-    at = _place(spark, "detector")
+    at = place(spark, "detector")
     observations(frames(spark, d)).select("case_id", "t_ms", "labels", F.col("frame_index").cast("long").alias("order")).write.parquet(f"{at}/in")
     stream = spark.readStream.schema("case_id long, t_ms long, labels array<string>, `order` long").parquet(f"{at}/in")
     return R.drain(R.detector(stream, 1, 2), f"{at}/out", f"{at}/c")
