@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over the same bytes, by shuffled postings.
 
-Side A is a byte-level merge vocabulary (tokenizers), side B a piece vocabulary (sentencepiece). A text's tokens of both
+Side A is a byte-level merge vocabulary (the machines of transducer), side B a piece vocabulary (the sentencepiece library). A text's tokens of both
 sides are laid over its bytes with a leading blank. Where tokens of both sides end, the bytes are cut into groups, and the
 two tokens that end there are linked. How good a link is depends on the corpus: the count of its pair of ids, and whether that is the
 highest count of its B id.
@@ -14,16 +14,15 @@ asks for, their counts copied to each. What postings contribute is dealt by bloc
 
 Defined results: a null or empty text has no tokens, nor has one whose tokens' bytes are not the blank and the text (as where
 it holds U+2581, which side B cannot tell from a blank): zeros, and '' as digest. Repeated rows each count and return, null ids
-are carried, an empty table gives an empty result, texts of any length are one document of one block. Strings of special tokens are plain text.
-Segments of texts are told apart by two 64-bit hashes, 127 bits together. Both files must be readable on the executors.
+are carried, an empty table gives an empty result, texts of any length are one document of one block. Strings of special tokens are plain text. Both files must be readable on the executors.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,65 +31,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
-from caseflow.llm import pieces, transducer
+from caseflow.llm import transducer
 
-#: Bytes of text of one block, and documents at most; a longer text is a block of its own.
-BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 1 << 16
+#: Bytes of text of one block, and documents at most; a longer text is a block of its own. Texts are looked at SLICE_BYTES at a time.
+BLOCK_BYTES, BLOCK_DOCS, SLICE_BYTES = 4 << 20, 1 << 16, 512 << 10
 #: B ids that hold more than this part of all postings are dealt to several tasks.
 HOT = 400
-#: Ids of segments that a worker keeps at most, by the estimate of segment_bytes().
-CACHE_BYTES = 96 << 20
-MARK = pieces.MARK.encode()
 _DIGITS = 10
 
 
-def segment_bytes(ids: np.ndarray) -> int:
-    """What a kept segment takes at most: its key, its place in the table and its ids."""
-    return 250 + 4 * len(ids)
-
-
-class Side:
-    """Ids of byte segments; each distinct segment goes through the library once per worker, or again where CACHE_BYTES do not hold all."""
-
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], token_bytes: dict[int, bytes]):
-        self.encode, self.token_bytes = encode, token_bytes
-        self.length = np.zeros(max(token_bytes) + 1, np.int64)
-        for i, b in token_bytes.items():
-            self.length[i] = len(b)
-        self.kept: dict[tuple[int, int], np.ndarray | None] = {}
-        self.bytes = 0
-
-    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all segments in order, how many each segment has, whether each segment's tokens are its bytes)."""
-        one = C.span_hash(data, starts, ends, 0)
-        other = C.span_hash(data, starts, ends, 1)
-        by = np.argsort(one)
-        new = np.ones(len(by), bool)
-        new[1:] = (one[by][1:] != one[by][:-1]) | (other[by][1:] != other[by][:-1])
-        which = np.empty(len(by), np.int64)
-        which[by] = np.cumsum(new) - 1
-        first = by[new]
-        keys = list(zip(one[first].tolist(), other[first].tolist(), strict=True))
-        if self.bytes > CACHE_BYTES:
-            self.kept, self.bytes = {}, 0
-        kept, missing = self.kept, [i for i, k in enumerate(keys) if k not in self.kept]
-        if missing:
-            raw = data.tobytes()
-            segments = [raw[starts[first[i]] : ends[first[i]]] for i in missing]
-            for i, segment, ids in zip(missing, segments, self.encode(segments), strict=True):
-                same = b"".join([self.token_bytes[t] for t in ids]) == segment
-                kept[keys[i]] = np.array(ids, np.int32) if same else None
-                self.bytes += segment_bytes(ids)
-        found = [kept[k] for k in keys]
-        good = np.array([x is not None for x in found], bool)
-        found = [_NONE if x is None else x for x in found]
-        n = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate([*found, _NONE])
-        count = n[which]
-        return flat[_ranges((np.cumsum(n) - n)[which], count)], count, good[which]
-
-
-_NONE = np.zeros(0, np.int32)
+class SideA:
+    """Ids by the compiled machines of the byte-level vocabulary; special strings are plain text."""
+
+    def __init__(self, path: str):
+        self.machine = transducer.machine(path)
+        self.length = _lengths(self.machine.vocabulary.bytes)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, how many each text has); each text has a blank before it."""
+        cut = transducer.Pieces(data, offsets, classes, None)
+        ids, n = self.machine.tokens(data, cut.starts, cut.ends)
+        return ids, np.bincount(cut.text, n, len(offsets) - 1).astype(np.int64)
+
+
+class SideB:
+    """Ids by the library, which puts the blank before a text itself."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        spelled = {i: lib.id_to_piece(i) for i in range(lib.get_piece_size()) if not lib.is_control(i) and not lib.is_unknown(i)}
+        self.bytes = {i: bytes([int(s[3:5], 16)]) if lib.is_byte(i) else s.replace("▁", " ").encode() for i, s in spelled.items()}
+        self.length = _lengths(self.bytes)
+        self.place = np.cumsum(self.length) - self.length
+        self.joined = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(self.length))), np.uint8)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, how many each text has)."""
+        each = self.library.encode(texts, num_threads=1)
+        return np.array(list(chain.from_iterable(each)), np.int32), np.array([len(x) for x in each], np.int64)
+
+    def spells(self, ids: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """By text, whether its tokens' bytes are its own."""
+        text, want = np.repeat(np.arange(len(count)), count), np.diff(offsets)
+        good = np.bincount(text, self.length[ids], len(count)) == want
+        ids, text = ids[good[text]], text[good[text]]
+        given = self.joined[_ranges(self.place[ids], self.length[ids])]
+        own = np.repeat(good, want)
+        odd = np.flatnonzero(given != data[own])
+        good[np.searchsorted(offsets, np.flatnonzero(own)[odd], "right") - 1] = False
+        return good
+
+
+def _lengths(token_bytes: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(max(token_bytes) + 1, np.int64)
+    for i, b in token_bytes.items():
+        out[i] = len(b)
+    return out
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -99,48 +97,9 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def side_a(path: str) -> Side:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    library.no_truncation()
-    library.no_padding()
-
-    def encode(segments: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for i in range(0, len(segments), 5000):
-            out += [e.ids for e in library.encode_batch_fast([s.decode() for s in segments[i : i + 5000]], add_special_tokens=False)]
-        return out
-
-    return Side(encode, transducer.Vocabulary(path).bytes)
-
-
-@lru_cache(1)
-def side_b(path: str) -> Side:
-    import sentencepiece
-
-    library = sentencepiece.SentencePieceProcessor(model_file=path)
-    model = pieces.load(path)
-    lone = model.id.get(pieces.MARK)
-    spelled = {i: s.replace(pieces.MARK, " ").encode() for s, i in model.id.items()} | {i: bytes([b]) for b, i in model.byte_id.items()} | {model.unknown: b""}
-
-    def encode(segments: list[bytes]) -> list[list[int]]:
-        # the library puts a blank of its own before a text; a lone blank at a text's end is a piece by itself
-        out = library.encode([s[1:].decode() for s in segments], num_threads=1)
-        return [[lone] if s == b" " else ids for s, ids in zip(segments, out, strict=True)]
-
-    return Side(encode, spelled)
-
-
-def _blank_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of B's segments: a text's first byte, and every run of blanks."""
-    blank = data == 0x20
-    start = blank.copy()
-    start[1:] &= ~blank[:-1]
-    start[offsets[:-1]] = True
-    return np.flatnonzero(start)
+def sides(a_path: str, b_path: str) -> tuple[SideA, SideB]:
+    """The worker's two sides: tasks that follow each other in one worker share what they have learned."""
+    return SideA(a_path), SideB(b_path)
 
 
 def _printed(n: int) -> np.ndarray:
@@ -153,24 +112,15 @@ def _printed(n: int) -> np.ndarray:
     return out
 
 
-class Block:
-    """What is found in a block of texts (bytes with a blank before each)."""
+class Slice:
+    """What is found in a slice of a block's texts (bytes with a blank before each): counts and digest of each, and how often each holds each pair of ids."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, a: Side, b: Side, classes: np.ndarray, digits: np.ndarray):
-        n = len(offsets) - 1
-        cut = transducer.Pieces(data, offsets, classes, None)
-        sides = []
-        good = np.ones(n, bool)
-        for side, starts in ((a, cut.starts), (b, _blank_cuts(data, offsets))):
-            ends = np.append(starts[1:], len(data))
-            ids, count, same = side.ids(data, starts, ends)
-            text = np.searchsorted(offsets, starts, "right") - 1
-            good[text[~same]] = False
-            sides.append((side, ids, np.repeat(text, count)))
-        # a mark of the text itself would be read as a blank
-        marks = [m for m in _find(data.tobytes(), MARK)]
-        good[np.searchsorted(offsets, np.array(marks, np.int64), "right") - 1] = False
-        good &= np.diff(offsets) > 1
+    def __init__(self, texts: list[str], a: SideA, b: SideB, classes: np.ndarray, digits: np.ndarray):
+        raw, n = [b" " + t.encode() for t in texts], len(texts)
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw]))
+        (ia, na), (ib, nb) = a.ids(data, offsets, classes), b.ids(texts)
+        good = b.spells(ib, nb, data, offsets) & (np.diff(offsets) > 1)
+        sides = [(side, ids, np.repeat(np.arange(n), count)) for side, ids, count in ((a, ia, na), (b, ib, nb))]
         size = np.where(good, np.diff(offsets), 0)
         flags, kept = [np.zeros(int(size.sum()) + 1, bool) for _ in sides], []
         for flag, (side, ids, text) in zip(flags, sides, strict=True):
@@ -185,11 +135,7 @@ class Block:
         self.n_links = np.bincount(link_text, minlength=n)
         self.digests = self._digests(ia, cut_a, ib, cut_b, digits, good)
         code = ib[cut_b].astype(np.int64) << 20 | ia[cut_a]
-        key, self.times = np.unique(code << 20 | link_text, return_counts=True)
-        self.doc = (key & (1 << 20) - 1).astype(np.int32)
-        code = key >> 20
-        self.first = np.flatnonzero(np.diff(code, prepend=-1))
-        self.b, self.a = code[self.first] >> 20, code[self.first] & (1 << 20) - 1
+        self.key, self.times = np.unique(code << 20 | link_text, return_counts=True)
 
     def _digests(self, ia: np.ndarray, cut_a: np.ndarray, ib: np.ndarray, cut_b: np.ndarray, digits: np.ndarray, good: np.ndarray) -> list[str]:
         """Hash of each text's `a1,a2|b1;a3|b2,b3`."""
@@ -212,13 +158,6 @@ class Block:
         return [hashlib.sha256(flat[i : j - 1]).hexdigest() if ok else "" for i, j, ok in zip([0, *ends[:-1].tolist()], ends.tolist(), good.tolist(), strict=True)]
 
 
-def _find(raw: bytes, what: bytes) -> Iterator[int]:
-    i = raw.find(what)
-    while i >= 0:
-        yield i
-        i = raw.find(what, i + 1)
-
-
 _DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _POSTING = "kind string, block long, b int, a int, docs array<int>, times array<int>, doc int"
 
@@ -230,36 +169,39 @@ def postings(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     arrow = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("b", pa.int32()), ("a", pa.int32()), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("doc", pa.int32())])
     runs = transducer.class_table(a_path)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held, size = [], 0
-        for batch in batches:
-            for part, data, _ in C.chunks(batch, "text", BLOCK_BYTES):
-                if held and (size + len(data) > BLOCK_BYTES or sum(map(len, held)) + len(part) > BLOCK_DOCS):
-                    yield pa.Table.from_batches(held)
-                    held, size = [], 0
-                held.append(part)
-                size += len(data)
-        if held:
-            yield pa.Table.from_batches(held)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, classes = side_a(a_path), side_b(b_path), transducer.spread(runs)
-        digits = _printed(max(len(a.length), len(b.length)))
-        for k, table in enumerate(blocks(batches)):
-            texts = [b" " + (t or "").encode() for t in table.column("text").to_pylist()]
-            offsets = np.append(0, np.cumsum([len(t) for t in texts]))
-            found = Block(np.frombuffer(b"".join(texts), np.uint8), offsets, a, b, classes, digits)
-            block = TaskContext.get().partitionId() << 32 | k
-            n, m = table.num_rows, len(found.first)
-            own = {"kind": ["doc"] * n, "block": np.full(n, block), "doc": np.arange(n, dtype=np.int32), "id": table.column("id").combine_chunks()}
-            own |= {"n_a": found.n_a, "n_b": found.n_b, "n_groups": found.n_links, "n_links": found.n_links, "groups_sha256": found.digests}
-            yield _record(own, n, schema, arrow)
-            starts = pa.array(np.append(found.first, len(found.doc)).astype(np.int32))
-            lists = {"docs": pa.ListArray.from_arrays(starts, pa.array(found.doc)), "times": pa.ListArray.from_arrays(starts, pa.array(found.times.astype(np.int32)))}
-            for i in range(0, m, 20_000):
-                part = {"kind": ["posting"] * len(found.b[i : i + 20_000]), "b": found.b[i : i + 20_000].astype(np.int32), "a": found.a[i : i + 20_000].astype(np.int32)}
-                part |= {"block": np.full(len(part["b"]), block)} | {c: v.slice(i, 20_000) for c, v in lists.items()}
-                yield _record(part, len(part["b"]), schema, arrow, table.schema.field("id").type)
+        a, b = sides(a_path, b_path)
+        classes, digits = transducer.spread(runs), _printed(max(len(a.length), len(b.length)))
+        block, size, n, keys, times = TaskContext.get().partitionId() << 32, 0, 0, [], []
+        for batch in batches:
+            for part, data, _ in C.chunks(batch, "text", SLICE_BYTES):
+                if n and (size + len(data) > BLOCK_BYTES or n + len(part) > BLOCK_DOCS):
+                    yield from rows_of(block, keys, times, batch.schema.field("id").type)
+                    block, size, n, keys, times = block + 1, 0, 0, [], []
+                found = Slice([t or "" for t in part.column("text").to_pylist()], a, b, classes, digits)
+                own = {"kind": ["doc"] * len(part), "block": np.full(len(part), block), "doc": np.arange(n, n + len(part), dtype=np.int32), "id": part.column("id")}
+                own |= {"n_a": found.n_a, "n_b": found.n_b, "n_groups": found.n_links, "n_links": found.n_links, "groups_sha256": found.digests}
+                yield _record(own, len(part), schema, arrow)
+                keys.append(found.key + n)
+                times.append(found.times)
+                size, n = size + len(data), n + len(part)
+        if n:
+            yield from rows_of(block, keys, times, batch.schema.field("id").type)
+
+    def rows_of(block: int, keys: list[np.ndarray], times: list[np.ndarray], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """A block's postings: documents differ between slices, so no key is in two of them."""
+        key, n = np.concatenate(keys), np.concatenate(times).astype(np.int32)
+        by = np.argsort(key)
+        key, n = key[by], n[by]
+        code = key >> 20
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        starts = pa.array(np.append(first, len(key)).astype(np.int32))
+        lists = {"docs": pa.ListArray.from_arrays(starts, pa.array((key & (1 << 20) - 1).astype(np.int32))), "times": pa.ListArray.from_arrays(starts, pa.array(n))}
+        b, a = (code[first] >> 20).astype(np.int32), (code[first] & (1 << 20) - 1).astype(np.int32)
+        for i in range(0, len(first), 20_000):
+            m = len(b[i : i + 20_000])
+            part = {"kind": ["posting"] * m, "block": np.full(m, block), "b": b[i : i + 20_000], "a": a[i : i + 20_000]} | {c: v.slice(i, 20_000) for c, v in lists.items()}
+            yield _record(part, m, schema, arrow, id_type)
 
     return rows.mapInArrow(run, schema)
 

@@ -261,12 +261,17 @@ class MergingMachine:
         self.number: dict[tuple[tuple[int, int, int], ...], int] = {}
         self.table = Table()
         self.follows.clear()
+        #: the last token of each state's prefix
+        self.last = np.full(1 << 10, -1, np.int32)
         assert self._state(((0, -1, 0),)) == 0
 
     def _state(self, key: tuple[tuple[int, int, int], ...]) -> int:
         n = self.number.setdefault(key, len(self.states))
         if n == len(self.states):
             self.states.append(key)
+            if n == len(self.last):
+                self.last = np.concatenate([self.last, self.last])
+            self.last[n] = key[-1][1]
         return n
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -327,8 +332,8 @@ class MergingMachine:
             value, _ = self.table.get(key)
         return value >> 16, (value & 0xFFFF) - (1 << 15)
 
-    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = MERGE_CHUNK) -> np.ndarray:
-        """Tokens of each piece."""
+    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = MERGE_CHUNK, last: np.ndarray | None = None) -> np.ndarray:
+        """Tokens of each piece; last: gets the last token of each piece's prefix that ends with a byte, at that byte."""
         if len(self.states) > STATES:
             self._reset()
         per = np.maximum(1, -(-(ends - starts) // chunk))
@@ -346,8 +351,11 @@ class MergingMachine:
             # of lanes by falling length, those that reach step i stand in front
             reach = np.searchsorted(-length[todo], -np.arange(int(length[todo[0]])), "left")
             for i, m in enumerate(reach):
-                state[:m], more = self.step(state[:m], data[place[:m] + i].astype(np.int64))
+                at_byte = place[:m] + i
+                state[:m], more = self.step(state[:m], data[at_byte].astype(np.int64))
                 added[:m] += more
+                if last is not None:
+                    last[at_byte] = self.last[state[:m]]
             left[todo], total[todo] = state, added
             behind = todo[todo + 1 < len(at)] + 1
             behind = behind[follows[behind]]
@@ -355,6 +363,21 @@ class MergingMachine:
             entry[todo] = left[todo - 1]
         return np.bincount(piece, total, len(starts)).astype(np.int64)
 
+    def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, how many each piece has): from each piece's end back over its last tokens."""
+        last = np.full(len(data), -1, np.int32)
+        n = self.counts(data, starts, ends, last=last)
+        size = np.zeros(max(self.vocabulary.bytes) + 1, np.int64)
+        for i, b in self.vocabulary.bytes.items():
+            size[i] = len(b)
+        ids, place, at = np.empty(int(n.sum()), np.int32), np.cumsum(n) - 1, ends - 1
+        back = np.flatnonzero(n)
+        for step in range(int(n.max(initial=0))):
+            back = back[n[back] > step]
+            ids[place[back] - step] = t = last[at[back]]
+            at[back] -= size[t]
+        return ids, n
+
 
 class Table:
     """An open-addressing table from 64-bit keys (not negative) to values, looked up by arrays."""
