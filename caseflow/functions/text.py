@@ -12,9 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: White space of any script, and the separators U+001C to U+001F.
+_WHITE = r"[\p{IsWhite_Space}\x1C-\x1F]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{_WHITE}+|{_WHITE}+\z", "")
+
+
+def blank(text: Column) -> Column:
+    """Whether a text is null or white space alone."""
+    return F.coalesce(F.length(strip(text)) == 0, F.lit(True))
+
+
+def folded(text: Column) -> Column:
+    """Without case, as far as upper and then lower case tell it: one form for ß and ss, a capital and its small letter."""
+    # the step between keeps the optimizer from taking lower(upper(x)) for lower(x)
+    return F.lower(F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS")))
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "))
+    return F.trim(F.regexp_replace(text, rf"{_WHITE}+", " "))
 
 
 def label(text: Column, suffixes: list[str]) -> Column:
@@ -42,7 +62,7 @@ def number(text: Column) -> Column:
 
 def boolean(text: Column) -> Column:
     """true for yes/true/y/1, false for no/false/n/0 (any case, white space around), else null."""
-    x = F.lower(F.trim(text))
+    x = F.lower(strip(text))
     return F.when(x.isin("yes", "true", "y", "1"), True).when(x.isin("no", "false", "n", "0"), False)
 
 

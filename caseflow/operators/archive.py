@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions import text as X
+from caseflow.operators import graph as G
+
 # --- labels and outcomes ------------------------------------------------------------------------------------------
 
 
 def mapped(rows: DataFrame, raw: str, names: dict[str, str], out: str = "label") -> DataFrame:
     """rows with the name of each raw label, stripped of white space and lower-cased; null where it is unknown."""
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    return rows.withColumn(out, F.element_at(table, F.lower(F.trim(raw))))
+    return rows.withColumn(out, F.element_at(table, F.lower(X.strip(F.col(raw)))))
 
 
 def label_counters(rows: DataFrame, group: list[str], label: str, valid: Column) -> DataFrame:
@@ -33,7 +36,7 @@ def availability(frames: DataFrame, labels: DataFrame | None, key: str, label: s
     """(key, status, reason): whether a frame has a label that isn't blank, and why not. No row is no negative label."""
     if labels is None:
         return frames.select(key, F.lit("unavailable").alias("status"), F.lit("table_unavailable").alias("reason"))
-    by = labels.groupBy(key).agg(F.bool_or(F.trim(F.coalesce(F.col(label), F.lit(""))) != "").alias("given"))
+    by = labels.groupBy(key).agg(F.bool_or(~X.blank(F.col(label))).alias("given"))
     x = frames.select(key).join(by, key, "left")
     reason = F.when(F.col("given"), F.lit(None)).when(F.col("given").isNull(), "no_matching_source_rows").otherwise("blank_placeholder_rows")
     return x.select(key, F.when(F.col("given"), "provided").otherwise("unavailable").alias("status"), reason.alias("reason"))
@@ -57,26 +60,26 @@ def bounding_box(points: DataFrame, keys: list[str], x: str, y: str) -> DataFram
 
 
 def hash_shuffle(rows: DataFrame, case: str, item: str, chronological: list[str], prefix: str) -> DataFrame:
-    """Adds salt and position: items of a case by sha256 of prefix, case, salt and item.
+    """Adds salt and position: items of a case by sha256 of prefix, case, salt and item, repeated items by that of their place too.
 
     The salt is the first, from 0, whose order is neither the chronological one nor its reverse; cases of fewer than three items
-    have no such order and keep salt 0. Each round looks at the cases that are still open.
+    have no such order and keep salt 0. Each round looks at the cases that are still open, of three different items one in
+    three, and is checkpointed, so that no round computes those before it again.
     """
     at = F.row_number().over(Window.partitionBy(case).orderBy(*chronological))
-    # both row numbers come from sorts; a case is settled by two counts of places where they differ
-    rest, salt, out = rows.withColumn("__at", at), 0, None
+    rest, salt, out = rows.withColumn("__at", at).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(case))), 0, None
     while True:
-        key = F.sha2(F.concat_ws(":", F.lit(prefix), F.col(case).cast("string"), F.lit(str(salt)), F.col(item).cast("string")), 256)
-        x = rest.withColumn("salt", F.lit(salt)).withColumn("position", F.row_number().over(Window.partitionBy(case).orderBy(key)))
-        n = F.count(F.lit(1)).over(Window.partitionBy(case))
-        same = F.count_if(F.col("position") == F.col("__at")).over(Window.partitionBy(case))
-        back = F.count_if(F.col("position") + F.col("__at") == n + 1).over(Window.partitionBy(case))
-        x = x.withColumn("__open", (n > 2) & ((same == n) | (back == n)))
-        out = x.where("not __open") if out is None else out.unionByName(x.where("not __open"))
+        of = lambda *more: F.sha2(F.concat_ws(":", F.lit(prefix), F.col(case).cast("string"), F.lit(str(salt)), F.col(item).cast("string"), *more), 256)  # noqa: B023, E731
+        x = rest.withColumn("salt", F.lit(salt)).withColumn("position", F.row_number().over(Window.partitionBy(case).orderBy(of(), of(F.col("__at").cast("string")))))
+        forth = F.count_if(F.col("position") == F.col("__at")).over(Window.partitionBy(case))
+        back = F.count_if(F.col("position") + F.col("__at") == F.col("__n") + 1).over(Window.partitionBy(case))
+        x = G.cut_lineage(x.withColumn("__open", (F.col("__n") > 2) & ((forth == F.col("__n")) | (back == F.col("__n")))))
+        done = x.where("not __open")
+        out = done if out is None else out.unionByName(done)
         rest = x.where("__open").drop("salt", "position", "__open")
         salt += 1
         if rest.isEmpty():
-            return out.drop("__at", "__open")
+            return out.drop("__at", "__n", "__open")
 
 
 def stratified(frames: DataFrame, case: str, index: str, item: str, count: int, seed: str) -> DataFrame:
@@ -149,9 +152,17 @@ def measurement_bounds(rows: DataFrame, key: list[str], unit: Column, value: Col
 
 
 def split_disagreement(rows: DataFrame, group: str, partition: str, manifest: DataFrame) -> DataFrame:
-    """(group, partition, assigned) of rows whose partition differs from the manifest's (group, assigned), or whose group it lacks."""
-    x = rows.select(group, partition).distinct().join(manifest, group, "left")
-    return x.where(~F.col(partition).eqNullSafe(F.col("assigned")))
+    """(group, partition, assigned) of rows whose partition differs from the manifest's (group, assigned), or whose group it lacks; partition `unassigned` needs none.
+
+    Where both have a column `strategy`, the manifest has to group as the row says.
+    """
+    how = [c for c in ("strategy",) if c in rows.columns and c in manifest.columns]
+    x = rows.where(~F.col(partition).eqNullSafe(F.lit("unassigned"))).select(group, partition, *how).distinct()
+    x = x.join(manifest.withColumnsRenamed({c: f"__{c}" for c in how}), group, "left")
+    wrong = ~F.col(partition).eqNullSafe(F.col("assigned"))
+    for c in how:
+        wrong = wrong | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return x.where(wrong).select(group, partition, "assigned")
 
 
 def mixed(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -175,15 +186,22 @@ def humanized(text: Column) -> Column:
 
 
 def slug(text: Column, most: int = 80) -> Column:
-    """Runs of anything but letters, digits, dot, dash and underscore become one dash; ends are trimmed, then cut."""
-    return F.substring(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), 1, most)
+    """Runs of anything but letters, digits, dot, dash and underscore become one dash; dots, dashes and underscores go from the ends; then it is cut. `record` where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "-"), r"^[._-]+|[._-]+\z", "")
+    return F.coalesce(F.nullif(F.substring(bare, 1, most), F.lit("")), F.lit("record"))
 
 
 def filled(template: str, values: dict[str, Column]) -> Column:
-    """The template with {name} replaced, "unknown" where a value is null or blank, and a capital first letter."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("unknown")))
+    """The template with {name} replaced by its value as it is, by `unknown` where there is none or it is null, and its first letter large.
+
+    Values are not looked into: braces in them stay.
+    """
+    first, *parts = template.split("{")
+    pieces = [F.lit(first)]
+    for part in parts:
+        name, _, rest = part.partition("}")
+        pieces += [F.coalesce(values[name].cast("string"), F.lit("unknown")) if name in values else F.lit("unknown"), F.lit(rest)]
+    out = F.concat(*pieces)
     return F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))
 
 

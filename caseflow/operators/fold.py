@@ -54,22 +54,30 @@ def scan(rows: DataFrame, key: list[str], order: list[str], reads: list[str], be
     return _keyed(rows, key, order).mapInArrow(run, schema)
 
 
-def emit(rows: DataFrame, key: list[str], order: list[str], reads: list[str], begin: Callable[[], Any], step: Step, schema: str) -> DataFrame:
-    """(key, schema): what step(state, row) gives, any number of rows, for each row in its key's order."""
+def emit(rows: DataFrame, key: list[str], order: list[str], reads: list[str], begin: Callable[[], Any], step: Step, schema: str, finish: Callable[[Any], Iterable[tuple]] | None = None) -> DataFrame:
+    """(key, schema): what step(state, row) gives, any number of rows, for each row in its key's order, and finish(state) after the last."""
     wanted = T.StructType.fromDDL(schema)
     full = T.StructType([*(rows.schema[k] for k in key), *wanted.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         kinds = [_arrow(f.dataType) for f in full.fields]
+
+        def record(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=full.names)
+
         for batch in batches:
             out = []
             for k, row in _walk(batch, key, reads):
                 if k != now:
+                    if finish and now is not None:
+                        out += [(*now, *values) for values in finish(state)]
                     now, state = k, begin()
                 out += [(*k, *values) for values in step(state, row)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=full.names)
+                yield record(out)
+        if finish and now is not None and (out := [(*now, *values) for values in finish(state)]):
+            yield record(out)
 
     return _keyed(rows, key, order).mapInArrow(run, full)
 

@@ -44,6 +44,18 @@ def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         found = cut_lineage(found.union(front))
 
 
+def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst): each seed (node), with itself and every node that it reaches along src -> dst. Only paths from the seeds are followed."""
+    found = cut_lineage(seeds.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct())
+    front = found
+    while True:
+        step = front.alias("f").join(edges.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst").where("dst is not null").distinct()
+        front = cut_lineage(step.join(found, ["src", "dst"], "left_anti"))
+        if front.isEmpty():
+            return found
+        found = cut_lineage(found.unionByName(front))
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(src, dst) edges that remain after nodes without incoming or outgoing edges are peeled off, again and again.
 

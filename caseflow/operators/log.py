@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from caseflow.functions import number as N
+from caseflow.functions import text as X
 from caseflow.operators import fold
 
 # fixed values: the types of events that a log takes
@@ -129,31 +131,20 @@ def with_state_store(spark: SparkSession) -> None:
 # --- lines and files --------------------------------------------------------------------------------------------------
 
 
-def _number(value: Column) -> Column:
-    """At most three significant digits, without trailing zeros, as %.3g of magnitudes from 0.0001 to under 1000 has them; larger ones as whole thousands in powers of ten."""
-    size = F.floor(F.log10(F.abs(value)))
-    rounded = F.round(value * F.pow(F.lit(10.0), 2 - size)) / F.pow(F.lit(10.0), 2 - size)
-    power = F.floor(F.log10(F.abs(rounded)))
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", rounded), "0+$", ""), "\\.$", "")
-    mantissa = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", rounded / F.pow(F.lit(10.0), power)), "0+$", ""), "\\.$", "")
-    wide = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    return F.when(value == 0, "0").when((power < -4) | (power > 2), wide).otherwise(plain)
-
-
 def line(data: Column | None = None) -> Column:
     """One compact line of an event: id, time, type, subject and object, then in brackets onset, confidence, frames, data and citations.
 
     Columns event_id, t_ms, type, subject, object, onset_ms, confidence, evidence_frames, cites; data is a map of strings whose
     values that are decimal numbers are shown with three significant digits. Details that say nothing new are left out.
     """
-    seconds = lambda c: F.format_string("%.1fs", F.col(c) / 1000.0)
+    seconds = lambda c: F.concat(N.fixed(F.col(c) / 1000.0, 1), F.lit("s"))
     frames = F.col("evidence_frames")
     span = F.when(F.size(frames) == 1, F.element_at(frames, 1).cast("string")).otherwise(F.concat_ws("-", F.element_at(frames, 1).cast("string"), F.element_at(frames, -1).cast("string")))
-    pairs = F.array() if data is None else F.transform(F.array_sort(F.map_entries(data)), lambda e: F.concat(e["key"], F.lit("="), F.when(e["value"].rlike("^-?[0-9]+[.][0-9]+$"), _number(e["value"].try_cast("double"))).otherwise(e["value"])))
+    pairs = F.array() if data is None else F.transform(F.array_sort(F.map_entries(data)), lambda e: F.concat(e["key"], F.lit("="), F.when(e["value"].rlike("^-?[0-9]+[.][0-9]+$"), N.short(e["value"].try_cast("double"))).otherwise(e["value"])))
     details = F.concat(
         F.array(
             F.when(F.col("onset_ms") != F.col("t_ms"), F.concat(F.lit("onset="), seconds("onset_ms"))),
-            F.when(F.col("confidence") < 1, F.format_string("conf=%.2f", F.col("confidence").cast("double"))),
+            F.when(F.col("confidence") < 1, F.concat(F.lit("conf="), N.fixed(F.col("confidence").cast("double"), 2))),
             F.when(F.size(F.coalesce(frames, F.array())) > 0, F.concat(F.lit("frames="), span)),
         ),
         F.coalesce(pairs, F.array()).cast("array<string>"),
@@ -178,7 +169,7 @@ def write_lines(events: DataFrame, case: str, path: str) -> None:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Events of such files, with the case; blank lines are none, and a line that is no event fails the read. Where object, data or producer is missing, it is null, empty or ''."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(~X.blank(F.col("value")))
     at = lines.select(*[c for c in lines.columns if c != "value"], F.from_json("value", FILE, {"mode": "FAILFAST"}).alias("e"))
     x = at.select(*[c for c in at.columns if c != "e"], "e.*")
     return x.withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "producer": F.coalesce("producer", F.lit("")), "data": F.coalesce("data", F.create_map().cast("map<string,string>"))})

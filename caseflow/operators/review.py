@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions import text as X
 from caseflow.operators import graph as G
 from caseflow.operators import metrics as M
 
@@ -107,14 +108,14 @@ def rejected_items(items: DataFrame, run: str, order: str, item: str, uncertain:
     """(run, order, rule_id): the first rule that an output's item breaks: invalid_id, duplicate_id (of an earlier one), unexplained."""
     earlier = F.row_number().over(Window.partitionBy(run, item).orderBy(order)) > 1
     rule = F.when(~F.coalesce(F.col(item).rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:-]*\z"), F.lit(False)), "invalid_id").when(earlier, "duplicate_id")
-    rule = rule.when(uncertain & (F.trim(F.coalesce(F.col(explanation), F.lit(""))) == ""), "unexplained")
+    rule = rule.when(uncertain & X.blank(F.col(explanation)), "unexplained")
     return items.withColumn("rule_id", rule).where("rule_id is not null").select(run, order, "rule_id")
 
 
 def claim_collisions(events: DataFrame, questions: DataFrame, run: str, event: str, uncertainty: str, question: str) -> DataFrame:
     """(run, claim_id, n): claim ids that a run would generate more than once: an event's, its uncertainty's, an answer's."""
     ids = events.select(run, F.col(event).alias("claim_id"))
-    ids = ids.unionByName(events.where(F.trim(uncertainty) != "").select(run, F.concat(event, F.lit(".uncertainty")).alias("claim_id")))
+    ids = ids.unionByName(events.where(~X.blank(F.col(uncertainty))).select(run, F.concat(event, F.lit(".uncertainty")).alias("claim_id")))
     ids = ids.unionByName(questions.select(run, F.concat(question, F.lit(".answer")).alias("claim_id")))
     return ids.groupBy(run, "claim_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -123,7 +124,7 @@ def rejected_searches(searches: DataFrame, run: str, order: str, text: str, star
     """(run, order, rule_id): outside (not low <= start <= end <= high) or duplicate of an earlier text and interval within the bounds."""
     ok = F.coalesce((F.col(start) >= low) & (F.col(start) <= F.col(end)) & (F.col(end) <= high), F.lit(False))
     x = searches.withColumn("__ok", ok)
-    again = F.row_number().over(Window.partitionBy(run, F.lower(F.trim(text)), start, end).orderBy(order)) > 1
+    again = F.row_number().over(Window.partitionBy(run, X.folded(X.strip(F.col(text))), start, end).orderBy(order)) > 1
     return x.withColumn("rule_id", F.when(~F.col("__ok"), "outside").when(again, "duplicate")).where("rule_id is not null").select(run, order, "rule_id")
 
 
@@ -159,12 +160,23 @@ def overlay(rows: DataFrame, notes: DataFrame, key: str, revision: str, columns:
     return rows.join(n, (F.col(key) == F.col("__k")) & (F.col(revision) == F.col("__v")), "left").drop("__k", "__v")
 
 
-def causal_violations(asked: DataFrame, edges: DataFrame, assets: DataFrame, roles: list[str]) -> DataFrame:
-    """(node, dst, rule_id): inputs, direct or not, of the asked assets (node, cutoff) that have a forbidden role or a frame after the cutoff.
+def causal_violations(asked: DataFrame, edges: DataFrame, assets: DataFrame, roles: list[str], annotations: DataFrame | None = None) -> DataFrame:
+    """(node, dst, rule_id): inputs, direct or not, of the asked assets (node, cutoff) that they may not have. An asset is an input of its own.
 
-    edges: src is derived from dst. assets: (node, role, frame). An asset is an input of its own.
+    edges: src is derived from dst. assets: (node, role, frame), one row a frame of the asset; with a column `image`, an image needs a known frame.
+    annotations: (node, kind, frame), what an asset was made from besides assets. Rules: role (a forbidden one), future_frame (after the cutoff),
+    unknown_frame (an image without), outcome (made from an annotation of that kind), future_annotation (of a frame after the cutoff, or unknown). An input may break several.
+    Only what the asked assets reach is followed.
     """
-    all_ = G.closure(edges).join(asked.select(F.col("node").alias("src")), "src", "left_semi").unionByName(asked.select(F.col("node").alias("src"), F.col("node").alias("dst"))).distinct()
-    x = all_.join(asked.select(F.col("node").alias("src"), "cutoff"), "src").join(assets.select(F.col("node").alias("dst"), "role", "frame"), "dst")
-    rule = F.when(F.col("role").isin(roles), "role").when(F.col("frame") > F.col("cutoff"), "future_frame")
-    return x.withColumn("rule_id", rule).where("rule_id is not null").select(F.col("src").alias("node"), "dst", "rule_id")
+    start = asked.select("node").distinct()
+    pairs = G.reached(start, edges).withColumnsRenamed({"src": "node"}).join(asked.select("node", "cutoff"), "node")
+    image = F.coalesce(F.col("image"), F.lit(False)) if "image" in assets.columns else F.lit(False)
+    x = pairs.join(assets.withColumn("__image", image).select(F.col("node").alias("dst"), "role", "frame", "__image"), "dst")
+    rules = [F.when(F.col("role").isin(roles), "role"), F.when(F.col("frame") > F.col("cutoff"), "future_frame"), F.when(F.col("__image") & F.col("frame").isNull(), "unknown_frame")]
+    found = x.select("node", "dst", F.explode(F.array_compact(F.array(*rules))).alias("rule_id"))
+    if annotations is not None:
+        y = pairs.join(annotations.select(F.col("node").alias("dst"), "kind", F.col("frame").alias("__f")), "dst")
+        late = F.coalesce(F.col("__f") > F.col("cutoff"), F.lit(True))
+        rules = [F.when(F.col("kind") == "outcome", "outcome"), F.when(late, "future_annotation")]
+        found = found.unionByName(y.select("node", "dst", F.explode(F.array_compact(F.array(*rules))).alias("rule_id")))
+    return found.distinct()

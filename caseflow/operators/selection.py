@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators import fold
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -124,37 +127,43 @@ def greedy_selection(frames: DataFrame, case: str, order: str, vector: str, budg
     return frames.select(case, order, vector).groupBy(case).applyInPandas(run, f"{case} {kinds[case]}, {order} {kinds[order]}, protected boolean")
 
 
+def _in_turn(queues: dict, budget: int) -> list[tuple]:
+    """(request, item, place): one item of each request a turn, an item once, until the budget is full or nothing is left."""
+    open_, out, gone = {r: iter(q) for r, q in queues.items()}, [], set()
+    while open_ and len(out) < budget:
+        for r in list(open_):
+            item = next((i for i in open_[r] if i not in gone), None)
+            if item is None:
+                del open_[r]
+            elif len(out) < budget:
+                gone.add(item)
+                out.append((r, item, len(out) + 1))
+    return out
+
+
 def round_robin(candidates: DataFrame, pool: list[str], request: str, order: list[str], item: str, budget: int, known: DataFrame | None = None) -> DataFrame:
-    """Takes the requests' candidates in turn until the pool's budget is full; an item counts once, and a request whose next item is taken goes on to the one after it.
+    """Takes the requests' candidates in turn, requests in their order, until the pool's budget is full; an item counts once, and a request whose next item is gone goes on to the one after it.
 
-    A round hands out one item to each request at most, so `budget` rounds do: each is an anti-join, a first choice for each request, and
-    a first request for each item, in order of requests; a request that loses its item tries its next in the same turn. Items of `known` (pool, item) are never handed out.
-    Adds turn and place; candidates of one pool are looked at together, as the choice is sequential within a pool.
+    Items of `known` (pool, item) are never handed out, nor is a null item. Adds turn (the request's own count) and place. Until the budget is full, a request can
+    lose fewer than `budget` items to others: its first `budget` different ones do. A pool's rows stream through one task, which keeps that many items of each request.
     """
     keys = pool + [item]
-    x = candidates if known is None else candidates.join(known.select(*keys).distinct(), keys, "left_anti")
-    # a request can lose at most `budget` items to others before the pool is full
+    x = candidates.where(F.col(item).isNotNull())
+    x = x if known is None else x.join(known.select(*keys).distinct(), keys, "left_anti")
+    # of a request's repeated item, the first row stands for all
+    first = F.row_number().over(Window.partitionBy(*pool, request, item).orderBy(*order))
+    x = x.withColumn("__again", first).where("__again = 1").drop("__again")
     w = Window.partitionBy(*pool, request).orderBy(*order)
-    x = x.withColumn("__turn", F.row_number().over(w)).where(F.col("__turn") <= 2 * budget)
-    entry = F.struct(F.col(request).alias("r"), F.col("__turn").alias("n"), F.col(item).alias("i"))
-    pools = x.groupBy(*pool).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    requests = F.array_distinct(F.transform("all", lambda e: e["r"]))
-    pools = pools.withColumn("requests", requests)
-    kind = pools.schema["all"].dataType.simpleString()
-    start = F.struct(F.expr(f"cast(array() as {kind})").alias("out"))
-
-    def step(acc: Column, k: Column) -> Column:
-        r = F.element_at("requests", (k % F.size("requests") + 1).cast("int"))
-        gone = F.transform(acc["out"], lambda e: e["i"])
-        free = F.filter("all", lambda e: (e["r"] == r) & ~F.array_contains(gone, e["i"]))
-        take = (F.size(acc["out"]) < budget) & (F.size(free) > 0)
-        return F.struct(F.when(take, F.concat(acc["out"], F.slice(free, 1, 1))).otherwise(acc["out"]).alias("out"))
-
-    turns = F.sequence(F.lit(0), F.lit(budget) * F.size("requests") - 1)
-    chosen = pools.select(*pool, F.posexplode(F.aggregate(turns, start, step)["out"]).alias("at", "e"))
-    chosen = chosen.select(*pool, F.col("e.r").alias(request), F.col("e.i").alias(item), (F.col("at") + 1).cast("int").alias("place"))
+    x = x.withColumn("__turn", F.row_number().over(w)).where(F.col("__turn") <= budget)
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+
+    def step(queues: dict, row: dict) -> list:
+        queues.setdefault(row[request], []).append(row[item])
+        return []
+
+    chosen = fold.emit(x, pool, [request, "__turn"], [request, item], dict, step, f"`{request}` {kinds[request]}, `{item}` {kinds[item]}, place int", partial(_in_turn, budget=budget))
     nth = F.row_number().over(Window.partitionBy(*pool, request).orderBy("place"))
-    return candidates.dropDuplicates([*pool, request, item]).join(chosen.withColumn("turn", nth), [*pool, request, item])
+    return x.drop("__turn").join(chosen.withColumn("turn", nth), [*pool, request, item])
 
 
 def cohorts(ranked: DataFrame, case: str, rank: str, item: str, percents: list[int]) -> DataFrame:

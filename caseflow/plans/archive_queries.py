@@ -339,10 +339,22 @@ def asset_hash_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return x.where("found != listed").select("doc_id", "found", "listed")
 
 
-@query(f"WITH {FRAMES} SELECT event_id, printf('%8.3f s  frame %d  %s  (%d)', t_ms / 1000.0, frame_index, label, floor(confidence * 100)::BIGINT) AS line FROM frames")
+@query(
+    f"""WITH {FRAMES}, e AS (SELECT *, t_ms - (frame_index % 3) * 450 AS onset_ms FROM frames),
+p AS (SELECT event_id, printf('E%06d t=%.1fs %s %s', event_id, t_ms / 1000.0::DOUBLE, label, CASE WHEN frame_index % 2 = 0 THEN label || ' -> case' ELSE label END) AS head,
+array_to_string(list_filter([CASE WHEN onset_ms <> t_ms THEN printf('onset=%.1fs', onset_ms / 1000.0::DOUBLE) END, CASE WHEN confidence < 1 THEN printf('conf=%.2f', confidence) END, CASE WHEN frame_index = 1 THEN 'frames=1' ELSE printf('frames=%d-%d', frame_index - 1, frame_index) END,
+CASE WHEN frame_index % 5 = 0 THEN printf('cites=E%06d,E%06d', event_id, event_id + 1) END], lambda x: x IS NOT NULL), ', ') AS inside FROM e)
+SELECT event_id, head || ' (' || inside || ')' AS line FROM p"""
+)
 def event_lines(spark: SparkSession, d: str) -> DataFrame:
-    line = F.format_string("%8.3f s  frame %d  %s  (%d)", F.col("t_ms") / 1000.0, F.col("frame_index"), F.col("label"), F.floor(F.col("confidence") * 100))
-    return frames(spark, d).select("event_id", line.alias("line"))
+    """Events as their log's lines."""
+    n, i = F.col("event_id"), F.col("frame_index").cast("long")
+    eid = lambda c: F.format_string("E%06d", c)
+    x = frames(spark, d).select(
+        n, eid(n).alias("id"), "t_ms", (F.col("t_ms") - i % 3 * 450).alias("onset_ms"), F.col("label").alias("type"), F.col("label").alias("subject"), F.when(i % 2 == 0, "case").alias("object"), "confidence",
+        F.when(i == 1, F.array(i)).otherwise(F.array(i - 1, i)).alias("evidence_frames"), F.when(i % 5 == 0, F.array(eid(n), eid(n + 1))).alias("cites"),
+    )
+    return x.withColumnsRenamed({"event_id": "n", "id": "event_id"}).select(F.col("n").alias("event_id"), L.line().alias("line"))
 
 
 @query("SELECT p_partkey, upper(substring(t, 1, 1)) || substring(t, 2) AS said FROM (SELECT p_partkey, 'the ' || CASE WHEN p_size > 40 THEN 'unknown' ELSE replace(lower(p_type), '_', ' ') END || ' part is ' || coalesce(nullif(trim(p_brand), ''), 'unknown') AS t FROM part)")
@@ -351,7 +363,7 @@ def filled_templates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", A.filled("the {kind} part is {brand}", {"kind": kind, "brand": F.col("p_brand")}).alias("said"))
 
 
-@query("SELECT page_id, substring(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug FROM pages WHERE url IS NOT NULL")
+@query("SELECT page_id, substring(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 80) AS slug FROM pages WHERE url IS NOT NULL")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where("url is not null").select("page_id", A.slug(F.col("url")).alias("slug"))
 
