@@ -46,10 +46,11 @@ def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst): each seed (node), with itself and every node that it reaches along src -> dst. Only paths from the seeds are followed."""
-    found = cut_lineage(seeds.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct())
+    found = cut_lineage(seeds.select("node").distinct()).select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    steps = cut_lineage(edges.select(F.col("src").alias("__from"), F.col("dst").alias("__to")).where("src is not null and dst is not null").distinct())
     front = found
     while True:
-        step = front.alias("f").join(edges.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst").where("dst is not null").distinct()
+        step = front.join(steps, F.col("dst") == F.col("__from")).select("src", F.col("__to").alias("dst")).distinct()
         front = cut_lineage(step.join(found, ["src", "dst"], "left_anti"))
         if front.isEmpty():
             return found

@@ -165,18 +165,18 @@ def causal_violations(asked: DataFrame, edges: DataFrame, assets: DataFrame, rol
 
     edges: src is derived from dst. assets: (node, role, frame), one row a frame of the asset; with a column `image`, an image needs a known frame.
     annotations: (node, kind, frame), what an asset was made from besides assets. Rules: role (a forbidden one), future_frame (after the cutoff),
-    unknown_frame (an image without), outcome (made from an annotation of that kind), future_annotation (of a frame after the cutoff, or unknown). An input may break several.
+    unknown_frame (an image without), outcome (made from an annotation of that kind), future_annotation (of a frame after the cutoff, or unknown); of a frame or an annotation the first of its rules.
     Only what the asked assets reach is followed.
     """
     start = asked.select("node").distinct()
     pairs = G.reached(start, edges).withColumnsRenamed({"src": "node"}).join(asked.select("node", "cutoff"), "node")
     image = F.coalesce(F.col("image"), F.lit(False)) if "image" in assets.columns else F.lit(False)
     x = pairs.join(assets.withColumn("__image", image).select(F.col("node").alias("dst"), "role", "frame", "__image"), "dst")
-    rules = [F.when(F.col("role").isin(roles), "role"), F.when(F.col("frame") > F.col("cutoff"), "future_frame"), F.when(F.col("__image") & F.col("frame").isNull(), "unknown_frame")]
-    found = x.select("node", "dst", F.explode(F.array_compact(F.array(*rules))).alias("rule_id"))
+    rule = F.when(F.col("role").isin(roles), "role").when(F.col("frame") > F.col("cutoff"), "future_frame").when(F.col("__image") & F.col("frame").isNull(), "unknown_frame")
+    found = x.withColumn("rule_id", rule)
     if annotations is not None:
         y = pairs.join(annotations.select(F.col("node").alias("dst"), "kind", F.col("frame").alias("__f")), "dst")
         late = F.coalesce(F.col("__f") > F.col("cutoff"), F.lit(True))
-        rules = [F.when(F.col("kind") == "outcome", "outcome"), F.when(late, "future_annotation")]
-        found = found.unionByName(y.select("node", "dst", F.explode(F.array_compact(F.array(*rules))).alias("rule_id")))
-    return found.distinct()
+        rule = F.when(F.col("kind") == "outcome", "outcome").when(late, "future_annotation")
+        found = found.unionByName(y.withColumn("rule_id", rule), allowMissingColumns=True)
+    return found.where("rule_id is not null").select("node", "dst", "rule_id").distinct()
