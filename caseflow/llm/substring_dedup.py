@@ -270,18 +270,19 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", window: int = WIND
     return all_.unionByName(some).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more", "offsets")).alias("places"))
 
 
-def _with_places(docs: DataFrame, keep: dict[str, Column], text_col: str, **options) -> DataFrame:
+def _with_places(docs: DataFrame, keep: list[Column], text_col: str, **options) -> DataFrame:
+    """The kept columns as c0, c1, ..., so that no name of the input meets those used here, then text and places."""
     places = repeated_windows(docs, text_col, **options)
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], *[c.alias(f"__{n}") for c, n in zip(_keyed(docs, text_col), ("text", "k1", "k2"), strict=True)])
-    rows = rows.join(places.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("places").alias("__places")), ["__k1", "__k2"], "left")
-    return rows.select(*keep, "__text", "__places")
+    kept = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[c.alias(k) for c, k in zip(keep, kept, strict=True)], *[c.alias(n) for c, n in zip(_keyed(docs, text_col), ("text", "k1", "k2"), strict=True)])
+    return rows.join(places.select("k1", "k2", "places"), ["k1", "k2"], "left").select(*kept, "text", "places")
 
 
 def _kept(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[int, list[bytes]]]:
     """(number of words, kept words) of each text."""
     starts, ends, first = C.words(data, offsets, C.NON_SPACE)
     raw = data.tobytes()
-    places = part.column("__places")
+    places = part.column("places")
     for i in range(part.num_rows):
         n, own = int(first[i + 1] - first[i]), places[i].as_py()
         a = first[i]
@@ -294,12 +295,12 @@ def _kept(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, window: i
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row."""
-    rows = _with_places(docs, {id_col: F.col(id_col)}, text_col, window=window, **options)
-    schema = C.extend(rows.schema.fields[:1], "n_words long, n_removed long, kept_sha256 string")
+    rows = _with_places(docs, [F.col(id_col)], text_col, window=window, **options)
+    schema = C.extend([docs.schema[id_col]], "n_words long, n_removed long, kept_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in C.chunks(batch, "__text"):
+            for part, data, offsets in C.chunks(batch, "text"):
                 out = [(n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()) for n, words in _kept(part, data, offsets, window)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], names=schema.names)
 
@@ -308,14 +309,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """docs with what is left of each text (kept words joined by one space) and its columns as they were; null stays null."""
-    rows = _with_places(docs, {c: F.col(c) for c in docs.columns}, text_col, window=window, **options)
+    rows = _with_places(docs, [F.col(f"`{c}`") for c in docs.columns], text_col, window=window, **options)
     schema = docs.schema
     t = schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in C.chunks(batch, "__text"):
-                left = [None if not x.is_valid else b" ".join(words).decode("utf-8") for x, (_, words) in zip(part.column(text_col), _kept(part, data, offsets, window), strict=True)]
+            for part, data, offsets in C.chunks(batch, "text"):
+                left = [None if not x.is_valid else b" ".join(words).decode("utf-8") for x, (_, words) in zip(part.column(t), _kept(part, data, offsets, window), strict=True)]
                 columns = [part.column(i) for i in range(len(schema.names))]
                 columns[t] = pa.array(left, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
