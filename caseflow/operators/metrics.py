@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators.graph import cut_lineage
+
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Count, mean, max and nearest-rank percentiles (position half-even(q * (n - 1))), rounded to 2 places.
@@ -64,3 +66,29 @@ def crop(box: Column, window: Column) -> Column:
         clip((box["x2"] - window["x1"]) / w).alias("x2"), clip((box["y2"] - window["y1"]) / h).alias("y2"),
     )
     return F.when((out["x2"] > out["x1"]) & (out["y2"] > out["y1"]), out)
+
+
+def scalar_paths(rows: DataFrame, key: list[str], value: str, leave: tuple[str, ...] = ()) -> DataFrame:
+    """(key, path, scalar) of all scalars in nested objects, nulls included: names with blanks for _ and - and a capital, joined by ` / `.
+
+    value is a variant; lists, and what they hold, are left out, and so are the top-level names in `leave`. Objects are opened level by level, as many rounds as the deepest nesting.
+    Where two names of one object read alike, the later one in order of names stands.
+    """
+    spark = rows.sparkSession
+    label = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    kind = F.schema_of_variant("v")
+    level, out, depth = rows.select(*key, F.lit("").alias("__path"), F.col(value).alias("v")).where(kind.startswith("OBJECT")), None, 0
+    while True:
+        each = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*key, "__path", F.col("key").alias("__name"), F.col("value").alias("v")) if not set(key) & {"key", "value", "pos"} else None
+        if each is None:
+            raise ValueError("key columns may not be named key, value or pos")
+        if not depth and leave:
+            each = each.where(~F.col("__name").isin(*leave))
+        name = label(F.translate("__name", "_-", "  "))
+        each = each.withColumn("__path", F.when(F.col("__path") == "", name).otherwise(F.concat_ws(" / ", "__path", name)))
+        each = cut_lineage(each)
+        found = each.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).groupBy(*key, F.col("__path").alias("path")).agg(F.max_by(F.col("v").cast("string"), "__name").alias("scalar"))
+        out = found if out is None else out.unionByName(found)
+        level, depth = each.where(kind.startswith("OBJECT")).select(*key, "__path", "v"), depth + 1
+        if level.isEmpty():
+            return out
