@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators import fold
+
 
 def causal_query(log: DataFrame, case: str, now: Column, types: list[str] | None = None, subject: str | None = None, since: Column | None = None, until: Column | None = None, limit: int = 50) -> DataFrame:
     """The last `limit` events of each case with t_ms <= min(now, until), by (t_ms, event_id); the future never shows."""
@@ -43,10 +45,15 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, t: str, values: l
 
 
 def first_due(questions: DataFrame, frames: DataFrame, key: str) -> DataFrame:
-    """The first frame of each question's case at or after its at_ms (forward as-of); null if the case ends before."""
-    x = questions.join(frames.select(key, "frame_index", "t_ms"), key, "left")
-    due = F.when(F.col("t_ms") >= F.col("at_ms"), F.struct("t_ms", "frame_index"))
-    return x.groupBy(key, "question_id", "at_ms").agg(F.min(due).alias("d")).select(key, "question_id", "at_ms", F.col("d.frame_index").alias("due_index"), F.col("d.t_ms").alias("due_ms"))
+    """The first frame of each question's case at or after its at_ms (forward as-of); null if the case ends before.
+
+    A union and one window by case, as in asof_backward: questions stand before the frames of their time and look ahead.
+    """
+    f = frames.where("t_ms is not null").select(key, F.col("t_ms").alias("__t"), F.lit(1).alias("__side"), F.struct("t_ms", "frame_index").alias("__d"))
+    q = questions.select(key, F.col("at_ms").alias("__t"), F.lit(0).alias("__side"), "question_id", "at_ms")
+    w = Window.partitionBy(key).orderBy(F.desc("__t"), F.desc("__side"), F.desc("__d")).rowsBetween(Window.unboundedPreceding, 0)
+    x = f.unionByName(q, allowMissingColumns=True).withColumn("__due", F.last("__d", ignorenulls=True).over(w)).where("__side = 0")
+    return x.select(key, "question_id", "at_ms", F.col("__due.frame_index").alias("due_index"), F.col("__due.t_ms").alias("due_ms"))
 
 
 def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -62,42 +69,49 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     return e.join(r, (F.col("r.type") == F.col("e.type")) & wild("subject") & wild("object") & state).select("e.*", "r.rule_id", "r.priority")
 
 
+class _Said:
+    """What later candidates of a case can still see: when each key was last spoken, and what was spoken unasked within the last minute."""
+
+    def __init__(self) -> None:
+        self.last: dict = {}
+        self.minute: list[int] = []
+
+
 def gate(candidates: DataFrame, case: str, order: list[str], stale_ms: int, least_confidence: float, cooldown_ms: int, per_minute: int) -> DataFrame:
-    """Decision of each candidate in order: answers pass; stale; low_confidence; cooldown; rate_limited; spoken.
+    """Decision of each candidate in order: answers pass, and take nothing from the minute's budget; stale; low_confidence; cooldown; rate_limited; spoken.
 
-    Only spoken candidates feed later decisions, so this is a fold: one pass over a case's candidates, JVM-side. The
-    fold keeps what later decisions can still see: the last time of each key, and the times of the last minute.
+    Only spoken candidates feed later decisions, so a case's candidates are one pass in order; they stream through their task, see fold.
     candidates: (case, t_ms, now_ms, key, priority, confidence, is_answer, *order). Returns case, order, decision.
     """
-    item = F.struct(*order, "t_ms", "now_ms", "key", "priority", "confidence", "is_answer")
-    x = candidates.groupBy(case).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    order_type = ", ".join(f"{c}: {candidates.schema[c].dataType.simpleString()}".replace(": ", ":") for c in order)
-    zero = F.struct(
-        F.lit([]).cast("array<bigint>").alias("times"),
-        F.create_map().cast("map<string,bigint>").alias("last"),
-        F.lit([]).cast(f"array<struct<{order_type},decision:string>>").alias("out"),
-    )
-
-    def step(acc: Column, c: Column) -> Column:
-        now = c["now_ms"]
-        times = F.filter(acc["times"], lambda t: now - t < 60_000)
-        last = F.element_at(acc["last"], c["key"])
-        decision = (
-            F.when(c["is_answer"], "spoken")
-            .when(now - c["t_ms"] > stale_ms, "stale")
-            .when(c["confidence"] < least_confidence, "low_confidence")
-            .when(last.isNotNull() & (now - last < cooldown_ms), "cooldown")
-            .when((c["priority"] != "critical") & (F.size(times) >= per_minute), "rate_limited")
-            .otherwise("spoken")
-        )
-        spoken = decision == "spoken"
-        row = F.struct(*[c[o].alias(o) for o in order], decision.alias("decision"))
-        others = F.map_filter(acc["last"], lambda k, _: k != c["key"])
-        return F.struct(
-            F.when(spoken, F.concat(times, F.array(now))).otherwise(times).alias("times"),
-            F.when(spoken, F.map_concat(others, F.create_map(c["key"], now))).otherwise(acc["last"]).alias("last"),
-            F.concat(acc["out"], F.array(row)).alias("out"),
-        )
-
-    x = x.select(case, F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("o"))
-    return x.select(case, "o.*")
+
+    def step(said: _Said, c: dict) -> tuple:
+        now, key = c["now_ms"], c["key"]
+        said.minute = [t for t in said.minute if now - t < 60_000]
+        before = said.last.get(key)
+        if not c["is_answer"]:
+            if now - c["t_ms"] > stale_ms:
+                return ("stale",)
+            if c["confidence"] < least_confidence:
+                return ("low_confidence",)
+            if before is not None and now - before < cooldown_ms:
+                return ("cooldown",)
+            if c["priority"] != "critical" and len(said.minute) >= per_minute:
+                return ("rate_limited",)
+            said.minute.append(now)
+        said.last[key] = now
+        return ("spoken",)
+
+    reads = ["t_ms", "now_ms", "key", "priority", "confidence", "is_answer"]
+    return fold.scan(candidates.select(case, *order, *[c for c in reads if c not in order]), [case], order, reads, _Said, step, "decision string").select(case, *order, "decision")
+
+
+def visible_after(triggers: DataFrame, case: str, order: str, label: str, type_: str, opener: str) -> DataFrame:
+    """(case, order, visible): the labels that are open once all triggers at a place are in, for each place that has any; one pass by case."""
+    steps = triggers.groupBy(case, order).agg(F.map_from_entries(F.collect_list(F.struct(label, type_))).alias("__m"))
+
+    def step(open_: set, row: dict) -> tuple:
+        for name, kind in row["__m"]:
+            (open_.add if kind == opener else open_.discard)(name)
+        return (sorted(open_),)
+
+    return fold.scan(steps, [case], [order], ["__m"], set, step, "visible array<string>").drop("__m")

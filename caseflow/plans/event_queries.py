@@ -253,12 +253,7 @@ hits AS (SELECT v.case_id, v.frame_index, v.label, v.type, v.t_ms, r.rule_id, r.
 
 def _rule_hits(spark: SparkSession, d: str) -> DataFrame:
     h = hysteresis(spark, d)
-    # the state after an event's frame: one running map per case, not a self-join
-    steps = h.groupBy("case_id", "frame_index").agg(F.map_from_entries(F.collect_list(F.struct("label", "type"))).alias("m"))
-    w = "over (partition by case_id order by frame_index)"
-    running = steps.withColumn("all", F.expr(f"collect_list(m) {w}"))
-    merged = F.aggregate("all", F.create_map().cast("map<string,string>"), lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(m, k)), m))
-    state = running.select("case_id", "frame_index", F.map_keys(F.map_filter(merged, lambda _, v: v == "entered")).alias("visible"))
+    state = E.visible_after(h, "case_id", "frame_index", "label", "type", "entered")
     events = h.join(state, ["case_id", "frame_index"]).withColumn("subject", F.col("label")).withColumn("object", F.lit(None).cast("string"))
     rules = spark.createDataFrame(RULES, "rule_id string, type string, subject string, object string, present array<string>, absent array<string>, priority string")
     return E.match_rules(events, rules).select("case_id", "frame_index", "label", "type", "t_ms", "rule_id", "priority")

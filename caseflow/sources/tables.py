@@ -155,9 +155,14 @@ def label_rows(points: DataFrame, boxes: DataFrame, width: int, height: int) ->
     Repeated rows count once.
     """
     both = points.withColumn("source_table", F.lit("tool_tips")).unionByName(boxes.withColumn("source_table", F.lit("bbox")))
-    number = lambda c, size: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.expr(f"try_cast(`{c}` as double)") / size))
+
+    def number(c: str, size: int) -> Column:
+        # least and greatest pass over nulls, and take NaN for large
+        v = F.expr(f"try_cast(`{c}` as double)")
+        return F.when(v.isNotNull() & ~F.isnan(v), F.least(F.lit(1.0), F.greatest(F.lit(0.0), v / size)))
+
     x = both.select("trial_frame", "label", "source_table", *[number(c, width if c[0] == "x" else height).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    x = x.withColumn("valid", ~X.blank(F.col("label")) & F.forall(F.array("x1", "y1", "x2", "y2"), lambda v: v.isNotNull() & ~F.isnan(v)))
+    x = x.withColumn("valid", ~X.blank(F.col("label")) & F.forall(F.array("x1", "y1", "x2", "y2"), lambda v: v.isNotNull()))
     low, high = (lambda a, b: F.when(F.col("valid"), F.least(a, b))), (lambda a, b: F.when(F.col("valid"), F.greatest(a, b)))
     out = x.select(
         "trial_frame", F.when(F.col("valid"), F.col("label")).alias("label"), "source_table",

@@ -217,6 +217,8 @@ def test_sources(spark):
     assert rows(SRC.outcome_violations(o, "id", "leak", ["time"])) == [("A", "repeated key"), ("A", "repeated key"), ("B", "leak"), ("B", "time"), ("C", "time")]
     p = spark.createDataFrame([("f1", "needle", "55", "5", "55", "5"), ("f1", "needle", "55", "5", "55", "5"), ("f2", " ", "1", "1", "1", "1")], "trial_frame string, label string, x1 string, y1 string, x2 string, y2 string")
     b = spark.createDataFrame([("f1", "dura", "40", "26", "20", "-10")], p.schema)
+    odd = SRC.label_rows(spark.createDataFrame([("f3", "x", "n/a", "1", "1", "1"), ("f4", "x", "nan", "1", "1", "1"), ("f5", "x", None, "1", "1", "1"), ("f6", "x", "-5", "99", "1", "1")], p.schema), b.limit(0), 64, 36)
+    assert {(r["trial_frame"], r["kind"], r["x1"], r["y2"]) for r in odd.collect()} == {("f3", None, None, None), ("f4", None, None, None), ("f5", None, None, None), ("f6", "box", 0.0, 1.0)}
     got = SRC.label_rows(p, b, 64, 36)
     assert got.count() == 3 and got.where("kind = 'box'").first()["x1"] == 20 / 64 and got.where("kind = 'box'").first()["y1"] == 0.0 and got.where("label is null").count() == 1
 

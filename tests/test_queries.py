@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_queries_without_sql(spark):
     q = catalogue.queries()
-    assert set(q) - set(SQL) == {"greedy_frame_selection", "restatement_pairs", "degraded_observations", "stream_detector"}
+    assert set(q) - set(SQL) == {"greedy_frame_selection", "restatement_pairs", "degraded_observations", "stream_detector", "candidate_selection", "probe_scores"}
     chosen = q["greedy_frame_selection"](spark, SMALL).groupBy("case_id").count().collect()
     assert chosen and {r["count"] for r in chosen} == {8}
     n = q["frame_ordinals"](spark, SMALL).count()
