@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators import curation as C
+from caseflow.operators import lineage as L
 from caseflow.operators import metrics as M
 from caseflow.operators import receipts as R
 from caseflow.operators import turns as T
@@ -143,3 +144,28 @@ def nested_metrics(spark: SparkSession, d: str) -> DataFrame:
     whole = F.struct(F.lit("v1").alias("schema_version"), F.col("r_name").alias("region"), F.struct(F.coalesce("n", F.lit(0)).alias("count"), balance.alias("balance")).alias("customers"))
     x = x.select(F.col("n_name").alias("nation"), F.parse_json(F.to_json(whole, {"ignoreNullFields": "false"})).alias("m"))
     return M.scalar_paths(x, ["nation"], "m", ("schema_version",))
+
+
+#: Customers' orders as sources of frames; a run's copy lacks one in eleven or holds another number in one of thirteen cases.
+LINEAGE = """sel AS (SELECT o_custkey AS path, o_orderkey AS frame, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+cop AS (SELECT path AS run, CASE WHEN path % 13 = 5 AND i = 1 THEN frame + 1 ELSE frame END AS frame, i FROM sel WHERE NOT (path % 11 = 4 AND i = 2)),
+tgt AS (SELECT path AS run, CASE WHEN path % 17 = 3 THEN -frame ELSE frame END AS frame FROM sel WHERE i % 3 = 1),
+eq AS (SELECT run, string_agg(i || ':' || frame, ',' ORDER BY i, frame) AS s FROM cop GROUP BY 1), es AS (SELECT path, string_agg(i || ':' || frame, ',' ORDER BY i, frame) AS s FROM sel GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {LINEAGE} SELECT c_custkey AS run, c_custkey AS path, CASE WHEN c_custkey % 19 = 2 OR es.s IS NULL THEN 'unknown_selection' WHEN c_custkey % 23 = 6 THEN 'source' WHEN eq.s IS DISTINCT FROM es.s THEN 'frames' WHEN c_custkey % 29 = 8 THEN 'selection'
+WHEN NOT EXISTS (SELECT 1 FROM tgt WHERE tgt.run = c_custkey) THEN 'no_target' WHEN EXISTS (SELECT 1 FROM tgt WHERE tgt.run = c_custkey AND frame < 0) THEN 'target' END AS rule_id FROM customer LEFT JOIN es ON es.path = c_custkey LEFT JOIN eq ON eq.run = c_custkey"""
+)
+def run_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Runs (customers) held against the selections that they name: hashes, frame sets, targets."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    sel = table(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("frame_id"), F.row_number().over(w).alias("i"))
+    k, sha = F.col("c_custkey"), lambda *c: F.sha2(F.concat_ws(":", *[x.cast("string") for x in c]), 256)
+    runs = table(spark, d, "customer").select(k.alias("run"), k.alias("path"), sha(k, (k % 23 == 6).cast("int")).alias("source_sha256"), F.when(k % 2 == 0, sha(k, F.lit("v"))).alias("selection_sha256"))
+    runs = runs.withColumn("selection_sha256", F.when(F.col("run") % 29 == 8, "old").otherwise(F.col("selection_sha256")))
+    p = F.col("path")
+    selections = sel.where("path % 19 != 2").select("path").distinct().select("path", sha(p, F.lit(0)).alias("source_sha256"), sha(p, F.lit("v")).alias("sha256"))
+    copies = sel.where("not (path % 11 = 4 and i = 2)").select(p.alias("run"), F.when((p % 13 == 5) & (F.col("i") == 1), F.col("frame_id") + 1).otherwise(F.col("frame_id")).alias("frame_id"), "i")
+    targets = sel.where("i % 3 = 1").select(p.alias("run"), F.when(p % 17 == 3, -F.col("frame_id")).otherwise(F.col("frame_id")).alias("frame_id"))
+    return L.run_lineage(runs, selections, copies, sel, ["i", "frame_id"], targets, sel)
