@@ -443,7 +443,7 @@ def _percentiles(values: DataFrame, case: str, name: str) -> DataFrame:
 def summary(out: DataFrame, case: str, answers: DataFrame, timings: DataFrame, period_ms: float) -> DataFrame:
     """(case, part, value): counts of events by type, utterances by reason, questions by status, answer and stage times as percentiles, missed deadlines.
 
-    out: rows of watch(). answers: (case, question_id, status, supported, elapsed_ms, staleness_ms), one row for each question at most.
+    out: rows of watch(), best written or checkpointed first, as each part reads them again. answers: (case, question_id, status, supported, elapsed_ms, staleness_ms), one row for each question at most.
     timings: (case, stage, ms), a row of stage `total` for each frame. A question that was never asked, whatever its answer, is `not_asked`.
     """
     n = lambda df, name: df.groupBy(case, name.alias("part")).agg(F.count(F.lit(1)).cast("double").alias("value"))
