@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,9 +23,36 @@ def _keyed(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key, *order)
 
 
+def _values(array: pa.Array) -> list:
+    """What to_pylist() gives, several times as fast for lists of structures: their fields are read as columns."""
+    kind, n = array.type, len(array)
+    if n and array.null_count == n:
+        return [None] * n
+    if pa.types.is_struct(kind) and kind.num_fields:
+        names = [kind.field(i).name for i in range(kind.num_fields)]
+        out = [dict(zip(names, v)) for v in zip(*[_values(array.field(i)) for i in range(kind.num_fields)])]  # noqa: B905
+    elif pa.types.is_list(kind):
+        inner, at, out = _values(array.flatten()), 0, []
+        for size in array.value_lengths().fill_null(0).to_numpy().tolist():
+            out.append(inner[at : at + size])
+            at += size
+    elif pa.types.is_integer(kind) or pa.types.is_floating(kind):
+        out = (array.fill_null(0) if array.null_count else array).to_numpy().tolist()
+    elif pa.types.is_string(kind):
+        codes = array.dictionary_encode()
+        words = codes.dictionary.to_pylist()
+        out = [words[i] for i in codes.indices.fill_null(0).to_numpy().tolist()]
+    else:
+        return array.to_pylist()
+    if array.null_count:
+        for i in np.flatnonzero(array.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = None
+    return out
+
+
 def _walk(batch: pa.RecordBatch, key: list[str], reads: list[str]) -> Iterator[tuple[tuple, dict]]:
     names = list(dict.fromkeys([*key, *reads]))
-    columns = [batch.column(c).to_pylist() for c in names]
+    columns = [_values(batch.column(c)) for c in names]
     for values in zip(*columns, strict=True):
         row = dict(zip(names, values, strict=True))
         yield tuple(row[k] for k in key), row

@@ -56,15 +56,16 @@ def frames(orders: DataFrame) -> DataFrame:
 def labels(spark: SparkSession, d: str) -> DataFrame:
     """Of each order and return flag the first line: discounts lower the confidence, quantity and part place it."""
     first = F.min_by(F.struct("l_discount", "l_quantity", "l_partkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("l")
-    x = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(first)
+    # by order, so that flags, frames and the join with orders meet in one shuffle
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity").repartition("l_orderkey")
+    x = lines.groupBy("l_orderkey", "l_returnflag").agg(first)
     px, py = F.col("l.l_quantity") / 50.0, F.col("l.l_partkey") % 100 / 100.0
     tool = F.col("l_returnflag") != "R"
     box = F.struct((px - 0.1).alias("x1"), (py - 0.1).alias("y1"), (px + 0.1).alias("x2"), (py + 0.1).alias("y2"))
-    own = x.select(
+    return x.select(
         F.col("l_orderkey").alias("frame_index"), F.col("l_returnflag").alias("label"), F.when(tool, "instrument").otherwise("anatomy").alias("kind"),
         ((100 - 6 * F.round(F.col("l.l_discount") * 100)) / 100.0).alias("confidence"), F.when(tool, F.struct(px.alias("x"), py.alias("y"))).alias("tip"), F.when(~tool, box).alias("box"),
     )
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("frame_index"), F.col("o_custkey").alias("case_id")).join(own, "frame_index")
 
 
 def _rows(observed: DataFrame) -> DataFrame:

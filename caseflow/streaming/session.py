@@ -1,7 +1,7 @@
 """A case watched as it happens: frames become events, events steps and alerts, alerts utterances; questions are asked on the way.
 
 What happens at a frame depends on all that was decided before it, so a case is a keyed state: `advance` decides one frame from a
-`Memory`, in a stream (`watch_stream`: the memory's parts are state variables of their own in the state store) and over tables
+`Memory`, in a stream (`watch_stream`: the memory is one value of the state store) and over tables
 (`watch`: the same decisions over rows sorted by Spark). Every memory is bounded by the number of labels, keys and open
 questions of a case, never by its length.
 
@@ -17,8 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,6 +31,8 @@ OUT = (
     "cites array<string>, data map<string,string>, key string, priority string, text string, reason string, question_id string, scheduled_ms long"
 )
 _NAMES = [c.split(" ")[0] for c in OUT.split(", ")]
+_PLACE = {c: i for i, c in enumerate(_NAMES)}
+_OUT_ROW = Row("__case", *_NAMES)
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,11 @@ class Memory:
 
 
 def _row(record: str, t: int | None, **values) -> tuple:
-    return tuple({"record": record, "t_ms": t, **values}.get(c) for c in _NAMES)
+    out: list = [None] * len(_NAMES)
+    out[_PLACE["record"]], out[_PLACE["t_ms"]] = record, t
+    for c, v in values.items():
+        out[_PLACE[c]] = v
+    return tuple(out)
 
 
 class _Frame:
@@ -124,8 +129,12 @@ def _distance(tip, target: dict, aspect: float) -> float | None:
 def _look(m: Memory, f: _Frame, s: Settings, seen: dict[str, dict]) -> None:
     """Labels that come into view and leave it, in order of their names."""
     for label in sorted(seen.keys() | m.tracks.keys()):
-        now = seen.get(label)
-        track = m.tracks.setdefault(label, Track(now["kind"] if now else "instrument"))
+        now, track = seen.get(label), m.tracks.get(label)
+        if track is None:
+            track = m.tracks[label] = Track(now["kind"])
+        if (now is not None) == (track.event is not None):  # as it counts: the next run begins where that changes
+            track.here, track.run = now is not None, []
+            continue
         need = s.enter if now else s.leave
         track.run = (track.run if track.here == bool(now) else [])[-(max(need, 1) - 1) :] if need > 1 else []
         track.run.append((f.index, f.t, now["confidence"] if now else 0.0))
@@ -280,8 +289,10 @@ def advance(s: Settings, m: Memory, row: dict) -> list[tuple]:
         for part in (_look, _touch, _view):
             part(m, f, s, seen)
     visible = {label: track.event for label, track in m.tracks.items() if track.event is not None and track.kind == "instrument"}
-    _proceed(m, f, s, visible)
-    _alert(m, f, s, visible)
+    if s.steps:
+        _proceed(m, f, s, visible)
+    if s.rules:
+        _alert(m, f, s, visible)
     while m.open and m.open[0][0] <= t:
         at, question, text = m.open.pop(0)
         f.rows.append(_row("asked", t, question_id=question, scheduled_ms=at, frame_index=f.index, text=text))
@@ -311,71 +322,60 @@ def observed(frames: DataFrame, labels: DataFrame, case: str, index: str) -> Dat
     """frames, a stream or a table, with annotated and detections from a static table of labels.
 
     labels: (case, index, label, kind, confidence, tip, box), one row a label or none: a frame that has any row is annotated, also where
-    its label is null. The labels are gathered by frame before the join, so that the stream joins without state.
+    its label is null. The labels are gathered by frame before the join, so that the stream joins without state. Where a frame's index is
+    its own among all cases, the labels need no case.
     """
+    keys = [c for c in (case, index) if c in labels.columns]
     own = F.struct(*[F.col(c) for c in ("label", "kind", "confidence", "tip", "box")])
-    by = labels.groupBy(case, index).agg(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), own))).cast(DETECTIONS).alias("detections"))
-    return frames.join(by, [case, index], "left").withColumn("annotated", F.col("detections").isNotNull())
+    by = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), own))).cast(DETECTIONS).alias("detections"))
+    return frames.join(by, keys, "left").withColumn("annotated", F.col("detections").isNotNull())
+
+
+#: A memory as one value of the state store: a case costs a read and a write of it, however many parts it has. Runs and queues are parallel arrays.
+_RUN = "frames array<long>, times array<long>"
+_STATE = (
+    "n long, last_ms long, told boolean, view_lost boolean, timer long, tracks array<struct<label:string,kind:string,event:string,here:boolean,frames:array<long>,times:array<long>,confidences:array<double>>>, "
+    "pairs array<struct<label:string,structure:string,near:boolean,frames:array<long>,times:array<long>>>, empty struct<frames:array<long>,times:array<long>>, step string, event string, visited array<string>, "
+    f"candidate string, {_RUN}, spoken map<string,long>, minute array<long>, open array<struct<at:long,question_id:string,text:string>>"
+)
 
 
 class _Watcher(StatefulProcessor):
-    """A case's memory as state variables; a timer of event time tells of a case that has gone quiet."""
+    """A case's memory as state; a timer of event time tells of a case that has gone quiet."""
 
     def __init__(self, settings: Settings):
         self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        run = "frames array<long>, times array<long>"
-        self.head = handle.getValueState("head", "n long, last_ms long, told boolean, view_lost boolean, timer long")
-        self.tracks = handle.getMapState("tracks", "label string", f"kind string, event string, here boolean, {run}, confidences array<double>")
-        self.pairs = handle.getMapState("pairs", "label string, structure string", f"near boolean, {run}")
-        self.empty = handle.getValueState("empty", run)
-        self.step = handle.getValueState("step", f"step string, event string, visited array<string>, candidate string, {run}")
-        self.spoken = handle.getMapState("spoken", "key string", "at long")
-        self.minute = handle.getListState("minute", "at long")
-        self.open = handle.getListState("open", "at long, question_id string, text string")
+        self.memory = handle.getValueState("memory", _STATE)
 
     def _load(self) -> tuple[Memory, int | None]:
-        m, timer = Memory(), None
-        if self.head.exists():
-            m.n, m.last_ms, m.told, m.view_lost, timer = self.head.get()
-            m.empty = list(zip(*self.empty.get(), strict=True))
-            step, event, m.visited, m.candidate, frames, times = self.step.get()
-            m.step, m.visited, m.dwelt = (step, event) if step else None, list(m.visited), list(zip(frames, times, strict=True))
-        for (label,), (kind, event, here, *run) in self.tracks.iterator():
-            m.tracks[label] = Track(kind, event, here, list(zip(*run, strict=True)))
-        for pair, (near, frames, times) in self.pairs.iterator():
-            m.pairs[tuple(pair)] = None if near else list(zip(frames, times, strict=True))
-        m.spoken = {key: at for (key,), (at,) in self.spoken.iterator()}
-        m.minute, m.open = [at for (at,) in self.minute.get()], [tuple(q) for q in self.open.get()]
+        m, kept = Memory(), self.memory.get()
+        if kept is None:
+            return m, None
+        run = lambda *columns: list(zip(*columns, strict=True))
+        m.n, m.last_ms, m.told, m.view_lost, timer, tracks, pairs, empty, step, event, visited, m.candidate, frames, times, spoken, minute, questions = kept
+        m.tracks = {label: Track(kind, at, here, run(*columns)) for label, kind, at, here, *columns in tracks}
+        m.pairs = {(label, structure): None if near else run(*columns) for label, structure, near, *columns in pairs}
+        m.empty, m.step, m.visited, m.dwelt = run(*empty), (step, event) if step else None, list(visited), run(frames, times)
+        m.spoken, m.minute, m.open = dict(spoken), list(minute), [tuple(q) for q in questions]
         return m, timer
 
     def _store(self, m: Memory, timer: int | None) -> None:
         columns = lambda run, n: [list(c) for c in zip(*run, strict=True)] or [[] for _ in range(n)]
-        self.head.update((m.n, m.last_ms, m.told, m.view_lost, timer))
-        self.empty.update(tuple(columns(m.empty, 2)))
-        self.step.update((*(m.step or (None, None)), m.visited, m.candidate, *columns(m.dwelt, 2)))
-        for label, x in m.tracks.items():
-            self.tracks.updateValue((label,), (x.kind, x.event, x.here, *columns(x.run, 3)))
-        for pair in [tuple(k) for k in self.pairs.keys()]:
-            if pair not in m.pairs:
-                self.pairs.removeKey(pair)
-        for pair, run in m.pairs.items():
-            self.pairs.updateValue(pair, (run is None, *columns(run or [], 2)))
-        for key, at in m.spoken.items():
-            self.spoken.updateValue((key,), (at,))
-        self.minute.put([(at,) for at in m.minute]) if m.minute else self.minute.clear()
-        self.open.put(m.open) if m.open else self.open.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        tracks = [(label, x.kind, x.event, x.here, *columns(x.run, 3)) for label, x in m.tracks.items()]
+        pairs = [(*pair, run is None, *columns(run or [], 2)) for pair, run in m.pairs.items()]
+        step = (*(m.step or (None, None)), m.visited, m.candidate, *columns(m.dwelt, 2))
+        self.memory.update((m.n, m.last_ms, m.told, m.view_lost, timer, tracks, pairs, tuple(columns(m.empty, 2)), *step, m.spoken, m.minute, m.open))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         m, timer = self._load()
-        part = pd.concat(list(rows))
-        part = part.assign(__frame=part["question_id"].isna()).sort_values(ORDER, kind="stable", na_position="first")
-        part = part.astype(object).where(part.notna(), None)
+        part = [row.asDict() for row in rows]
+        low = lambda v: (v is not None, v)
+        part.sort(key=lambda r: (low(r["t_ms"]), r["question_id"] is None, low(r["frame_index"])))
         out = []
-        for row in part.to_dict("records"):
-            row |= {c: None if row[c] is None else int(row[c]) for c in ("t_ms", "frame_index")}
+        for row in part:
             out += advance(self.settings, m, row)
         if m.last_ms is not None:
             due = m.last_ms + self.settings.gap_ms
@@ -385,18 +385,16 @@ class _Watcher(StatefulProcessor):
                 self.handle.registerTimer(due)
             timer = due
         self._store(m, timer)
-        yield self._frame(key, out)
+        return self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, last, _, lost, _ = self.head.get()
-        self.head.update((n, last, True, lost, None))
-        yield self._frame(key, [_row("closed", last)])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        m, _ = self._load()
+        m.told = True
+        self._store(m, None)
+        return self._rows(key, [_row("closed", m.last_ms)])
 
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame(rows, columns=_NAMES).astype(object)
-        df = df.where(df.notna(), None)
-        df.insert(0, "__case", key[0])
-        return df
+    def _rows(self, key, rows: list[tuple]) -> Iterator[Row]:
+        return iter([_OUT_ROW(key[0], *r) for r in rows])
 
     def close(self) -> None:
         pass
@@ -410,7 +408,7 @@ def watch_stream(rows: DataFrame, case: str, settings: Settings, at: str = "at",
     names = [c.split(" ")[0] for c in ROW.replace(DETECTIONS, "d").split(", ")]
     kind = rows.schema[case].dataType.simpleString()
     x = rows.withWatermark(at, late).select(case, at, *names)
-    out = x.groupBy(case).transformWithStateInPandas(_Watcher(settings), f"__case {kind}, {OUT}", "Append", "EventTime")
+    out = x.groupBy(case).transformWithState(_Watcher(settings), f"__case {kind}, {OUT}", "Append", "EventTime")
     return out.withColumnRenamed("__case", case)
 
 
