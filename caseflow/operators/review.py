@@ -150,8 +150,11 @@ def job_state(jobs: DataFrame, attempts: DataFrame, job: str, order: str, status
 
 def frozen_differences(saved: DataFrame, rebuilt: DataFrame, columns: list[str]) -> DataFrame:
     """(columns, side): rows, as often as they are too many, of a saved table or of the one that is rebuilt from its inputs."""
-    a, b = saved.select(*columns), rebuilt.select(*columns)
-    return a.exceptAll(b).withColumn("side", F.lit("saved")).unionByName(b.exceptAll(a).withColumn("side", F.lit("rebuilt")))
+    n = lambda df, sign: df.select(*columns, F.lit(sign).cast("long").alias("__n"))
+    # one pass over both tables: how much oftener one of them has a row
+    x = n(saved, 1).unionByName(n(rebuilt, -1)).groupBy(*columns).agg(F.sum("__n").alias("__n")).where("__n != 0")
+    side = F.when(F.col("__n") > 0, "saved").otherwise("rebuilt").alias("side")
+    return x.select(*columns, side, F.explode(F.sequence(F.lit(1), F.abs("__n"))).alias("__i")).drop("__i")
 
 
 def overlay(rows: DataFrame, notes: DataFrame, key: str, revision: str, columns: list[str]) -> DataFrame:

@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str, each: int = 100_000) -> DataFrame:
+    """rows dealt by keys to as many tasks as hold `each` of them, so that a task's sorts and tables stay as large however many rows there are. Counts the rows."""
+    return rows.repartition(rows.count() // each + 1, *keys)
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; where that is unset (tests), in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.operators import review as R
 from caseflow.plans.event_queries import FRAMES, frames
-from caseflow.plans.registry import query, table
+from caseflow.plans.registry import query, spread, table
 
 
 @query(
@@ -187,7 +187,7 @@ SELECT *, 'saved' AS side FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM r) UNIO
 def frozen_differences(spark: SparkSession, d: str) -> DataFrame:
     """A saved queue with shifted and lost places against the one that its inputs give."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    r = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+    r = spread(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("place"))
     s = r.where("o_orderkey % 70 != 0").withColumn("place", F.when(F.col("o_orderkey") % 50 == 0, F.col("place") + 1).otherwise(F.col("place")))
     return R.frozen_differences(s, r, ["o_custkey", "o_orderkey", "place"])
 
