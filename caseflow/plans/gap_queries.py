@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.operators import gaps as G
-from caseflow.plans.registry import query, table
+from caseflow.plans.registry import query, spread, table
 
 TOLERANCE, MOST, DURATION = 20_000, 80_000, 10_000_000
 
@@ -30,6 +30,7 @@ _STAGES = "['initial_requested', 'cumulative_requested', 'cumulative_retrieved',
 def _session(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     t = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long") * 1000
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("frame_id"), t.alias("t_ms"), F.year("o_orderdate").alias("moment_id"), F.col("o_totalprice").alias("p"))
+    o = spread(o, "run")
     members = o.where("frame_id % 3 = 0").select("run", "moment_id", "frame_id", "t_ms")
     s = o.where("frame_id % 7 in (1, 2)").select("run", (F.col("frame_id") % 2).alias("round"), F.col("frame_id").alias("search"), (F.col("t_ms") - 30_000).alias("start_ms"), (F.col("t_ms") + 30_000 + F.col("frame_id") % 5 * 10_000).alias("end_ms"))
     back = s.join(o.where("frame_id % 4 != 2"), "run").where("t_ms between start_ms and end_ms").select("run", "round", "search", "frame_id", "t_ms")
