@@ -579,6 +579,31 @@ def test_mixer_is_a_probability_and_learns():
     assert math.isclose(total, 1.0, rel_tol=1e-5)
 
 
+def test_all_training_texts_teach_weights_and_map(spark):
+    """No sample: every bit of every text counts, however the rows lie; a unit that no other text has is not known from its own text."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", f"x{rng.randrange(10**9)}"]) for _ in range(30)) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", "own " * 300])]
+    a, b = lm_score.fit(frame(spark, rows).repartition(1)), lm_score.fit(frame(spark, rows).repartition(7))
+    assert a.learned == b.learned == 8 * sum(len((t or "").encode()) + 1 for _, t in rows)
+    assert np.allclose(a.w, b.w, atol=1e-3) and np.allclose(a.map, b.map, atol=1e-3)
+    assert all((x == y).all() for x, y in zip(a.odds, b.odds, strict=True))
+    data, offsets = C.column(pa.table({"t": ["own own "]}), "t")
+    units = lm_score.Units.of(data, offsets)
+    counted = lm_score.Mixer(a.odds, lm_score._tables(lm_score._units(frame(spark, rows).select("text").na.fill("")), 1)[1])
+    byte, contexts, _ = units.contexts(np.array([1]))
+    s, _ = counted.opinions(contexts, np.ones(4, np.int64), 0)
+    left, _ = counted.opinions(contexts, np.ones(4, np.int64), 0, (byte >> 7).astype(np.float32), np.full(4, 300, np.float32))
+    assert (s[3][1:] != 0).all() and (left[3][1:] == 0).all()
+
+
+def test_packed_counts_come_back():
+    part = np.zeros(2 * lm_score.BLOCK, np.int64)
+    part[[0, 5, 77, 2 * lm_score.BLOCK - 1]] = [1, 254, 255, 1 << 40]
+    at, n = lm_score._unpack(lm_score._pack(part), len(part))
+    assert at.tolist() == np.flatnonzero(part).tolist() and n.tolist() == part[at].tolist()
+
+
 # --- 10 toxicity ----------------------------------------------------------------------------------------------------------
 
 
