@@ -97,7 +97,10 @@ def train(known: np.ndarray, slots: np.ndarray, offsets: np.ndarray, y: np.ndarr
     rng = np.random.default_rng(seed)
     left_out = np.arange(len(y)) % 8 == 7
     fitted = np.flatnonzero(~left_out)
-    ids, k = np.searchsorted(known, slots).astype(np.int32), len(known)
+    k = len(known)
+    ids = np.zeros(SLOTS, np.int32)
+    ids[known] = np.arange(k)
+    ids = ids[slots]
     w, v = np.zeros(k, np.float32), rng.normal(0, INIT, (k, FACTORS)).astype(np.float32)
     gw, gv = np.ones(k, np.float32), np.ones((k, FACTORS), np.float32)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
@@ -108,8 +111,8 @@ def train(known: np.ndarray, slots: np.ndarray, offsets: np.ndarray, y: np.ndarr
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
             m = size[rows]
-            at = np.repeat(offsets[rows], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            own, offs, x = ids[at], np.concatenate([[0], np.cumsum(m)]), np.maximum(m, 1) ** -0.5
+            at, offs = _spans(offsets, rows)
+            own, x = ids[at], np.maximum(m, 1) ** -0.5
             vv = v[own]
             err = 1.0 / (1.0 + np.exp(-np.clip(_raw(w0, w, v, own, offs), -30, 30))) - y[rows]
             touched, back = np.unique(own, return_inverse=True)
@@ -124,7 +127,20 @@ def train(known: np.ndarray, slots: np.ndarray, offsets: np.ndarray, y: np.ndarr
             g0 += d0 * d0
             w0 -= RATE * d0 / g0**0.5
     machine = Machine(known, float(w0), w, v)
-    return _calibrate(machine, machine.raw(slots, offsets)[left_out], y[left_out]) if left_out.any() else machine
+    if not left_out.any():
+        return machine
+    raw, rows = [], np.flatnonzero(left_out)
+    for a in range(0, len(rows), BATCH):  # a few texts at a time: their factors take much more memory than their slots
+        at, offs = _spans(offsets, rows[a : a + BATCH])
+        raw.append(_raw(w0, w, v, ids[at], offs))
+    return _calibrate(machine, np.concatenate(raw), y[left_out])
+
+
+def _spans(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all terms of the rows, offsets by row)."""
+    m = np.diff(offsets)[rows]
+    offs = np.concatenate([[0], np.cumsum(m)])
+    return np.repeat(offsets[rows] - offs[:-1], m) + np.arange(offs[-1]), offs
 
 
 def _calibrate(machine: Machine, raw: np.ndarray, y: np.ndarray) -> Machine:

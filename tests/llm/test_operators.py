@@ -7,6 +7,7 @@ import itertools
 import json
 import math
 import random
+import tracemalloc
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -607,6 +608,20 @@ def test_packed_counts_come_back():
 # --- 10 toxicity ----------------------------------------------------------------------------------------------------------
 
 
+def test_training_takes_little_more_memory_than_its_terms():
+    """The driver trains: the factors of all terms at once would be many times the terms themselves."""
+    rng = np.random.default_rng(2)
+    offsets = np.concatenate([[0], np.cumsum(rng.integers(500, 900, 3000))])
+    slots = rng.integers(0, 20_000, offsets[-1]).astype(np.int32)
+    y = (np.arange(3000) % 3 == 0).astype(np.float32)
+    tracemalloc.start()
+    try:
+        toxicity.train(np.unique(slots), slots, offsets, y, epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < 3 * slots.nbytes + 8 * toxicity.SLOTS
+    finally:
+        tracemalloc.stop()
+
+
 def test_machine_learns_pairs_that_no_linear_model_can():
     rng = random.Random(1)
     texts, y = [], []
