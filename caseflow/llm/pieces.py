@@ -31,6 +31,8 @@ from caseflow.llm import columnar as C
 MARK = "▁"
 #: Bytes of segments and their ids that a worker keeps at most, by the estimate of segment_bytes(), and the longest segment that is kept.
 CACHE_BYTES, CACHE_CHARS = 160 << 20, 48
+#: What encode_and_decode() keeps of it: its workers hold the columns of both results as well, and go on to other stages.
+SMALL_CACHE_BYTES = 48 << 20
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 
 
@@ -212,9 +214,9 @@ def _library(path: str):
 
 
 @lru_cache(1)
-def batch_encoder(path: str) -> BatchEncoder:
+def batch_encoder(path: str, limit: int | None = None) -> BatchEncoder:
     """The worker's encoder: tasks that follow each other in one worker share its segments."""
-    return BatchEncoder(path)
+    return BatchEncoder(path, limit)
 
 
 def segment_bytes(segment: str, ids: tuple[int, ...]) -> int:
@@ -225,8 +227,8 @@ def segment_bytes(segment: str, ids: tuple[int, ...]) -> int:
 class BatchEncoder:
     """Encodes the texts of Arrow batches; what the agenda solves is checked against the library at once."""
 
-    def __init__(self, path: str):
-        self.model, self.library = load(path), _library(path)
+    def __init__(self, path: str, limit: int | None = None):
+        self.model, self.library, self.limit = load(path), _library(path), limit
         # two generations: what is not asked for while one fills goes with the next change
         self.kept: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -247,7 +249,7 @@ class BatchEncoder:
         """Segments of the texts, all of them in `kept`; and those that were new."""
         segments = [self.model.segments(t) for t in texts]
         wanted = {s for own in segments for s in own}
-        if self.bytes > CACHE_BYTES // 2:
+        if self.bytes > (self.limit or CACHE_BYTES) // 2:
             self.old, self.kept, self.bytes = self.kept, {}, 0
         missing = wanted.difference(self.kept)
         again = {s: self.old[s] for s in missing if s in self.old}
@@ -336,7 +338,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text",
     schema = C.extend([f for f in docs.schema.fields if f.name not in (ids_col, decoded_col)], f"`{ids_col}` array<int>, `{decoded_col}` string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = batch_encoder(model_path)
+        encoder = batch_encoder(model_path, SMALL_CACHE_BYTES)
         for batch in batches:
             for part, _, _ in C.chunks(batch, text_col, 1 << 20):
                 ids = encoder.encode([t or "" for t in part.column(text_col).to_pylist()])

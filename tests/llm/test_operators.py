@@ -525,6 +525,19 @@ def test_short_documents_against_a_large_vocabulary(spark):
         assert (text.tolist(), start.tolist(), length.tolist(), n_words.tolist()) == ([0], [1], [22], [32])
 
 
+# --- 2 pieces of a small cache ------------------------------------------------------------------------------------------
+
+
+def test_an_encoder_with_a_small_cache_gives_the_same_ids():
+    path = queries.piece_model_path()
+    texts = [" ".join(f"w{i * 31 + k}" for k in range(60)) for i in range(40)] * 2
+    small, large = pieces.BatchEncoder(path, 1 << 16), pieces.BatchEncoder(path)
+    got = [small.encode([t])[0] for t in texts]
+    assert got == large.encode(texts)
+    held = sum(pieces.segment_bytes(s, ids) for table in (small.kept, small.old) for s, ids in table.items())
+    assert held < (1 << 16) + 2 * 60 * 400
+
+
 # --- 9 language model ---------------------------------------------------------------------------------------------------
 
 
