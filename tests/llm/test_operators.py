@@ -7,8 +7,8 @@ import itertools
 import json
 import math
 import random
-import tracemalloc
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
