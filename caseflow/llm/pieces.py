@@ -16,11 +16,14 @@ values; an empty table gives an empty result; very long texts are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +33,11 @@ from caseflow.llm import columnar as C
 
 MARK = "▁"
 #: Bytes of segments and their ids that a worker keeps at most, by the estimate of segment_bytes(), and the longest segment that is kept.
-CACHE_BYTES, CACHE_CHARS = 160 << 20, 48
+CACHE_BYTES, CACHE_CHARS = 320 << 20, 48
 #: What encode_and_decode() keeps of it: its workers hold the columns of both results as well, and go on to other stages.
 SMALL_CACHE_BYTES = 48 << 20
+#: Longest segment whose agenda is a plain list: finding the best of a few pairs there is quicker than keeping a heap.
+SHORT = 48
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 
 
@@ -105,6 +110,28 @@ class PieceModel:
 
     def agenda(self, segment: str) -> list[int]:
         """Ids of one segment."""
+        if len(segment) <= SHORT:
+            return self._ids(self._merged_by_list(segment))
+        return self._ids(self._merged_by_heap(segment))
+
+    def _merged_by_list(self, segment: str) -> list[str]:
+        """The agenda is the list of the costs of all adjacent pairs, in their order."""
+        symbols, get, none = list(segment), self.cost.get, math.inf
+        costs = [get(both, none) for both in map(add, segment, segment[1:])]
+        while costs:
+            best = min(costs)
+            if best == none:
+                break
+            i = costs.index(best)
+            both = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del costs[i]
+            if i < len(costs):
+                costs[i] = get(both + symbols[i + 1], none)
+            if i:
+                costs[i - 1] = get(symbols[i - 1] + both, none)
+        return symbols
+
+    def _merged_by_heap(self, segment: str) -> list[str]:
         symbols = list(segment)
         n = len(symbols)
         cost = self.cost
@@ -138,17 +165,20 @@ class PieceModel:
                     c = cost.get(joined)
                     if c is not None:
                         heappush(pairs, (c, h, joined))
+        return [s for s in symbols if s]
+
+    def _ids(self, symbols: list[str]) -> list[int]:
+        known = list(map(self.id.get, symbols))
+        if None not in known:
+            return known
         ids: list[int] = []
-        known = self.id
-        for s in symbols:
-            if s:
-                i = known.get(s)
-                if i is not None:
-                    ids.append(i)
-                elif self.byte_fallback:
-                    ids.extend(self.byte_id[b] for b in s.encode("utf-8"))
-                else:
-                    ids.append(self.unknown)
+        for s, i in zip(symbols, known, strict=True):
+            if i is not None:
+                ids.append(i)
+            elif self.byte_fallback:
+                ids.extend(self.byte_id[b] for b in s.encode("utf-8"))
+            else:
+                ids.append(self.unknown)
         return ids
 
     @staticmethod
@@ -262,12 +292,8 @@ class BatchEncoder:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         segments, new = self._learned(texts)
-        kept, out = self.kept, []
-        for own in segments:
-            ids: list[int] = []
-            for s in own:
-                ids += kept[s]
-            out.append(ids)
+        ids_of = self.kept.__getitem__
+        out = [list(chain.from_iterable(map(ids_of, own))) for own in segments]
         self._forget(new)
         return out
 
@@ -276,12 +302,10 @@ class BatchEncoder:
         segments, new = self._learned(texts)
         kept, out, printed = self.kept, [], {}
         for own in segments:
-            ids: list[int] = []
-            for s in own:
-                ids += kept[s]
             for s in set(own).difference(printed):
                 printed[s] = ",".join(map(str, kept[s]))
-            out.append((ids, hashlib.sha256(",".join([printed[s] for s in own]).encode()).hexdigest()))
+            ids = list(chain.from_iterable(map(kept.__getitem__, own)))
+            out.append((ids, hashlib.sha256(",".join(map(printed.__getitem__, own)).encode()).hexdigest()))
         self._forget(new)
         return out
 

@@ -136,6 +136,15 @@ def test_media_ranges_and_members_are_independent(spark, tmp_path):
 # --- 2 pieces -------------------------------------------------------------------------------------------------------
 
 
+def test_both_agendas_of_pieces_merge_alike():
+    model, rng = pieces.load(queries.piece_model_path()), random.Random(5)
+    letters = [*"aaaeettthinors", "é", "ß", "中", "0", ".", pieces.MARK]
+    segments = ["", pieces.MARK, *(pieces.MARK + "".join(rng.choices(letters, k=rng.randrange(1, pieces.SHORT + 20))) for _ in range(2000))]
+    assert any(len(s) > pieces.SHORT for s in segments)
+    for s in segments:
+        assert model._merged_by_list(s) == model._merged_by_heap(s), s
+
+
 def test_pieces_equal_the_library(spark, docs, rows):
     path = queries.piece_model_path()
     library = pieces._library(path)
