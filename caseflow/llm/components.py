@@ -1,6 +1,7 @@
 """Connected components by distributed union-find, and links found in shared lists.
 
-Each task first joins the edges that it holds by union-find in memory; what is left are stars within tasks. Then
+Each task first joins the edges that it holds by union-find in memory; what is left are stars within tasks. Up to LOCAL_EDGES of
+them, a fixed number, one task joins as it would any block of edges. Of more,
 alternating large-star and small-star rounds, each a minimum by key and a join, which adaptive execution may split, join
 the stars of different tasks; their number grows with the logarithm of the longest path between tasks. No group is ever gathered. Each
 round is written to the shared folder, so lineage stays short, and replaces the one before. The test for the end is an aggregate by
@@ -76,8 +77,13 @@ def roots(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u != v")
     e = C.written(e.mapInArrow(_locally, "u long, v long").distinct(), "edges")
+    left = e.count()
+    if left <= LOCAL_EDGES:  # no more than any task joins in memory at a time: done in one go, without rounds of jobs
+        before, e = e, C.written(e.coalesce(1).mapInArrow(_locally, "u long, v long"), "edges")
+        C.dropped(before)
+        return e
     # as few tasks as hold the edges: the more edges a task joins, the fewer rounds follow; beyond the session's partitions nothing is joined up
-    tasks = max(e.sparkSession.sparkContext.defaultParallelism, -(-e.count() // LOCAL_EDGES))
+    tasks = max(e.sparkSession.sparkContext.defaultParallelism, -(-left // LOCAL_EDGES))
     while not _is_forest_of_stars(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

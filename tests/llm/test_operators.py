@@ -136,6 +136,16 @@ def test_media_ranges_and_members_are_independent(spark, tmp_path):
 # --- 2 pieces -------------------------------------------------------------------------------------------------------
 
 
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "u long, v long").repartition(6)
+    want = {i: i // 20 * 20 for i in range(60) if i % 20}
+    rounds, test = [], components._is_forest_of_stars
+    monkeypatch.setattr(components, "_is_forest_of_stars", lambda e: rounds.append(1) or test(e))
+    assert {r["u"]: r["v"] for r in components.roots(edges).collect()} == want and not rounds
+    monkeypatch.setattr(components, "LOCAL_EDGES", 10)
+    assert {r["u"]: r["v"] for r in components.roots(edges).collect()} == want and rounds
+
+
 def test_both_agendas_of_pieces_merge_alike():
     model, rng = pieces.load(queries.piece_model_path()), random.Random(5)
     letters = [*"aaaeettthinors", "é", "ß", "中", "0", ".", pieces.MARK]
