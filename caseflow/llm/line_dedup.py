@@ -201,10 +201,12 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, keep: list[str], **opti
     gone = removed_lines(docs, id_col, text_col, **options)
     own_text, own_id, k1, k2, g_id, g1, g2, g = C.free(keep, "own_text", "own_id", "k1", "k2", "gone_id", "gone_k1", "gone_k2", "gone")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, F.col(text_col).alias(own_text), F.col(id_col).alias(own_id), F.xxhash64(text).alias(k1), F.octet_length(text).alias(k2))
+    sent = [] if text_col in keep else [F.col(text_col).alias(own_text)]  # a text that is kept is not shuffled twice
+    own_text = own_text if sent else text_col
+    rows = docs.select(*keep, *sent, F.col(id_col).alias(own_id), F.xxhash64(text).alias(k1), F.octet_length(text).alias(k2))
     same = F.col(own_id).eqNullSafe(F.col(g_id)) & (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2))
     gone = gone.select(F.col("id").alias(g_id), F.col("k1").alias(g1), F.col("k2").alias(g2), F.col("gone").alias(g))
-    return rows.join(gone, same, "left").select(*keep, own_text, g), own_text, g
+    return rows.join(gone, same, "left").select(*keep, *([own_text] if sent else []), g), own_text, g
 
 
 def _left(text: str, gone: list[int] | None) -> tuple[int, str]:

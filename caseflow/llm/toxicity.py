@@ -190,10 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(np.unique(slots), slots, offsets, y)
 
 
-def score(docs: DataFrame, machine: Machine, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """(the kept columns, score, predicted)."""
-    own_text = C.free(list(keep), "text")[0]
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).alias(own_text))
+def score(docs: DataFrame, machine: Machine, keep: dict[str, Column | None], text_col: str = "text") -> DataFrame:
+    """(the kept columns, score, predicted). keep: None stands for the column of docs of that name; a text that is kept so is not sent twice."""
+    sent = text_col in keep and keep[text_col] is None
+    own_text = text_col if sent else C.free(list(keep), "text")[0]
+    rows = docs.select(*[F.col(k) if c is None else c.alias(k) for k, c in keep.items()], *([] if sent else [F.col(text_col).alias(own_text)]))
     schema = C.extend(rows.schema.fields[: len(keep)], "score double, predicted int")
     kept = list(keep)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 12 + 4 * FACTORS bytes a slot, 30 MB at most

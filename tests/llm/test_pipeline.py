@@ -6,11 +6,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caseflow.llm import columnar, pieces
+from caseflow.llm import columnar, line_dedup, pieces, toxicity
 from caseflow.llm.queries import piece_model_path
 
 BAD = ["vileword", "grossword", "foulword"]
@@ -167,3 +168,24 @@ def test_ids_are_the_librarys(stages):
 def test_run_applies_all_stages(stages):
     plain = lambda rows: Counter(map(str, rows))
     assert plain(stages["run"]) == plain(stages["pieces"])
+
+
+def test_texts_go_to_python_once_and_by_bytes(spark):
+    """A task's memory outside the heap: batches of a few MB, and no second copy of the text beside the one that is kept."""
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat("id", F.lit(" good vileword ")), 300).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).where("doc_id < 40")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    got = [r["size"] for r in corpus_pipeline.stage(lambda s, d, _: d.mapInArrow(sizes, "size long"))(spark, docs, "").collect()]
+    assert sum(got) > 20_000_000 and max(got) < 6_000_000
+    machine = toxicity.fit(docs, labels)
+    once = toxicity.score(docs, machine, dict.fromkeys(docs.columns))
+    sent = lambda df: df._jdf.queryExecution().optimizedPlan().children().head().output().size()
+    twice = toxicity.score(docs, machine, {c: F.col(c) for c in docs.columns})
+    assert (sent(once), sent(twice)) == (2, 3)
+    assert once.orderBy("doc_id").collect() == twice.orderBy("doc_id").collect()
+    rows, text, gone = line_dedup._joined(docs.limit(20), "doc_id", "text", docs.columns)
+    assert rows.columns == ["doc_id", "text", gone] and text == "text"
