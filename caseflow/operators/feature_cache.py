@@ -14,7 +14,8 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,17 +83,28 @@ def with_features(frames: DataFrame, path: str, key: str, run: str) -> DataFrame
     return x.withColumn("cache_hit", there).drop("run")
 
 
-def select_features(frames: DataFrame, case: str, order: str, budget: int) -> DataFrame:
-    """(case, order, protected) of the frames chosen from features, see selection.choose(): a choice depends on those before, so one case is one task."""
+def select_features(frames: DataFrame, case: str, order: str, budget: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(case, order, protected, kept columns) of the frames chosen from features, see selection.choose(): a choice depends on those before, so one case is one task.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+    Every frame of the case at a chosen frame's time comes out with it; frames without a case or a time never do.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    out = [case, order, "protected", *keep]
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.column(order).to_pandas().to_numpy()
+        table = table.take(pa.array(np.argsort(t, kind="stable")))
+        pdf, t = table.select(["whole", "regions", "clarity"]).to_pandas(), np.sort(t)
         whole, regions = np.array(pdf["whole"].tolist(), np.float32), np.array([np.stack(r) for r in pdf["regions"]], np.float32)
-        protected, chosen = selection.choose(pdf[order].to_numpy(np.float64), whole, regions, selection.midranks(pdf["clarity"].to_numpy()), budget)
-        return pd.DataFrame({case: pdf[case].iloc[chosen], order: pdf[order].iloc[chosen], "protected": [i in protected for i in chosen]})
+        protected, chosen = selection.choose(t.astype(np.float64), whole, regions, selection.midranks(pdf["clarity"].to_numpy()), budget)
+        low, high = (np.searchsorted(t, t[chosen], side) for side in ("left", "right"))
+        of = np.repeat(np.arange(len(chosen)), high - low)
+        own = low[of] + np.arange(len(of)) - np.searchsorted(of, of)
+        got = table.take(pa.array(own)).append_column("protected", pa.array(np.isin(chosen, protected)[of], pa.bool_()))
+        return got.filter(pc.and_(got.column(case).is_valid(), got.column(order).is_valid())).select(out)
 
-    kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
-    return frames.select(case, order, "whole", "regions", "clarity").groupBy(case).applyInPandas(run, f"{case} {kinds[case]}, {order} {kinds[order]}, protected boolean")
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'boolean')}" for c in out)
+    return frames.select(case, order, *keep, "whole", "regions", "clarity").groupBy(case).applyInArrow(run, schema)
 
 
 def select_candidates(frames: DataFrame, case: str, order: str, path: str, key: str, encode: Encode, budget: int) -> DataFrame:
@@ -102,5 +114,5 @@ def select_candidates(frames: DataFrame, case: str, order: str, path: str, key:
     """
     x = verified(frames)
     run = fill(x, path, key, encode)
-    features = with_features(x, path, key, run)
-    return select_features(features, case, order, budget).join(features.select(case, order, "frame_id", "image_sha256", "cache_hit"), [case, order])
+    # what belongs to a frame goes along with its features: looking it up afterwards would join the frames with the cache once more
+    return select_features(with_features(x, path, key, run), case, order, budget, ("frame_id", "image_sha256", "cache_hit"))

@@ -153,3 +153,18 @@ def test_candidates(spark, tmp_path):
     protected, chosen = S.choose(np.array([r["t_ms"] for r in rows], float), np.array([r["whole"] for r in rows], np.float32), np.array([r["regions"] for r in rows], np.float32), S.midranks(np.array([r["clarity"] for r in rows])), 5)
     assert [r["frame_id"] for r in got] == [rows[i]["frame_id"] for i in chosen] and [r["protected"] for r in got] == [i in protected for i in chosen] and not any(r["cache_hit"] for r in got)
     assert all(r["cache_hit"] for r in C.select_candidates(frames(spark, 12, 12), "case_id", "t_ms", f"{tmp_path}/s", key, Encoder(), 5).collect())
+
+
+def test_candidates_look_up_features_once(spark, tmp_path):
+    """The cache is joined once, and what belongs to a frame comes out as it went in: large numbers, null, several frames at a time, no case."""
+    key, big = C.fingerprint({}), 2**53 + 1
+    own = F.when(F.col("t_ms") == 3000, None).otherwise(F.lit(big) + F.col("t_ms"))
+    x = frames(spark, 12, 12).withColumn("frame_id", own)
+    x = x.union(x.where("t_ms in (0, 5000)").withColumn("frame_id", F.lit(-1).cast("long"))).union(x.withColumn("case_id", F.lit(None).cast("int")))
+    got = C.select_candidates(x, "case_id", "t_ms", f"{tmp_path}/s", key, Encoder(), 14)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_sha256") == C.read(spark, f"{tmp_path}/s", key)._jdf.queryExecution().optimizedPlan().toString().count("row_sha256")
+    rows = got.collect()
+    assert {r["case_id"] for r in rows} == {1} and {r["t_ms"] for r in rows} == {i * 1000 for i in range(12)}
+    # two frames at each of two times, all chosen: each comes with the other too
+    assert sorted(r["frame_id"] or 0 for r in rows) == sorted([-1] * 4 + [0] + [big + i * 1000 for i in range(12) if i != 3] + [big, big + 5000])
