@@ -103,7 +103,7 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: C
     link, and only pairs for which it holds leave a join. verified() takes distinct pairs (x, y) and returns those that are links as (u, v).
 
     Three steps, none of which gives out the pairs of a group that is one component already: (1) each member of a
-    list with the list's leader, by a hash of the node, so that all lists of a group tend to one leader; (2) members
+    list with the list's leader, by a hash of the node, so that all lists of a group tend to one leader, which settles lists of two; (2) members
     outside the list's largest component with LEADERS members inside, which a hash of token and node chooses; (3) the rest, exactly:
     members outside the largest component with members of other components. What (3) rejects is no
     link, so no link between different components is left.
@@ -124,7 +124,7 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: C
 
     def parted(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(all, inside, outside): lists with components, by whether the component has the most members of the list."""
-        own = lists.join(links.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        own = wide.join(links.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         own = C.written(own, "labelled")
         sizes = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
         largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("comp"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("comp").alias("largest"))
@@ -133,11 +133,13 @@ def linked(lists: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: C
 
     own = lists.withColumn("comp", F.col("node"))
     links = grown(None, own, leaders(own, F.xxhash64("node")))
+    # the only pair of a list of two has been looked at
+    wide = C.written(lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("token"), "token"), "wide")
     own, inside, outside = parted(links)
     rank = F.xxhash64("node", "token")
     links = grown(links, outside, leaders(inside.withColumn("slot", F.pmod(rank, F.lit(LEADERS))), rank, "slot"))
     C.dropped(own)
     own, inside, outside = parted(links)
     links = grown(links, outside, inside.union(outside))
-    C.dropped(own)
+    C.dropped(own, wide)
     return links

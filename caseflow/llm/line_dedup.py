@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm import columnar as C
@@ -87,20 +87,44 @@ def bands(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = SHING
     return keys
 
 
+#: Lines that are sorted together, and the bits of a shingle's hash that count then: a line's number and its hash make one number, which is sorted without an index.
+_LINES, _BITS = 1 << 10, np.uint64(54)
+
+
+def _blocks(*parts: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of lines, their numbers and hashes in one, sorted) of each block of lines; parts: (hashes of _BITS bits, first of each line) of the same lines."""
+    n = len(parts[0][1]) - 1
+    for a in range(0, n, _LINES):
+        b = min(n, a + _LINES)
+        keys = np.concatenate([h[first[a] : first[b]] | np.repeat(np.arange(b - a, dtype=np.uint64) << _BITS, np.diff(first[a : b + 1])) for h, first in parts])
+        keys.sort()
+        yield b - a, keys
+
+
+def _counts(keys: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount((keys >> _BITS).astype(np.int64), minlength=n)
+
+
 def _sets(lines_: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the distinct shingles of each line, offsets by line)."""
     data, offsets = C.column(pa.table({"raw": lines_}), "raw")
     h, first = shingle_hashes(data, offsets[:-1], offsets[1:], k)
-    return C.distinct(h, C.owner(first), len(lines_))
+    h >>= np.uint64(64) - _BITS
+    own, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for n, keys in _blocks((h, first)):
+        keep = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=keep[1:])
+        keys = keys[keep]
+        sizes.append(_counts(keys, n))
+        own.append(keys & ((np.uint64(1) << _BITS) - np.uint64(1)))
+    return np.concatenate(own), np.cumsum(np.concatenate(sizes))
 
 
 def similar(xs: pa.Array, ys: pa.Array, num: int, den: int, k: int = SHINGLE) -> np.ndarray:
     """Whether the Jaccard similarity of each pair of lines is num / den or more, by their whole sets."""
     (a, first_a), (b, first_b) = _sets(xs, k), _sets(ys, k)
-    _, offsets = C.distinct(np.concatenate([a, b]), np.concatenate([C.owner(first_a), C.owner(first_b)]), len(xs))
-    either = np.diff(offsets)
-    both = np.diff(first_a) + np.diff(first_b) - either
-    return both * den >= num * either
+    both = np.concatenate([np.zeros(0, np.int64), *(_counts(keys[1:][keys[1:] == keys[:-1]], n) for n, keys in _blocks((a, first_a), (b, first_b)))])
+    return both * den >= num * (np.diff(first_a) + np.diff(first_b) - both)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -138,7 +162,8 @@ def _occurrences(docs: DataFrame, k: int) -> DataFrame:
 def _texts(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
     """(line, raw, n, q) of the lines at (k1, k2, no): bytes, size of the set, parities."""
     own = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("no", "line")).alias("places"))
-    rows = docs.select("text", "k1", "k2").join(own, ["k1", "k2"])
+    # equal texts give equal lines: one of each, before they are joined by the same keys
+    rows = docs.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(own, ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +181,7 @@ def _texts(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
                     names=["line", "raw", "n", "q"],
                 )
 
-    # equal texts give equal lines: one of each
-    return rows.select("text", "places").mapInArrow(run, "line long, raw binary, n int, q array<long>").dropDuplicates(["line"])
+    return rows.select("text", "places").mapInArrow(run, "line long, raw binary, n int, q array<long>")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, shingle: int = SHINGLE) -> DataFrame:
@@ -165,9 +189,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = _keyed(docs, id_col, text_col)
     found = C.written(_occurrences(rows, shingle), "lines")
     lists = found.where(F.size("bands") > 0).select(F.explode("bands").alias("token"), F.col("line").alias("node"))
-    full = C.written(lists.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token"), "shared")
-    # the shared tokens are the smaller side, each of them once: they are hashed, and the many others need no sort
-    buckets = C.written(lists.join(full.hint("shuffle_hash"), "token").distinct(), "buckets")
+    # one shuffle for both: a window spills its rows, however many have one token
+    by = Window.partitionBy("token")
+    shared = lists.select("token", "node", F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi")).where("lo != hi")
+    buckets = C.written(shared.select("token", "node").distinct(), "buckets")
     # the texts of all lines in a bucket with others, one place of each
     wanted = buckets.select(F.col("node").alias("line")).distinct()
     places = found.where(F.size("bands") > 0).join(wanted, "line").groupBy("line").agg(F.min(F.struct("k1", "k2", "no")).alias("p")).select("line", "p.*")
@@ -188,7 +213,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     lists = C.written(buckets.join(sets, "node"), "lists")
     roots = components.linked(lists, verified, C.may_link(num, den, PARITIES))
-    C.dropped(full, buckets, texts, lists)
+    C.dropped(buckets, texts, lists)
     own = found.drop("bands").join(roots.select(F.col("u").alias("line"), F.col("v").alias("root")), "line", "left").withColumn("root", F.coalesce("root", "line"))
     # first occurrence of every component; rows equal in id and text are one
     first = own.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k1", "no")).alias("first")).where("n > 1")

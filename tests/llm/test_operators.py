@@ -718,3 +718,32 @@ def test_decontamination_keeps_columns_of_any_name(spark):
     r = decontaminate.report(df, items).where("doc_id = 1").first()
     assert r["n_items"] == 1 and r["items_sha256"] == hashlib.sha256(b"").hexdigest()
     assert decontaminate.decontaminate(df.limit(0), items).count() == 0
+
+
+def test_lists_of_two_are_looked_at_once(spark):
+    """A pair that alone shares a list is settled by the first step, whatever came of it; larger lists are still looked at to the end."""
+    rows = [(t, n) for t in range(40) for n in (2 * t, 2 * t + 1)] + [(99, n) for n in (200, 201, 202)]
+    lists = spark.createDataFrame(rows, "token long, node long").withColumn("a", F.struct(F.lit(1).alias("n")))
+    asked = []
+
+    def verified(pairs):
+        asked.append(sorted((r["x"], r["y"]) for r in pairs.collect()))
+        return pairs.where("x % 4 = 0 or x = 201").select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+    got = {(r["u"], r["v"]) for r in components.linked(lists, verified, F.lit(True)).collect()}
+    assert len(asked) == 3 and len([p for p in asked[0] if p[0] < 200]) == 40
+    assert not [p for step in asked[1:] for p in step if p[0] < 200]
+    assert got == {(2 * t + 1, 2 * t) for t in range(0, 40, 2)} | {(201, 200), (202, 200)}
+
+
+def test_sets_of_many_lines():
+    """More lines than are sorted together, repeated shingles, lines shorter than a shingle and empty ones."""
+    rng = random.Random(3)
+    xs = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(2600)]
+    ys = [x if i % 3 == 0 else x[: rng.randint(0, 40)] + "b" for i, x in enumerate(xs)]
+    plain = lambda s: {s[i : i + 4] for i in range(max(1, len(s) - 3))}
+    h, offs = line_dedup._sets(pa.array([x.encode() for x in xs], pa.binary()), 4)
+    assert np.diff(offs).tolist() == [len(plain(x)) for x in xs] and len(h) == offs[-1]
+    got = line_dedup.similar(pa.array(xs).cast(pa.binary()), pa.array(ys).cast(pa.binary()), 80, 100, 4)
+    assert got.tolist() == [5 * len(plain(x) & plain(y)) >= 4 * len(plain(x) | plain(y)) for x, y in zip(xs, ys)]
+    assert len(line_dedup.similar(pa.array([], pa.binary()), pa.array([], pa.binary()), 80, 100, 4)) == 0
