@@ -6,7 +6,7 @@ characters and one changed word of five lines of some 80. MinHash signatures, cu
 SPAN characters longer: unrelated lines share many substrings of 4 characters and hardly any of 7, so that few of them meet in a band, while a
 similarity of 0.8 by substrings of 4 is one of 0.675 at least by those of 7 (an edit that changes m of the former changes 7 / 4 m
 of the latter at most), at which a link is missed in 1 of 100 cases (1 - (1 - 0.675**3)**13 = 0.9916). Lines of fewer than some 20 characters are the
-exception: their links may be missed more often. Candidates whose sizes or parities rule a link out (columnar.may_link(), which loses none) never leave the join; the others are verified on the exact sets; verified
+exception: their links may be missed more often. Candidates whose sizes or parities rule a link out (columnar.may_link(), which loses none) never leave the join; the others are verified on the whole sets (of 54-bit hashes); verified
 links become components by distributed union-find (components.linked(), which never gives out a bucket that is one
 component already). Of each component the first line stays, by (id, hash of text, line number).
 
