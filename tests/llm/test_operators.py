@@ -630,6 +630,21 @@ def test_all_training_texts_teach_weights_and_map(spark):
     assert (s[3][1:] != 0).all() and (left[3][1:] == 0).all()
 
 
+def test_every_step_of_the_weights_sees_all_units(spark, monkeypatch):
+    """Not the last step only: each sums over every bit of every text."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(20))) for i in range(40)]
+    seen, take = [], lm_score.Mixer.take
+
+    def noted(self, sums):
+        take(self, sums)
+        seen.append(self.learned)
+
+    monkeypatch.setattr(lm_score.Mixer, "take", noted)
+    lm_score.fit(frame(spark, rows))
+    assert seen == [8.0 * sum(len(t) + 1 for _, t in rows)] * lm_score.NEWTON
+
+
 def test_packed_counts_come_back():
     part = np.zeros(2 * lm_score.BLOCK, np.int64)
     part[[0, 5, 77, 2 * lm_score.BLOCK - 1]] = [1, 254, 255, 1 << 40]
