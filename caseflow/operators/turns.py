@@ -27,7 +27,8 @@ def visible_counts(turns: DataFrame, seen: DataFrame, record: str) -> DataFrame:
 
 def unseen(cited: DataFrame, seen: DataFrame, record: str) -> DataFrame:
     """Rows (record, turn, frame_id, ...) of frames that are not visible at their turn."""
-    x = cited.join(seen.select(record, "frame_id", "first"), [record, "frame_id"], "left")
+    # by a table of the frames of a task's records: the cited rows, which are many more, are not sorted
+    x = cited.join(seen.select(record, "frame_id", "first").hint("shuffle_hash"), [record, "frame_id"], "left")
     return x.where(F.coalesce(F.col("first") > F.col("turn"), F.lit(True))).drop("first")
 
 
@@ -62,10 +63,10 @@ def violations(turns: DataFrame, images: DataFrame, record: str, manifest: DataF
         _rule(turns.where("causal and not (mode <=> 'causal_prefix')"), record, "mode", at, "a causal record has a retrospective turn"),
     ]
     if manifest is not None:
-        named = manifest.select(record, "turn", "frame_id").distinct()
-        n = named.groupBy(record, "turn").agg(F.count(F.lit(1)).alias("__n"))
+        named = manifest.select(record, "turn", "frame_id")
+        n = named.distinct().groupBy(record, "turn").agg(F.count(F.lit(1)).alias("__n"))
         short = counted.join(n, [record, "turn"], "left").where(F.coalesce("__n", F.lit(0)) < F.col("n_visible"))
-        found += [_rule(unseen(named, seen, record), record, "manifest", F.col("frame_id"), "the manifest names a frame that is not visible"), _rule(short, record, "manifest", at, "the manifest leaves out visible frames")]
+        found += [_rule(unseen(named, seen, record).distinct(), record, "manifest", F.col("frame_id"), "the manifest names a frame that is not visible"), _rule(short, record, "manifest", at, "the manifest leaves out visible frames")]
     if annotations is not None:
         outcome = annotations.join(turns.select(record, "turn", "causal"), [record, "turn"]).where("causal and kind = 'outcome'").select(record, "turn", "annotation_id").distinct()
         late = unseen(annotations.where("frame_id is not null"), seen, record).select(record, "turn", "annotation_id").distinct()

@@ -11,7 +11,7 @@ from caseflow.operators import metrics as M
 from caseflow.operators import receipts as R
 from caseflow.operators import turns as T
 from caseflow.operators.graph import cut_lineage
-from caseflow.plans.registry import place, query, table
+from caseflow.plans.registry import meet_on_part_of_keys, place, query, table
 from caseflow.sources import tables as S
 
 #: Rows, their leaves, how often 16 has to fold them, and the nodes of all levels.
@@ -103,6 +103,9 @@ def curation_overlay(spark: SparkSession, d: str) -> DataFrame:
     return C.overlay(C.read(spark, path))
 
 
+#: Lines of a task of turn_rules.
+LINES = 100_000
+
 #: A customer's orders are turns, the parts of their lines the frames shown; a frame's number is its part's, the cutoff rises with the date.
 TURNS = """turns AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS turn, o_orderkey % 3 <> 0 AS causal FROM orders),
 cut AS (SELECT *, turn * 10 + (o_orderkey % 13) AS cutoff FROM turns),
@@ -122,15 +125,21 @@ UNION ALL SELECT v.o_custkey::VARCHAR, 'manifest', v.turn || ':' FROM vis v LEFT
 )
 def turn_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules of turns and of what is visible at each, over customers' orders and parts."""
-    o, w = table(spark, d, "orders"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    # turns and images are dealt by customer, and all that follows stays where they are
+    meet_on_part_of_keys(spark)
+    lines = table(spark, d, "lineitem")
+    n = lines.count() // LINES + 1
+    o, w = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").repartition(n, "o_custkey"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     cut = o.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("turn"), (F.col("o_orderkey") % 3 != 0).alias("causal")).withColumn("cutoff_index", F.col("turn") * 10 + F.col("o_orderkey") % 13)
     turns = cut.withColumn("mode", F.when(F.col("o_orderkey") % 19 == 0, "retrospective").otherwise("causal_prefix"))
-    own = Window.partitionBy("o_custkey", "turn").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    images = cut.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("position", F.row_number().over(own)).withColumn("frame_index", F.col("l_partkey") % 50)
-    images = images.select("o_custkey", "turn", "position", F.col("frame_index").cast("string").alias("frame_id"), "frame_index")
-    seen = T.first_seen(images, "o_custkey")
-    named = cut.join(seen, "o_custkey").where("first <= turn and (frame_index + turn) % 29 != 0").select("o_custkey", "turn", "frame_id")
-    named = named.unionByName(cut.where("o_orderkey % 17 = 0").select("o_custkey", "turn", F.lit("51").alias("frame_id")))
+    # a turn is an order: with its key the window needs no shuffle after the join
+    own = Window.partitionBy("o_orderkey", "o_custkey", "turn").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    images = cut.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "turn", F.row_number().over(own).alias("position"), (F.col("l_partkey") % 50).alias("frame_index"))
+    images = images.repartition(n, "o_custkey").withColumn("frame_id", F.col("frame_index").cast("string"))
+    seen = T.first_seen(images.where("frame_index is not null"), "o_custkey").withColumnRenamed("o_custkey", "__customer")
+    named = cut.join(seen, (F.col("o_custkey") == F.col("__customer")) & F.expr("first <= turn and (frame_index + turn) % 29 != 0"), "left")
+    # no union, after which the rows would have to be dealt again: 51 stands beside each frame of its turn, and counts once
+    named = named.select("o_custkey", "turn", F.explode(F.array("frame_id", F.when(F.col("o_orderkey") % 17 == 0, "51"))).alias("frame_id")).where("frame_id is not null")
     return T.violations(turns.select("o_custkey", "turn", "cutoff_index", "causal", "mode"), images, "o_custkey", named).drop("message")
 
 

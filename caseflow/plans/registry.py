@@ -34,6 +34,11 @@ def spread(rows: DataFrame, *keys: str, each: int = 100_000) -> DataFrame:
     return rows.repartition(rows.count() // each + 1, *keys)
 
 
+def meet_on_part_of_keys(spark: SparkSession) -> None:
+    """Lets tables that are dealt alike by some of a join's keys meet without another shuffle, until the next query is asked for."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; where that is unset (tests), in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
