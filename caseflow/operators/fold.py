@@ -75,7 +75,7 @@ def scan(rows: DataFrame, key: list[str], order: list[str], reads: list[str], be
                 if k != now:
                     now, state = k, begin()
                 out.append(step(state, row))
-            kinds = kinds or [_arrow(m.dataType) for m in more]
+            kinds = kinds or [arrow(m.dataType) for m in more]
             added = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(more), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *added], names=schema.names)
 
@@ -89,7 +89,7 @@ def emit(rows: DataFrame, key: list[str], order: list[str], reads: list[str], be
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        kinds = [_arrow(f.dataType) for f in full.fields]
+        kinds = [arrow(f.dataType) for f in full.fields]
 
         def record(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=full.names)
@@ -110,7 +110,7 @@ def emit(rows: DataFrame, key: list[str], order: list[str], reads: list[str], be
     return _keyed(rows, key, order).mapInArrow(run, full)
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
+def arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)

@@ -99,7 +99,7 @@ def stream_session_log(spark: SparkSession, d: str) -> DataFrame:
     """The same log from a stream of orders, joined with the static lines and kept as state."""
     L.with_state_store(spark)
     at = place(spark, "session")
-    stream = spark.readStream.schema(table(spark, d, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    stream = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/orders.parque[t]")  # a pattern fits a file and a folder of files
     rows = _rows(S.observed(frames(stream), labels(spark, d), "case_id", "frame_index"))
     S.split(S.watch_stream(rows, "case_id", S.Settings(**SETTINGS)), f"{at}/c", f"{at}/out")
     return _events(spark.read.parquet(f"{at}/out"))

@@ -1,7 +1,7 @@
 """A case watched as it happens: frames become events, events steps and alerts, alerts utterances; questions are asked on the way.
 
 What happens at a frame depends on all that was decided before it, so a case is a keyed state: `advance` decides one frame from a
-`Memory`, in a stream (`watch_stream`: the memory is one value of the state store) and over tables
+`Memory`, in a stream (`watch_stream`: the memories of a group of cases are one value of the state store) and over tables
 (`watch`: the same decisions over rows sorted by Spark). Every memory is bounded by the number of labels, keys and open
 questions of a case, never by its length.
 
@@ -12,13 +12,17 @@ without frames of at least `gap_ms`).
 
 from __future__ import annotations
 
+import json
 import math
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from caseflow.operators import fold
@@ -331,85 +335,149 @@ def observed(frames: DataFrame, labels: DataFrame, case: str, index: str) -> Dat
     return frames.join(by, keys, "left").withColumn("annotated", F.col("detections").isNotNull())
 
 
-#: A memory as one value of the state store: a case costs a read and a write of it, however many parts it has. Runs and queues are parallel arrays.
-_RUN = "frames array<long>, times array<long>"
-_STATE = (
-    "n long, last_ms long, told boolean, view_lost boolean, timer long, tracks array<struct<label:string,kind:string,event:string,here:boolean,frames:array<long>,times:array<long>,confidences:array<double>>>, "
-    "pairs array<struct<label:string,structure:string,near:boolean,frames:array<long>,times:array<long>>>, empty struct<frames:array<long>,times:array<long>>, step string, event string, visited array<string>, "
-    f"candidate string, {_RUN}, spoken map<string,long>, minute array<long>, open array<struct<at:long,question_id:string,text:string>>"
-)
-
-
 class _Watcher(StatefulProcessor):
-    """A case's memory as state; a timer of event time tells of a case that has gone quiet."""
+    """The memories of a key's cases as one value of the state store; a timer of event time tells of cases that have gone quiet.
+
+    Here the key is the case. The value is a pickled map of each case to when it falls quiet (null: that has been told) and its memory, pickled by
+    itself, so that the cases that a batch does not name cost no more than their bytes.
+    """
 
     def __init__(self, settings: Settings):
         self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.memory = handle.getValueState("memory", _STATE)
-
-    def _load(self) -> tuple[Memory, int | None]:
-        m, kept = Memory(), self.memory.get()
-        if kept is None:
-            return m, None
-        run = lambda *columns: list(zip(*columns, strict=True))
-        m.n, m.last_ms, m.told, m.view_lost, timer, tracks, pairs, empty, step, event, visited, m.candidate, frames, times, spoken, minute, questions = kept
-        m.tracks = {label: Track(kind, at, here, run(*columns)) for label, kind, at, here, *columns in tracks}
-        m.pairs = {(label, structure): None if near else run(*columns) for label, structure, near, *columns in pairs}
-        m.empty, m.step, m.visited, m.dwelt = run(*empty), (step, event) if step else None, list(visited), run(frames, times)
-        m.spoken, m.minute, m.open = dict(spoken), list(minute), [tuple(q) for q in questions]
-        return m, timer
-
-    def _store(self, m: Memory, timer: int | None) -> None:
-        columns = lambda run, n: [list(c) for c in zip(*run, strict=True)] or [[] for _ in range(n)]
-        tracks = [(label, x.kind, x.event, x.here, *columns(x.run, 3)) for label, x in m.tracks.items()]
-        pairs = [(*pair, run is None, *columns(run or [], 2)) for pair, run in m.pairs.items()]
-        step = (*(m.step or (None, None)), m.visited, m.candidate, *columns(m.dwelt, 2))
-        self.memory.update((m.n, m.last_ms, m.told, m.view_lost, timer, tracks, pairs, tuple(columns(m.empty, 2)), *step, m.spoken, m.minute, m.open))
+        self.memory = handle.getValueState("memory", "cases binary")
+
+    def _load(self) -> dict:
+        kept = self.memory.get()
+        return {} if kept is None else pickle.loads(kept[0])
+
+    def _store(self, cases: dict, before: int | None) -> None:
+        """before: the timer that the key has."""
+        due = min((at for at, _ in cases.values() if at is not None), default=None)
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if due is not None and due != before:
+            self.handle.registerTimer(due)
+        self.memory.update((pickle.dumps(cases, pickle.HIGHEST_PROTOCOL),))
+
+    def _parts(self, key: tuple, rows: Iterator[Row]) -> dict:
+        """Rows by case."""
+        return {key[0]: [row.asDict() for row in rows]}
+
+    def _rows(self, rows: list[tuple]) -> Iterator[Row]:
+        return iter([_OUT_ROW(*r) for r in rows])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        m, timer = self._load()
-        part = [row.asDict() for row in rows]
+        cases = self._load()
+        before = min((at for at, _ in cases.values() if at is not None), default=None)
         low = lambda v: (v is not None, v)
-        part.sort(key=lambda r: (low(r["t_ms"]), r["question_id"] is None, low(r["frame_index"])))
         out = []
-        for row in part:
-            out += advance(self.settings, m, row)
-        if m.last_ms is not None:
-            due = m.last_ms + self.settings.gap_ms
-            if timer is not None and timer != due:
-                self.handle.deleteTimer(timer)
-            if timer != due:
-                self.handle.registerTimer(due)
-            timer = due
-        self._store(m, timer)
-        return self._rows(key, out)
+        for case, part in self._parts(key, rows).items():
+            m = _remembered(cases[case][1]) if case in cases else Memory()
+            part.sort(key=lambda r: (low(r["t_ms"]), r["question_id"] is None, low(r["frame_index"])))
+            for row in part:
+                out += [(case, *values) for values in advance(self.settings, m, row)]
+            cases[case] = None if m.last_ms is None or m.told else m.last_ms + self.settings.gap_ms, _plain(m)
+        self._store(cases, before)
+        return self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        m, _ = self._load()
-        m.told = True
-        self._store(m, None)
-        return self._rows(key, [_row("closed", m.last_ms)])
-
-    def _rows(self, key, rows: list[tuple]) -> Iterator[Row]:
-        return iter([_OUT_ROW(key[0], *r) for r in rows])
+        cases, out = self._load(), []
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        past = max(now, timerValues.getCurrentWatermarkInMs() - 1)
+        for case, (at, memory) in cases.items():
+            if at is not None and at <= past:
+                m = _remembered(memory)
+                m.told = True
+                cases[case] = None, _plain(m)
+                out.append((case, *_row("closed", m.last_ms)))
+        self._store(cases, None)  # Spark deletes the timer that has expired
+        return self._rows(out)
 
     def close(self) -> None:
         pass
 
 
-def watch_stream(rows: DataFrame, case: str, settings: Settings, at: str = "at", late: str = "0 seconds") -> DataFrame:
+def _plain(m: Memory) -> bytes:
+    """A memory as bytes, of plain values and in the order of its fields."""
+    tracks = [(label, x.kind, x.event, x.here, x.run) for label, x in m.tracks.items()]
+    return pickle.dumps([tracks if name == "tracks" else getattr(m, name) for name in _FIELDS], pickle.HIGHEST_PROTOCOL)
+
+
+def _remembered(memory: bytes) -> Memory:
+    m = Memory(*pickle.loads(memory))
+    m.tracks = {label: Track(*values) for label, *values in m.tracks}
+    return m
+
+
+_FIELDS = [f.name for f in fields(Memory)]
+
+
+class _Watchers(_Watcher):
+    """The key is a group of cases: (case, row as JSON) in, all that a group gives as one record batch out. A visit to the state store, a batch
+    to Spark and its schema cost more than the decisions of a case, and so are had once a group."""
+
+    def __init__(self, settings: Settings, schema: pa.Schema):
+        super().__init__(settings)
+        self.schema = schema
+
+    def _parts(self, key: tuple, rows: Iterator[Row]) -> dict:
+        out: dict = {}
+        for case, text, _ in rows:
+            out.setdefault(case, []).append(_decoded(text))
+        return out
+
+    def _rows(self, rows: list[tuple]) -> Iterator[Row]:
+        if not rows:
+            return iter(())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), self.schema, strict=True)], schema=self.schema)
+        return iter([Row(rows=batch.serialize().to_pybytes())])
+
+
+_scan = json.JSONDecoder().scan_once
+
+
+def _decoded(text: str) -> dict:
+    """A row that to_json() wrote; numbers that JSON does not have came as strings."""
+    row, _ = _scan(text, 0)
+    if '"NaN"' in text or 'Infinity"' in text:
+        for d in row["detections"] or ():
+            d["confidence"] = d["confidence"] and float(d["confidence"])
+            for place in (d["tip"], d["box"]):
+                for c, v in (place or {}).items():
+                    place[c] = v and float(v)
+    return row
+
+
+#: Groups of cases in the state store. A checkpoint holds to the number that it was begun with.
+GROUPS = 1 << 15
+
+
+def watch_stream(rows: DataFrame, case: str, settings: Settings, at: str = "at", late: str = "0 seconds", groups: int | None = GROUPS) -> DataFrame:
     """What watch() does, as rows arrive; needs log.with_state_store(). `at` is the time of t_ms as a timestamp of the same zero, the watermark's column.
 
     A stretch without frames is `closed` by the frame after it; the last one by a timer, once the watermark is `gap_ms` past the case's last frame.
+    Nothing is dropped by the watermark: a frame that is late in its case comes out as such, one that is late for other cases only is watched.
+    Cases share the state store's keys by groups (None: each has its own); a batch rewrites the bytes of all memories of the groups that it has rows of.
     """
     names = [c.split(" ")[0] for c in ROW.replace(DETECTIONS, "d").split(", ")]
     kind = rows.schema[case].dataType.simpleString()
-    x = rows.withWatermark(at, late).select(case, at, *names)
-    out = x.groupBy(case).transformWithState(_Watcher(settings), f"__case {kind}, {OUT}", "Append", "EventTime")
-    return out.withColumnRenamed("__case", case)
+    x, full = rows.withWatermark(at, late), f"__case {kind}, {OUT}"
+    if groups is None:
+        return x.select(case, *names).groupBy(case).transformWithState(_Watcher(settings), full, "Append", "EventTime").withColumnRenamed("__case", case)
+    schema = pa.schema([(f.name, fold.arrow(f.dataType)) for f in T.StructType.fromDDL(full).fields])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("rows"):
+                yield pa.ipc.read_record_batch(packed.as_buffer(), schema)
+
+    row = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    x = x.select(F.col(case).alias("__case"), row.alias("__row"), F.pmod(F.xxhash64(case), F.lit(groups)).alias("__group"))
+    out = x.groupBy("__group").transformWithState(_Watchers(settings, schema), "rows binary", "Append", "EventTime")
+    return out.mapInArrow(unpack, full).withColumnRenamed("__case", case)
 
 
 def split(stream: DataFrame, checkpoint: str, path: str) -> None:
