@@ -634,15 +634,15 @@ def test_every_step_of_the_weights_sees_all_units(spark, monkeypatch):
     """Not the last step only: each sums over every bit of every text."""
     rng = random.Random(7)
     rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(20))) for i in range(40)]
-    seen, take = [], lm_score.Mixer.take
+    seen, sums = [], lm_score._all_sums
 
-    def noted(self, sums):
-        take(self, sums)
-        seen.append(self.learned)
+    def noted(units, *more):
+        seen.append(units.agg(F.sum(F.col("n") * (F.length("unit") - 1))).first()[0])
+        return sums(units, *more)
 
-    monkeypatch.setattr(lm_score.Mixer, "take", noted)
-    lm_score.fit(frame(spark, rows))
-    assert seen == [8.0 * sum(len(t) + 1 for _, t in rows)] * lm_score.NEWTON
+    monkeypatch.setattr(lm_score, "_all_sums", noted)
+    assert lm_score.fit(frame(spark, rows)).learned == 8 * seen[-1]
+    assert seen == [sum(len(t) + 1 for _, t in rows)] * lm_score.NEWTON
 
 
 def test_packed_counts_come_back():
